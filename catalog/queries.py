@@ -541,13 +541,13 @@ def m1_stream_listings(spark, sf_dir):
 def m2_stream_bookings(spark, sf_dir):
     base = scratch_dir(spark, "m2")
     requests = X.booking_requests(spark, sf_dir)
-    # files in order of request time, so that batches follow each other in time
-    requests.repartitionByRange(3, "requested_at", "request_id").sortWithinPartitions(
-        "requested_at", "request_id"
-    ).write.parquet(f"{base}/in")
-    arriving = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    writer = stream_bookings(arriving, X.listings(spark, sf_dir), X.TODAY, f"{base}/ledger", f"{base}/decisions")
-    _run(writer, f"{base}/checkpoint")
+    # requests arrive in three portions, one after the other in time; the stream restarts for each
+    hour = F.floor(F.timestamp_diff("SECOND", F.lit(X.NOW).cast("timestamp_ntz"), col("requested_at")) / 36_000)
+    for portion in range(3):
+        requests.where(hour == portion).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(requests.schema).parquet(f"{base}/in")
+        writer = stream_bookings(arriving, X.listings(spark, sf_dir), X.TODAY, f"{base}/ledger", f"{base}/decisions")
+        _run(writer, f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/decisions").drop("batch")
 
 

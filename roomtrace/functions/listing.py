@@ -35,12 +35,10 @@ def parse_area(c: Column) -> Column:
 
 def parse_posted_at(c: Column) -> Column:
     """First ``H:MM D/M/YYYY`` in the text as a timestamp without zone, or null."""
-    found = F.regexp_extract(F.coalesce(c, F.lit("")), K.POSTED_PATTERN, 0)
-    part = F.split(found, r"[:/\s]+")
+    found = F.regexp_extract(c, K.POSTED_PATTERN, 0)
+    part = F.split(found, r"[:/\s]+")  # a single empty part when nothing was found
     hour, minute, day, month, year = (F.get(part, F.lit(i)).try_cast("int") for i in range(5))
-    return F.when(
-        (found != "") & (year >= 1), F.try_make_timestamp_ntz(year, month, day, hour, minute, F.lit(0))
-    )
+    return F.try_make_timestamp_ntz(F.nullif(year, F.lit(0)), month, day, hour, minute, F.lit(0))
 
 
 def extract_amenities(*texts: Column) -> Column:
@@ -50,7 +48,8 @@ def extract_amenities(*texts: Column) -> Column:
     for word, label in K.AMENITIES:
         words_of.setdefault(label, []).append(word)
     found = [F.when(contains_any(haystack, words), F.lit(label)) for label, words in words_of.items()]
-    return F.array_compact(F.array(*found))
+    # removes the nulls; stays in generated code, so the haystack is computed once
+    return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
 
 
 def listing_id(link: Column, row_index: Column) -> Column:

@@ -40,19 +40,30 @@ def normalize(df: DataFrame, now, keep: tuple[str, ...] | list[str] = ()) -> Dat
     cheap columns and come before the text work.
     """
     now = as_timestamp(now)
-    trimmed = df.select(
-        *keep,
-        "row_index",
-        py_strip(F.col(K.COL_LINK)).alias("url"),
-        py_strip(F.col(K.COL_TITLE)).alias("_title"),
-        py_strip(F.col(K.COL_ADDRESS)).alias("address"),
-        py_strip(F.col(K.COL_PRICE)).alias("price_label"),
-        py_strip(F.col(K.COL_DESCRIPTION)).alias("_description"),
-        L.parse_area(F.col(K.COL_AREA)).alias("area_m2"),
-        L.parse_posted_at(F.col(K.COL_POSTED)).alias("posted_at"),
-    ).where(has_area(F.col("area_m2")))
-    priced = trimmed.withColumn("price_vnd", L.parse_price(F.col("price_label"), F.col("area_m2"))).where(
-        credible_price(F.col("price_vnd"))
+    area = L.parse_area(F.col(K.COL_AREA))
+    # the one-row inline keeps the optimizer from copying these expressions into the filters
+    # below and evaluating them again for the result
+    amounts = F.inline(F.array(F.struct(area.alias("area_m2"), py_strip(F.col(K.COL_PRICE)).alias("price_label"))))
+    priced = (
+        df.select(*keep, "row_index", *[c for c in K.RAW_COLUMNS if c not in (K.COL_AREA, K.COL_PRICE)], amounts)
+        .where(has_area(F.col("area_m2")))
+        .select(
+            "*",
+            F.inline(F.array(F.struct(L.parse_price(F.col("price_label"), F.col("area_m2")).alias("price_vnd")))),
+        )
+        .where(credible_price(F.col("price_vnd")))
+        .select(
+            *keep,
+            "row_index",
+            py_strip(F.col(K.COL_LINK)).alias("url"),
+            py_strip(F.col(K.COL_TITLE)).alias("_title"),
+            py_strip(F.col(K.COL_ADDRESS)).alias("address"),
+            "price_label",
+            py_strip(F.col(K.COL_DESCRIPTION)).alias("_description"),
+            "area_m2",
+            "price_vnd",
+            L.parse_posted_at(F.col(K.COL_POSTED)).alias("posted_at"),
+        )
     )
     named = priced.withColumn("district", L.district_of(F.col("address")))
     return named.select(

@@ -58,7 +58,7 @@ def _resolve_keys(filters: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def top_per_filter(filters: DataFrame, listings: DataFrame, seed: int = 0) -> DataFrame:
-    """The first MAX_LIMIT listings for every distinct (key, max_price, min_area).
+    """The first MAX_LIMIT listings for every distinct filter (key, max_price, min_area).
 
     Thresholds cut price and area into ranks; a filter accepts or refuses a
     whole rank.  So a listing outside the MAX_LIMIT newest of its (district,
@@ -113,25 +113,23 @@ def top_per_filter(filters: DataFrame, listings: DataFrame, seed: int = 0) -> Da
         .withColumn("_areas", count_below(-F.col("min_area"), areas, "double") + 1)
         .withColumn("_price_block", F.explode(blocks_below(F.col("_prices"), price_levels)))
         .withColumn("_area_block", F.explode(blocks_below(F.col("_areas"), area_levels)))
-        .select("key", "max_price", "min_area", "_price_block", "_area_block")
-    )
-    found = lookup(wanted, blocks, block, spread=["max_price", "min_area"], how="inner").select(
-        "key", "max_price", "min_area", F.inline("_newest")
-    )
-    return top_k(found, ["key", "max_price", "min_area"], recency(), K.MAX_LIMIT).select(
-        "key", "max_price", "min_area", "rank", "days_old", "row_index"
+        .select("filter", *block)
     )
+    found = lookup(wanted, blocks, block, spread=["filter"], how="inner").select("filter", F.inline("_newest"))
+    return top_k(found, ["filter"], recency(), K.MAX_LIMIT)
 
 
 def search_batch(requests: DataFrame, listings: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Answers of many search requests: (request_id, rank, listing fields).
 
     Requests with equal filters share one answer; refused requests give no rows.
-    Building the plan runs two small jobs, which write the distinct filters and
-    the surviving listing keys to the scratch folder.
+    Building the plan runs three jobs, which write the requests in short form, the
+    surviving listing keys and the answer per filter to the scratch folder.
     ``columns`` are the listing fields wanted, all by default.
     """
     columns = columns or [c for c in listings.columns if c != "row_index"]
+    price = F.coalesce(F.col("max_price").cast("string"), F.lit("-"))
+    area = F.coalesce(F.col("min_area").cast("string"), F.lit("-"))
     # no district and a district without letters or digits both become the empty key: no filter
     asked = (
         validate_search(requests)
@@ -141,24 +139,17 @@ def search_batch(requests: DataFrame, listings: DataFrame, columns: list[str] |
             district_key(F.coalesce(F.col("district"), F.lit(""))).alias("key"),
             "max_price", (F.col("min_area") + F.lit(0.0)).alias("min_area"), "max_days_old", "limit",
         )
+        # null parameters are part of a filter's identity, so filters are joined by a text form
+        .withColumn("filter", F.concat_ws("|", "key", price, area))
     )
-    parts = ["key", "max_price", "min_area"]
-    filters = materialize(asked.select(*parts).distinct(), "filters")
+    asked = materialize(asked, "asked")
+    parts = ["filter", "key", "max_price", "min_area"]
     answers = (
-        top_per_filter(filters, listings)
-        .groupBy(*parts)
+        top_per_filter(asked.select(*parts).distinct(), listings)
+        .groupBy("filter")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "days_old", "row_index"))).alias("_answer"))
     )
-    # null parameters are part of a filter's identity, so join on a text form of it
-    tag = F.concat_ws("|", "key", F.coalesce(F.col("max_price").cast("string"), F.lit("-")),
-                      F.coalesce(F.col("min_area").cast("string"), F.lit("-")))
-    matched = lookup(
-        asked.withColumn("_filter", tag),
-        answers.select(tag.alias("_filter"), "_answer"),
-        ["_filter"],
-        spread=["request_id"],
-        how="inner",
-    )
+    matched = lookup(asked, materialize(answers, "answers"), ["filter"], spread=["request_id"], how="inner")
     hits = (
         matched.select("request_id", "max_days_old", "limit", F.explode("_answer").alias("_hit"))
         .select("request_id", "max_days_old", "limit", "_hit.*")

@@ -96,4 +96,7 @@ def write_listings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_normalized(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LISTING_SCHEMA).parquet(path).select(*LISTING_SCHEMA.names)
+    """The table of write_listings; filters on ``district_key`` choose folders."""
+    rows = spark.read.schema(LISTING_SCHEMA).parquet(path)
+    # a folder name cannot hold the empty key, which comes back as null
+    return rows.withColumn("district_key", F.coalesce("district_key", F.lit(""))).select(*LISTING_SCHEMA.names)
