@@ -69,6 +69,12 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def _stretch_start(order: str, chunk: int) -> Column:
+    """First order value of the stretch a row belongs to."""
+    value = F.col(order).cast("bigint")
+    return value - F.pmod(value, F.lit(chunk))
+
+
 def running_total(
     df: DataFrame, keys: list[str], order: str, value, name: str, chunk: int = CHUNK
 ) -> DataFrame:
@@ -77,7 +83,7 @@ def running_total(
     Two levels: sums inside stretches of ``chunk`` order values, then sums over
     the stretch totals.  No window group holds a whole key's rows.
     """
-    stretch = F.floor(F.col(order) / chunk).cast("bigint")
+    stretch = _stretch_start(order, chunk)
     rows = df.withColumn("_value", value.cast("bigint")).withColumn("_stretch", stretch)
     inner = W.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     outer = W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
@@ -106,12 +112,12 @@ def trailing(
     given to the next one as context, so every frame is complete and no group
     holds a whole key's rows.  ``chunk`` must be at least ``lookback``.
     """
-    stretch = F.floor(F.col(position) / chunk).cast("bigint")
+    stretch = _stretch_start(position, chunk)
     last_positions = F.pmod(F.col(position), F.lit(chunk)) >= chunk - lookback
     copies = F.when(last_positions, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = (
         df.withColumn("_copy", F.explode(copies))
-        .withColumn("_stretch", stretch + F.col("_copy"))
+        .withColumn("_stretch", stretch + F.col("_copy") * chunk)
     )
     frame = W.partitionBy(*keys, "_stretch").orderBy(position).rangeBetween(-lookback, -1)
     for name, aggregate in aggregates.items():

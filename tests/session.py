@@ -9,6 +9,7 @@ def local_session(cpus: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
