@@ -181,7 +181,7 @@ def b13_normalize(spark, sf_dir):
 def b14_validate_date(spark, sf_dir):
     check = L.validate_date(col("date"), LS.as_date(X.TODAY))
     return X.booking_requests(spark, sf_dir).select("request_id", check.alias("c")).select(
-        "request_id", F.date_format("c.date", "yyyy-MM-dd").alias("day"), col("c.error").alias("error")
+        "request_id", col("c.date").cast("string").alias("day"), col("c.error").alias("error")
     )
 
 
@@ -241,7 +241,7 @@ def _offers(spark, sf_dir) -> DataFrame:
     """Offered slots of every listing and valid day asked for."""
     asked = X.booking_requests(spark, sf_dir).select(
         TX.py_strip(col("listing_id")).alias("listing_id"),
-        F.date_format(L.validate_date(col("date"), LS.as_date(X.TODAY))["date"], "yyyy-MM-dd").alias("date"),
+        L.validate_date(col("date"), LS.as_date(X.TODAY))["date"].cast("string").alias("date"),
     )
     return asked.where(col("date").isNotNull()).distinct().withColumn(
         "slots", BK.slots_for(col("listing_id"), col("date"))

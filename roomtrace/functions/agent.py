@@ -75,7 +75,7 @@ def date_context(day: Column) -> Column:
     """struct(today, weekday, tomorrow) as the prompt states them."""
     names = F.array(*[F.lit(name) for name in K.WEEKDAYS])
     return F.struct(
-        F.date_format(day, "yyyy-MM-dd").alias("today"),
+        day.cast("string").alias("today"),
         F.element_at(names, F.weekday(day) + 1).alias("weekday"),
-        F.date_format(F.date_add(day, 1), "yyyy-MM-dd").alias("tomorrow"),
+        F.date_add(day, 1).cast("string").alias("tomorrow"),
     )

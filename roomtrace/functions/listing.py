@@ -15,19 +15,28 @@ def _decimal_number(c: Column) -> Column:
     return F.translate(c, ",", ".").try_cast("double")
 
 
-def parse_price(c: Column, area: Column) -> Column:
-    """Monthly rent in VND, or null.  Unreadable numbers give null, never an error."""
-    raw = py_strip(c)
-    number = F.regexp_extract(raw, K.PRICE_PATTERN, 1)
-    unit = F.regexp_extract(raw, K.PRICE_PATTERN, 2)
+def price_number(label: Column) -> Column:
+    """The number of a trimmed price text in one of the known units, else the empty string."""
+    return F.regexp_extract(label, K.PRICE_PATTERN, 1)
+
+
+def price_amount(label: Column, number: Column, area: Column) -> Column:
+    """VND per month from a trimmed price text, its number and the area."""
     # double arithmetic and truncation on purpose: 4.1 million is 4,099,999
     return (
-        F.when(unit == K.PRICE_MILLION, (_decimal_number(number) * F.lit(1e6)).try_cast("bigint"))
-        .when(unit == K.PRICE_PER_M2, (_digits_only(number).cast("double") * area).try_cast("bigint"))
-        .when(unit == K.PRICE_DONG, _digits_only(number))
+        F.when(number == "", F.lit(None).cast("bigint"))
+        .when(F.endswith(label, F.lit(K.PRICE_MILLION)), (_decimal_number(number) * F.lit(1e6)).try_cast("bigint"))
+        .when(F.endswith(label, F.lit(K.PRICE_PER_M2)), (_digits_only(number).cast("double") * area).try_cast("bigint"))
+        .otherwise(_digits_only(number))
     )
 
 
+def parse_price(c: Column, area: Column) -> Column:
+    """Monthly rent in VND, or null.  Unreadable numbers give null, never an error."""
+    label = py_strip(c)
+    return price_amount(label, price_number(label), area)
+
+
 def parse_area(c: Column) -> Column:
     """Area in square metres as double, or null."""
     return _decimal_number(F.nullif(F.regexp_extract(py_strip(c), K.AREA_PATTERN, 1), F.lit("")))
@@ -78,7 +87,7 @@ def days_old(posted: Column, now: Column) -> Column:
 
 
 def iso_timestamp(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
 
 
 def validate_date(c: Column, today: Column) -> Column:
@@ -86,7 +95,7 @@ def validate_date(c: Column, today: Column) -> Column:
     text = py_strip(c)
     shaped = F.when(text.rlike(r"^\d{4}-\d{1,2}-( ?\d|\d\d)$"), F.translate(text, " ", ""))
     day = F.try_to_date(shaped, "yyyy-M-d")
-    iso = F.date_format(day, "yyyy-MM-dd")
+    iso = day.cast("string")
     error = (
         F.when(day.isNull(), F.format_string(K.MSG_DATE_FORMAT, F.coalesce(c, F.lit(""))))
         .when(day < today, F.format_string(K.MSG_DATE_PAST, iso))

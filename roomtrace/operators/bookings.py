@@ -76,7 +76,7 @@ def _checked(requests: DataFrame, listings: DataFrame, today) -> DataFrame:
     return (
         lookup(asked, known, ["_id"], spread=["request_id"])
         .withColumn("_check", checked)
-        .withColumn("day", F.date_format("_check.date", "yyyy-MM-dd"))
+        .withColumn("day", F.col("_check.date").cast("string"))
         .withColumn("date_error", F.col("_check.error"))
         .drop("_check", "_id")
     )
@@ -94,7 +94,7 @@ def slots_batch(requests: DataFrame, listings: DataFrame, ledger: DataFrame, tod
 
     The answer repeats the caller's listing id and date as written.
     """
-    checked = _checked(requests, listings, today)
+    checked = materialize(_checked(requests, listings, today), "checked")
     with_taken = lookup(checked, _taken(ledger), ["id", "day"], spread=["request_id"])
     status = (
         F.when(F.col("id").isNull(), F.lit(404)).when(F.col("day").isNull(), F.lit(422)).otherwise(F.lit(200))

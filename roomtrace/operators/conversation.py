@@ -7,7 +7,8 @@ from roomtrace import constants as K
 from roomtrace.functions.agent import date_context, has_booking_intent
 from roomtrace.functions.text import py_strip
 from roomtrace.operators.listings import as_date
-from roomtrace.plans.skew import running_total, trailing
+from roomtrace.plans.scratch import materialize
+from roomtrace.plans.skew import lookup, running_total, trailing
 
 
 def session_segments(turns: DataFrame) -> DataFrame:
@@ -38,14 +39,35 @@ def session_segments(turns: DataFrame) -> DataFrame:
     return counted.withColumn("position", F.col("_seen") - F.col("remembered").cast("bigint")).drop("_seen")
 
 
+def _with_context(segments: DataFrame, lookback: int, name: str, aggregate: Column) -> DataFrame:
+    """Every question with ``aggregate`` over the ``lookback`` remembered turns before it.
+
+    Remembered turns have a position of their own, so their context is a window
+    over bounded stretches.  Failed turns share the position of the next
+    remembered one, possibly very many of them: their contexts are computed once
+    per position and looked up.
+    """
+    keys = ["conv_id", "segment_id"]
+    asked = materialize(segments.where(F.col("mode").isNotNull()), "questions")
+    kept, failed = asked.where(F.col("remembered")), asked.where(~F.col("remembered"))
+    places = (
+        failed.select(*keys, "position").distinct()
+        .where(F.col("position") > 0)
+        .withColumn("_seen", F.explode(F.sequence(F.greatest(F.col("position") - lookback, F.lit(0)), F.col("position") - 1)))
+    )
+    turns = kept.withColumnRenamed("position", "_seen").drop("turn")
+    contexts = places.join(turns, [*keys, "_seen"]).withColumnRenamed("position", "_at").withColumnRenamed(
+        "_seen", "position"
+    ).groupBy(*keys, "_at").agg(aggregate.alias(name)).withColumnRenamed("_at", "position")
+    return trailing(kept, keys, "position", lookback, {name: aggregate}).unionByName(
+        lookup(failed, contexts, [*keys, "position"], spread=["turn"])
+    )
+
+
 def intent_in_context(segments: DataFrame) -> DataFrame:
     """Is a booking asked for in this question or one of the three remembered before it."""
-    asked = F.coalesce(has_booking_intent(F.col("query")), F.lit(False))
-    own = segments.where(F.col("mode").isNotNull()).withColumn("intent", asked)
-    recent = F.max(F.when(F.col("remembered"), F.col("intent")))
-    seen = trailing(
-        own, ["conv_id", "segment_id"], "position", K.INTENT_LOOKBACK_TURNS, {"_recent": recent}
-    )
+    own = segments.withColumn("intent", F.coalesce(has_booking_intent(F.col("query")), F.lit(False)))
+    seen = _with_context(own, K.INTENT_LOOKBACK_TURNS, "_recent", F.max("intent"))
     return seen.withColumn("intent_in_context", F.col("intent") | F.coalesce("_recent", F.lit(False))).drop("_recent")
 
 
@@ -65,11 +87,10 @@ def history_block(segments: DataFrame) -> DataFrame:
         F.length(answer) > K.HISTORY_ANSWER_CHARS,
         F.concat(F.substring(answer, 1, K.HISTORY_ANSWER_CHARS), F.lit(K.HISTORY_CUT)),
     ).otherwise(answer)
-    pair = F.struct("position", F.col("query").alias("question"), F.col("_cut").alias("answer"))
-    pairs = F.collect_list(F.when(F.col("remembered"), pair))
-    asked = segments.where(F.col("mode").isNotNull()).withColumn("_cut", cut)
-    seen = trailing(asked, ["conv_id", "segment_id"], "position", K.HISTORY_TURNS, {"_pairs": pairs})
-    return seen.withColumn("history", _history_text(F.array_sort("_pairs"))).drop("_pairs", "_cut")
+    pairs = F.collect_list(F.struct("position", F.col("query").alias("question"), F.col("_cut").alias("answer")))
+    seen = _with_context(segments.withColumn("_cut", cut), K.HISTORY_TURNS, "_pairs", pairs)
+    ordered = F.array_sort(F.coalesce("_pairs", F.array().cast(seen.schema["_pairs"].dataType)))
+    return seen.withColumn("history", _history_text(ordered)).drop("_pairs", "_cut")
 
 
 def fill_date_context(template: str | Column, day) -> Column:

@@ -40,17 +40,17 @@ def normalize(df: DataFrame, now, keep: tuple[str, ...] | list[str] = ()) -> Dat
     cheap columns and come before the text work.
     """
     now = as_timestamp(now)
-    area = L.parse_area(F.col(K.COL_AREA))
-    # the one-row inline keeps the optimizer from copying these expressions into the filters
+    rest = [c for c in K.RAW_COLUMNS if c not in (K.COL_AREA, K.COL_PRICE)]
+    # the one-row inlines keep the optimizer from copying these expressions into the filters
     # below and evaluating them again for the result
-    amounts = F.inline(F.array(F.struct(area.alias("area_m2"), py_strip(F.col(K.COL_PRICE)).alias("price_label"))))
+    area = F.inline(F.array(F.struct(L.parse_area(F.col(K.COL_AREA)).alias("area_m2"))))
+    amount = L.price_amount(F.col("price_label"), F.col("_number"), F.col("area_m2"))
     priced = (
-        df.select(*keep, "row_index", *[c for c in K.RAW_COLUMNS if c not in (K.COL_AREA, K.COL_PRICE)], amounts)
+        df.select(*keep, "row_index", *rest, K.COL_PRICE, area)
         .where(has_area(F.col("area_m2")))
-        .select(
-            "*",
-            F.inline(F.array(F.struct(L.parse_price(F.col("price_label"), F.col("area_m2")).alias("price_vnd")))),
-        )
+        .select(*keep, "row_index", *rest, "area_m2", py_strip(F.col(K.COL_PRICE)).alias("price_label"))
+        .withColumn("_number", L.price_number(F.col("price_label")))
+        .select("*", F.inline(F.array(F.struct(amount.alias("price_vnd")))))
         .where(credible_price(F.col("price_vnd")))
         .select(
             *keep,
@@ -85,22 +85,22 @@ def normalize(df: DataFrame, now, keep: tuple[str, ...] | list[str] = ()) -> Dat
     )
 
 
-def _pick_row(df: DataFrame, key: str, pick) -> DataFrame:
-    """One row per key, chosen by row_index with map-side combining."""
-    rest = [c for c in df.columns if c != key]
-    chosen = df.groupBy(key).agg(pick(F.struct(*rest), F.col("row_index")).alias("_row"))
-    return chosen.select(key, "_row.*").select(*df.columns)
+def _pick_row(df: DataFrame, key: Column, pick) -> DataFrame:
+    """One row per key, chosen by row_index; combined within each task before the one shuffle."""
+    chosen = df.groupBy(key.alias("_key")).agg(pick(F.struct(*df.columns), F.col("row_index")).alias("_row"))
+    return chosen.select("_row.*")
 
 
 def dedup_by_link(df: DataFrame) -> DataFrame:
     """First row per non-empty link; rows without a link are all kept."""
-    linked = _pick_row(df.where(F.col("url") != ""), "url", F.min_by)
-    return linked.unionByName(df.where(F.col("url") == ""))
+    # rows without a link are their own key, so one pass serves both kinds and they spread evenly
+    own = F.concat(F.lit("row "), F.col("row_index").cast("string"))
+    return _pick_row(df, F.when(F.col("url") != "", F.col("url")).otherwise(own), F.min_by)
 
 
 def latest_by_id(df: DataFrame) -> DataFrame:
     """Last row per id: what a lookup by id sees."""
-    return _pick_row(df, "id", F.max_by)
+    return _pick_row(df, F.col("id"), F.max_by)
 
 
 def load_listings(df: DataFrame, now) -> DataFrame:

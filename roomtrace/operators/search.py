@@ -43,14 +43,13 @@ def _resolve_keys(filters: DataFrame, listings: DataFrame) -> DataFrame:
     lengths that are asked for, and these are matched by equality.
     """
     asked = filters.select(F.col("key").alias("asked_key")).distinct()
-    longest = F.length("listing_key")
-    # lengths of asked keys: at most as many numbers as the longest district name has letters
-    lengths = sorted(r.n for r in asked.select(F.length("asked_key").alias("n")).distinct().collect())
+    lengths = asked.select(F.length("asked_key").alias("_n")).distinct()
     known = listings.select(F.col("district_key").alias("listing_key")).distinct()
+    size = F.length("listing_key")
     substrings = (
-        known.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array(F.lit(0))))
-        .where(F.col("_n") <= longest)
-        .withColumn("_from", F.explode(F.sequence(F.lit(1), longest - F.col("_n") + 1)))
+        known.withColumn("_n", F.explode(F.sequence(F.lit(0), size)))
+        .join(lengths, "_n", "left_semi")
+        .withColumn("_from", F.explode(F.sequence(F.lit(1), size - F.col("_n") + 1)))
         .select("listing_key", F.expr("substring(listing_key, _from, _n)").alias("asked_key"))
         .distinct()
     )
@@ -94,18 +93,20 @@ def top_per_filter(filters: DataFrame, listings: DataFrame, seed: int = 0) -> Da
     )
 
     keys = _resolve_keys(filters, cells)
-    indexed = (
+    # blocks of area ranks first, pruned, then blocks of price ranks: the copies stay few
+    by_area = top_k(
         cells.join(keys, F.col("district_key") == F.col("listing_key"))
-        .withColumn("_price_block", F.explode(blocks_of_rank(F.col("_price_rank"), price_levels)))
-        .withColumn("_area_block", F.explode(blocks_of_rank(F.col("_area_rank"), area_levels)))
+        .withColumnRenamed("asked_key", "key")
+        .withColumn("_area_block", F.explode(blocks_of_rank(F.col("_area_rank"), area_levels))),
+        ["key", "_price_rank", "_area_block"], recency(), K.MAX_LIMIT, rank="_n",
     )
     block = ["key", "_price_block", "_area_block"]
-    # at most MAX_LIMIT rows per block, so an array of them is bounded
-    blocks = (
-        top_k(indexed.withColumnRenamed("asked_key", "key"), block, recency(), K.MAX_LIMIT)
-        .groupBy(*block)
-        .agg(F.collect_list(F.struct("days_old", "row_index")).alias("_newest"))
+    by_block = top_k(
+        by_area.withColumn("_price_block", F.explode(blocks_of_rank(F.col("_price_rank"), price_levels))),
+        block, recency(), K.MAX_LIMIT, rank="_n",
     )
+    # at most MAX_LIMIT rows per block, so an array of them is bounded
+    blocks = by_block.groupBy(*block).agg(F.collect_list(F.struct("days_old", "row_index")).alias("_newest"))
 
     # ranks 0..n accept a threshold that is the n-th smallest: n+1 ranks
     wanted = (

@@ -11,8 +11,8 @@ HOT_ROWS = 200_000
 #: At most this many keys are split.  A key with more than 1/1000 of all rows
 #: is always among the 1000 most frequent ones, so every dominant key is caught.
 HOT_KEYS = 1000
-#: Parts a hot key is split into.
-SALTS = 64
+#: Bounds for the number of parts a hot key is split into; in between, one per shuffle partition.
+MIN_SALTS, MAX_SALTS = 8, 1024
 #: Longest stretch of one key's rows that a single window group may hold.
 CHUNK = 1024
 
@@ -39,13 +39,16 @@ def lookup(
 ) -> DataFrame:
     """Equi-join ``many`` with a table that has one row per key.
 
-    Hot keys of ``many`` are spread over SALTS parts by a hash of the ``spread``
-    columns (repeatable, so a recomputed task gives the same rows); only the
-    matching rows of ``unique`` are repeated, at most HOT_KEYS * SALTS of them.
+    Hot keys of ``many`` are spread over as many parts as there are shuffle
+    partitions, by a hash of the ``spread`` columns (repeatable, so a recomputed
+    task gives the same rows); only the matching rows of ``unique`` are repeated,
+    at most HOT_KEYS * MAX_SALTS of them.
     """
+    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(max(partitions, MIN_SALTS), MAX_SALTS)
     # HOT_KEYS rows of key values: small by construction
     hot = F.broadcast(hot_keys(many.select(*keys), keys, hot_rows))
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS)).cast("int")
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
     unmatchable = reduce(Column.__or__, [F.col(c).isNull() for c in keys])
     salted_many = (
         many.join(hot, keys, "left")
@@ -56,7 +59,7 @@ def lookup(
         unique.join(hot, keys, "left")
         .withColumn(
             "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
+            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
         )
         .drop("_hot")
     )

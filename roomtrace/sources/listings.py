@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomtrace import constants as K
+from roomtrace.plans.skew import lookup
 
 RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in K.RAW_COLUMNS])
 
@@ -49,40 +50,45 @@ def read_listings(spark: SparkSession, path) -> DataFrame:
             for c in K.RAW_COLUMNS
         ],
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
     )
 
 
+#: Up to this many files the table of offsets (one short row per file) is broadcast.
+BROADCAST_FILES = 200_000
+
+
 def with_row_index(df: DataFrame, name: str = "row_index", files_per_group: int = 1000) -> DataFrame:
-    """Dense 0-based index over all rows in (file, block, place in block) order.
+    """Dense 0-based index over all rows of read_listings, in (file, place in file) order.
 
-    Two passes: rows per file block first, then each block's offset joined back.
-    Offsets come from a two-level sum, so that neither one task nor the driver
-    sees more than a group of files or one total per group.
+    Two passes: rows per file first, then each file's offset added to the place
+    of its rows.  Offsets come from a two-level sum, so no task sees more than
+    one group of files or one total per group.  A file is read by one task, in
+    order, so its rows have consecutive places.
     """
     placed = df.withColumn("_place", F.monotonically_increasing_id())
-    blocks = placed.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
-    # the file listing is already known to the driver; every so many names mark a group border
-    borders = sorted(df.inputFiles())[::files_per_group]
-    marks = F.array(*[F.lit(b) for b in borders])
-    blocks = blocks.withColumn("_group", F.size(F.filter(marks, lambda m: m <= F.col("_file"))))
-    in_group = W.partitionBy("_group").orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    files = placed.groupBy("_file").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    # the driver knows the file listing already; every so many names mark a group border
+    names = sorted(df.inputFiles())
+    marks = F.array(*[F.lit(b) for b in names[::files_per_group]])
+    files = files.withColumn("_group", F.size(F.filter(marks, lambda m: m <= F.col("_file"))))
+    in_group = W.partitionBy("_group").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
     # one row per group of files: a thousandth of the file count, so one task is enough
-    totals = blocks.groupBy("_group").agg(F.sum("_n").alias("_group_n"))
+    totals = files.groupBy("_group").agg(F.sum("_n").alias("_group_n"))
     before = W.partitionBy(F.lit(0)).orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
     group_offsets = totals.select(
         "_group", F.coalesce(F.sum("_group_n").over(before), F.lit(0)).alias("_group_offset")
     )
     offsets = (
-        blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(in_group), F.lit(0)))
+        files.withColumn("_offset", F.coalesce(F.sum("_n").over(in_group), F.lit(0)))
         .join(group_offsets, "_group")
-        .select("_file", "_block", "_first", (F.col("_offset") + F.col("_group_offset")).alias("_start"))
+        .select("_file", "_first", (F.col("_offset") + F.col("_group_offset")).alias("_start"))
     )
-    # the small side has one row per file block; AQE broadcasts it when its measured size allows
-    return (
-        placed.join(offsets, ["_file", "_block"])
-        .withColumn(name, F.col("_start") + F.col("_place") - F.col("_first"))
-        .drop("_file", "_block", "_place", "_first", "_start")
+    if len(names) <= BROADCAST_FILES:
+        indexed = placed.join(F.broadcast(offsets), "_file")
+    else:  # a file with much of the data is spread over several tasks
+        indexed = lookup(placed, offsets, ["_file"], spread=["_place"], how="inner")
+    return indexed.withColumn(name, F.col("_start") + F.col("_place") - F.col("_first")).drop(
+        "_file", "_place", "_first", "_start"
     )
 
 

@@ -17,7 +17,7 @@ def _ledger_before(spark: SparkSession, path: str, batch_id: int, today) -> Data
     Both conditions are on partition columns, so only open dates are read.
     """
     rows = spark.read.schema(f"{_STORED}, batch bigint").parquet(path)
-    open_dates = F.col("date") >= F.date_format(as_date(today), "yyyy-MM-dd")
+    open_dates = F.col("date") >= as_date(today).cast("string")
     return rows.where(open_dates & (F.col("batch") < batch_id)).drop("batch")
 
 
