@@ -16,7 +16,7 @@ from catalog import fixtures as X  # noqa: E402
 from catalog.queries import QUERIES  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
-HEADLINE = [
+HEADLINE = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else [
     "b13_normalize", "d1_dedup_by_link", "case5_search", "e2_search_batch", "e3_details_batch", "l2_slots_batch",
     "l4_adjudicate", "g1_intent_lookback", "g2_history_block", "g5_transcript_at", "g6_resolve_attempts",
     "j9_classify_steps", "j10_summarize_traces", "o1_check_tool_path", "o2_check_grounding",

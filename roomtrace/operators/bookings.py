@@ -82,25 +82,30 @@ def _checked(requests: DataFrame, listings: DataFrame, today) -> DataFrame:
     )
 
 
-def _taken(ledger: DataFrame, rename: str = "taken") -> DataFrame:
-    """Taken slots per (listing, day): a handful each, combined before the shuffle."""
-    return ledger.groupBy(F.col("listing_id").alias("id"), F.col("date").alias("day")).agg(
-        F.collect_set("slot").alias(rename)
-    )
+def _on_asked_days(ledger: DataFrame, checked: DataFrame) -> DataFrame:
+    """Ledger entries of the (id, day) pairs that are asked for."""
+    booked = ledger.select(F.col("listing_id").alias("id"), F.col("date").alias("day"), "slot")
+    return booked.join(checked.select("id", "day").distinct(), ["id", "day"], "left_semi")
 
 
 def slots_batch(requests: DataFrame, listings: DataFrame, ledger: DataFrame, today) -> DataFrame:
     """Free slots per request: status 200 with ``slots``, or 404/422 with ``error``.
 
-    The answer repeats the caller's listing id and date as written.
+    The answer repeats the caller's listing id and date as written.  Slots are
+    worked out once per listing and day, not per request.
     """
     checked = materialize(_checked(requests, listings, today), "checked")
-    with_taken = lookup(checked, _taken(ledger), ["id", "day"], spread=["request_id"])
+    days = checked.select("id", "day").where(F.col("id").isNotNull() & F.col("day").isNotNull()).distinct()
+    # a handful of slots per day, combined before the shuffle
+    taken = _on_asked_days(ledger, checked).groupBy("id", "day").agg(F.collect_set("slot").alias("taken"))
+    free = days.join(taken, ["id", "day"], "left").select(
+        "id", "day", free_slots_array(slots_for(F.col("id"), F.col("day")), F.col("taken")).alias("slots")
+    )
+    answered = lookup(checked, free, ["id", "day"], spread=["request_id"])
     status = (
         F.when(F.col("id").isNull(), F.lit(404)).when(F.col("day").isNull(), F.lit(422)).otherwise(F.lit(200))
     )
-    offered = free_slots_array(slots_for(F.col("id"), F.col("day")), F.col("taken"))
-    return with_taken.select(
+    return answered.select(
         "request_id",
         "listing_id",
         "date",
@@ -108,7 +113,7 @@ def slots_batch(requests: DataFrame, listings: DataFrame, ledger: DataFrame, tod
         F.when(status == 404, F.format_string(K.MSG_LISTING_NOT_FOUND, F.col("listing_id")))
         .when(status == 422, F.col("date_error"))
         .alias("error"),
-        F.when(status == 200, offered).alias("slots"),
+        F.when(status == 200, F.col("slots")).alias("slots"),
     )
 
 
@@ -117,47 +122,37 @@ def adjudicate(requests: DataFrame, listings: DataFrame, ledger: DataFrame, toda
 
     404 unknown listing, 422 bad date, 409 slot not offered or taken (with the
     slots left at that moment), 201 booked.  Per (listing, day) only the first
-    taker of each offered slot matters, at most four rows; they are found by a
-    combining minimum and handed to all requests of that day, so a day that
-    everyone wants is not sorted in one task.
+    taker of each slot matters, at most five rows; they are found by a combining
+    minimum and handed to all requests of that day, so a day that everyone wants
+    is not sorted in one task.
     """
     # used three times below: written once instead of joined three times
     checked = materialize(
         _checked(requests, listings, today).withColumn("slot", py_strip(F.col("slot"))), "checked"
     )
-    candidates = checked.where(
-        F.col("id").isNotNull()
-        & F.col("day").isNotNull()
-        & F.array_contains(slots_for(F.col("id"), F.col("day")), F.col("slot"))
-    )
-    # a slot booked in the ledger is taken before every new request
-    asked_days = checked.select("id", "day").distinct()
-    earlier = ledger.select(
-        F.col("listing_id").alias("id"), F.col("date").alias("day"), "slot",
-        F.struct(
-            F.lit(None).cast("timestamp_ntz").alias("requested_at"), F.lit(None).cast("bigint").alias("request_id")
-        ).alias("at"),
-    ).join(asked_days, ["id", "day"], "left_semi")
-    new = candidates.select(
-        "id", "day", "slot",
-        F.struct("requested_at", F.col("request_id").cast("bigint").alias("request_id")).alias("at"),
-    )
-    # nulls sort first, so a ledger entry wins the minimum
-    takers = (
+    here = F.struct("requested_at", F.col("request_id").cast("bigint").alias("request_id"))
+    known_slot = F.when(F.col("slot").isin(K.SLOT_POOL), F.col("slot"))
+    new = checked.where(F.col("id").isNotNull() & F.col("day").isNotNull()).select(
+        "id", "day", known_slot.alias("slot"), here.alias("at")
+    )
+    # a slot booked in the ledger is taken before every new request: nulls sort first
+    at_once = F.lit(None).cast("struct<requested_at:timestamp_ntz,request_id:bigint>")
+    earlier = _on_asked_days(ledger, checked).withColumn(
+        "at", F.struct(at_once["requested_at"].alias("requested_at"), at_once["request_id"].alias("request_id"))
+    )
+    first = F.when(F.col("slot").isNotNull(), F.struct("slot", "at"))
+    days = (
         new.unionByName(earlier)
         .groupBy("id", "day", "slot")
         .agg(F.min("at").alias("at"))
         .groupBy("id", "day")
-        .agg(F.collect_list(F.struct("slot", "at")).alias("takers"))
+        .agg(F.collect_list(first).alias("_takers"))
+        .withColumn("_pool", slots_for(F.col("id"), F.col("day")))
     )
-    decided = lookup(checked, takers, ["id", "day"], spread=["request_id"])
+    decided = lookup(checked, days, ["id", "day"], spread=["request_id"])
 
-    here = F.struct("requested_at", F.col("request_id").cast("bigint").alias("request_id"))
-    no_takers = F.array().cast("array<struct<slot:string,at:struct<requested_at:timestamp_ntz,request_id:bigint>>>")
-    gone = F.transform(
-        F.filter(F.coalesce("takers", no_takers), lambda t: t["at"] < here), lambda t: t["slot"]
-    )
-    left = free_slots_array(slots_for(F.col("id"), F.col("day")), gone)
+    gone = F.transform(F.filter("_takers", lambda t: t["at"] < here), lambda t: t["slot"])
+    left = free_slots_array(F.col("_pool"), gone)
     rows = decided.withColumn("_left", left).withColumn(
         "status",
         F.when(F.col("id").isNull(), F.lit(404))

@@ -13,6 +13,8 @@ HOT_ROWS = 200_000
 HOT_KEYS = 1000
 #: Bounds for the number of parts a hot key is split into; in between, one per shuffle partition.
 MIN_SALTS, MAX_SALTS = 8, 1024
+#: A table of fewer (stored) bytes cannot fill one task with a hot key, so keys are not counted.
+SMALL_BYTES = 64 << 20
 #: Longest stretch of one key's rows that a single window group may hold.
 CHUNK = 1024
 
@@ -29,6 +31,11 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     )
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate: exact for stored tables, far too high after joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def lookup(
     many: DataFrame,
     unique: DataFrame,
@@ -42,8 +49,10 @@ def lookup(
     Hot keys of ``many`` are spread over as many parts as there are shuffle
     partitions, by a hash of the ``spread`` columns (repeatable, so a recomputed
     task gives the same rows); only the matching rows of ``unique`` are repeated,
-    at most HOT_KEYS * MAX_SALTS of them.
+    at most HOT_KEYS * MAX_SALTS of them.  A small ``many`` is joined as it is.
     """
+    if estimated_bytes(many) < SMALL_BYTES:
+        return many.join(unique, keys, how)
     partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = min(max(partitions, MIN_SALTS), MAX_SALTS)
     # HOT_KEYS rows of key values: small by construction

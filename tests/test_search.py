@@ -6,6 +6,7 @@ import pytest
 
 from roomtrace.functions.text import district_key
 from roomtrace.operators import search as SE
+from roomtrace.plans import skew
 from pyspark.sql import functions as F
 
 DISTRICTS = ["caugiay", "namtuliem", "bactuliem", "dongda", "", "hadong"]
@@ -69,6 +70,13 @@ def test_more_thresholds_than_one_pass_serves(spark, monkeypatch):
     assert got == want
 
 
+def test_search_batch_with_split_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    monkeypatch.setattr(skew.lookup, "__defaults__", ("left", 5))
+    got, want, _ = _run(spark, *_data(15, 300, 120))
+    assert got == want
+
+
 @pytest.mark.parametrize("prices,areas", [(False, False), (True, False), (False, True)])
 def test_requests_without_thresholds(spark, prices, areas):
     listings, requests = _data(13, 200, 40)
