@@ -237,12 +237,12 @@ def turns(spark, sf_dir) -> DataFrame:
 
 @stored
 def steps(spark, sf_dir) -> DataFrame:
-    return view(spark, sf_dir, STEPS).drop("i", "e").withColumn("step", F.col("step").cast("int"))
+    return view(spark, sf_dir, STEPS).drop("i", "e")
 
 
 @stored
 def attempts(spark, sf_dir) -> DataFrame:
-    return view(spark, sf_dir, ATTEMPTS).withColumn("step", F.col("step").cast("int"))
+    return view(spark, sf_dir, ATTEMPTS)
 
 
 @stored

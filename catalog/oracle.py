@@ -118,7 +118,7 @@ req AS (SELECT *, {key("coalesce(district, '')")} AS k,
                  OR row_limit < 1 OR row_limit > 20 THEN 422 ELSE 200 END AS status FROM ({SEARCHES})),
 hits AS (SELECT * FROM (
   SELECT r.request_id, r.row_limit, l.*,
-    row_number() OVER (PARTITION BY r.request_id ORDER BY l.days_old ASC NULLS LAST, l.row_index) AS rank
+    CAST(row_number() OVER (PARTITION BY r.request_id ORDER BY l.days_old ASC NULLS LAST, l.row_index) AS INTEGER) AS rank
   FROM req r JOIN lst l ON contains(l.district_key, r.k)
     AND (r.max_price IS NULL OR l.price_vnd <= r.max_price)
     AND (r.min_area IS NULL OR l.area_m2 >= r.min_area)
@@ -349,7 +349,7 @@ ORACLE = {
         CAST(length(text) AS VARCHAR) AS expected_behavior FROM benchmark""",
     "a4_write_read_normalized": with_listings(f"SELECT {ALL} FROM lst"),
     "a5_append_bookings": with_(CHECKED, f"SELECT {LEDGER} FROM answered WHERE status = 201"),
-    "a6_reset_bookings": with_(CHECKED, "SELECT 0 AS n_after, count(*) AS n_before FROM answered WHERE status = 201"),
+    "a6_reset_bookings": with_(CHECKED, "SELECT CAST(0 AS BIGINT) AS n_after, count(*) AS n_before FROM answered WHERE status = 201"),
     "b1_strip_accents": from_raw(title=unaccent("title_raw")),
     "b2_district_key": from_raw(key=key("address_raw")),
     "b3_parse_price": from_raw(price_vnd=PRICE),
@@ -414,7 +414,7 @@ ORACLE = {
         WHERE contains(district_key, 'namtuliem') AND price_vnd <= 4000000 AND days_old <= 7
         ORDER BY days_old ASC NULLS LAST, row_index LIMIT 5)"""),
     "i1_distinct_labels": f"""SELECT row_index, {amenities('hay')} AS amenities,
-        CASE WHEN {amenities('hay')} = '' THEN 0 ELSE len(string_split({amenities('hay')}, '; ')) END AS n
+        CAST(CASE WHEN {amenities('hay')} = '' THEN 0 ELSE len(string_split({amenities('hay')}, '; ')) END AS INTEGER) AS n
         FROM (SELECT row_index, lower({unaccent("title_raw || ' ' || title_raw")}) AS hay FROM ({RAW}))""",
     "i2_free_slots_array": with_(OFFERS, f"""SELECT listing_id, date,
         array_to_string(list_filter({slots('listing_id', 'date')}, lambda s: s NOT IN ('09:00', '14:00')), '; ') AS free FROM offers"""),

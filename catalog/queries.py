@@ -104,7 +104,7 @@ def a6_reset_bookings(spark, sf_dir):
     n_before = before.first().n_before
     ledger.reset_bookings(spark, path)
     return ledger.read_bookings(spark, path).agg(F.count("*").alias("n_after")).withColumn(
-        "n_before", F.lit(n_before)
+        "n_before", F.lit(n_before).cast("bigint")
     )
 
 

@@ -2,13 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from roomtrace.operators.bookings import accepted, adjudicate
 from roomtrace.operators.listings import as_date
 from roomtrace.sources.ledger import LEDGER_SCHEMA
 
-_STORED = LEDGER_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " ").replace(",", ", ")
+STORED_SCHEMA = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("batch", T.LongType())])
 
 
 def _ledger_before(spark: SparkSession, path: str, batch_id: int, today) -> DataFrame:
@@ -16,7 +17,7 @@ def _ledger_before(spark: SparkSession, path: str, batch_id: int, today) -> Data
 
     Both conditions are on partition columns, so only open dates are read.
     """
-    rows = spark.read.schema(f"{_STORED}, batch bigint").parquet(path)
+    rows = spark.read.schema(STORED_SCHEMA).parquet(path)
     open_dates = F.col("date") >= as_date(today).cast("string")
     return rows.where(open_dates & (F.col("batch") < batch_id)).drop("batch")
 

@@ -148,3 +148,16 @@ def test_stream_agrees_with_batch_and_survives_a_replay(spark):
     again = spark.readStream.schema(requests.schema).parquet(f"{base}/in").where("minute(requested_at) = 0 and second(requested_at) <= 20")
     _run(stream_bookings(again, listings, TODAY, f"{base}/ledger", f"{base}/out"), f"{base}/cp2")
     assert spark.read.parquet(f"{base}/ledger").where("batch = 0").count() == before
+
+
+def test_stream_whose_first_batch_books_nothing(spark):
+    listings, base = _listings(spark), scratch_dir(spark, "stream")
+    at = dt.datetime(2026, 7, 27, 8)
+    slot = spark.range(1).select(BK.slots_for(F.lit("pr1"), F.lit("2026-07-28"))[0].alias("s")).first().s
+    for i, listing in enumerate(["nowhere", "pr1", "pr1"]):
+        rows = [(i, at, listing, "2026-07-28", slot, "n")]
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(SCHEMA).parquet(f"{base}/in")
+        _run(stream_bookings(arriving, listings, TODAY, f"{base}/ledger", f"{base}/out"), f"{base}/cp")
+    got = {r.request_id: r.status for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {0: 404, 1: 201, 2: 409}
