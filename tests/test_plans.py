@@ -5,6 +5,7 @@ from bisect import bisect_left
 
 from pyspark.sql import functions as F
 
+from roomtrace import constants as K
 from roomtrace.operators import listings as LS
 from roomtrace.plans import ranges, skew
 from roomtrace.sources.listings import read_normalized, write_listings
@@ -141,3 +142,13 @@ def test_first_per_link_combines_before_the_shuffle(spark):
     df = _listings(spark).withColumn("url", F.lit("x"))
     plan = physical(LS.dedup_by_link(df))
     assert "partial_min_by" in plan and "Window" not in plan
+
+
+def test_normalize_reads_only_needed_columns(spark, sf_dir):
+    from catalog import fixtures as X
+
+    plan = physical(LS.normalize(X.raw_listings(spark, sf_dir), X.NOW).select("id", "price_vnd"))
+    scanned = plan[plan.index("ReadSchema"):]
+    assert all(c in scanned for c in (K.COL_LINK, K.COL_PRICE, K.COL_AREA))
+    assert not any(c in scanned for c in (K.COL_TITLE, K.COL_DESCRIPTION, K.COL_POSTED, K.COL_ADDRESS))
+    assert "Exchange" not in plan
