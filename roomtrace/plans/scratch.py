@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local runs, tests) a temporary folder of
-    this machine is used.
+    Only a local session without that setting gets a temporary folder of this
+    machine; on a cluster the other machines could not read it, so that fails.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
