@@ -82,7 +82,7 @@ def window_minima(column: str, lengths: list[int], every: bool) -> Column:
 
     def of_band(single: Column, length: int) -> Column:
         """An array with the minima of each wanted length from ``length`` on; ``single`` holds those of ``length``."""
-        here = F.array(single) if length in lengths else F.array().cast("array<array<bigint>>")
+        here = F.array(single) if length in lengths and length > 1 else F.array().cast("array<array<bigint>>")
         if length >= max(lengths):
             return here
         nested = F.transform(F.array(doubled(single, 2 * length)), lambda a: of_band(a, 2 * length))
@@ -92,11 +92,8 @@ def window_minima(column: str, lengths: list[int], every: bool) -> Column:
     flipped = lambda a, band: F.transform(a, lambda x: x.bitwiseXOR(F.get(flips, band)))
     one_band = lambda a, band: F.flatten(F.flatten(F.transform(F.array(flipped(a, band)), lambda single: of_band(single, 1))))
     longer = [n for n in lengths if n > 1]
-    if not longer:
-        return F.col(column)
-    lengths = longer if 1 not in lengths else lengths
-    bands = F.transform(F.array_repeat(F.col(column), BANDS), one_band)
-    return F.flatten(bands)
+    alone = F.col(column) if 1 in lengths else F.array().cast("array<bigint>")  # one shingle needs one band
+    return F.concat(alone, F.flatten(F.transform(F.array_repeat(F.col(column), BANDS), one_band))) if longer else alone
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:

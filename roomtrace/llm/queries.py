@@ -7,9 +7,11 @@ from roomtrace.llm.near_dedup import op8_near_duplicates
 from roomtrace.llm.packing import op2_best_fit_packing
 from roomtrace.llm.quality import op9_quality
 from roomtrace.llm.secrets import op6_secret_scan
+from roomtrace.llm.suffix_dedup import op1_suffix_dedup
 from roomtrace.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_mix_sources": op3_mix_sources,
     "op4_license_scan": op4_license_scan,
