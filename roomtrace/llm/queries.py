@@ -4,6 +4,7 @@ from roomtrace.llm.exact_search import OP7_SQL, op7_exact_top_k
 from roomtrace.llm.licenses import OP4_SQL, op4_license_scan
 from roomtrace.llm.mixing import OP3_SQL, op3_mix_sources
 from roomtrace.llm.near_dedup import op8_near_duplicates
+from roomtrace.llm.neighbours import op5_nearest
 from roomtrace.llm.packing import op2_best_fit_packing
 from roomtrace.llm.quality import op9_quality
 from roomtrace.llm.secrets import op6_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_mix_sources": op3_mix_sources,
     "op4_license_scan": op4_license_scan,
+    "op5_nearest": op5_nearest,
     "op6_secret_scan": op6_secret_scan,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_near_duplicates": op8_near_duplicates,
