@@ -3,6 +3,7 @@
 The strings to compare are all suffixes of the corpus, to a depth of ``length`` bytes.
 They are sorted deep-shallow, but only where more than one document can be involved:
 
+0. Of identical documents only the first goes on; the others are removed as a whole.
 1. Every window of ``length`` bytes has one anchor, the place with the smallest hash of
    ``K`` bytes inside it.  Equal windows have equal anchors, so two documents can only
    share a window if they share an anchor's bytes.  About one place in 14 is an anchor.
@@ -21,6 +22,8 @@ Anchors in very many surroundings are dealt out by the hash of each whole window
 instead, so that no common phrase meets in one task.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,7 +38,7 @@ from roomtrace.plans.scratch import materialize
 #: Bytes of an anchor, and of a block of documents.
 K, BLOCK_BYTES = 24, 4 << 20
 #: Bytes of text for each bucket of anchors.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Depth of the multikey quicksort; longer common prefixes go to blind tries.
 SHALLOW = 32
 #: An anchor that stands in more blocks than this share of them, and this many, is dealt out window by window.
@@ -43,6 +46,9 @@ COMMON_SHARE, COMMON_LEAST = 0.02, 64
 
 _pack = lambda a: zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 _unpack = lambda b, dtype: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
+# nearly ascending numbers, as differences
+_pack_steps = lambda a: _pack(np.diff(a, prepend=a.dtype.type(0)))
+_unpack_steps = lambda b, dtype: np.cumsum(_unpack(b, dtype), dtype=dtype)
 
 
 def _words_at(data: np.ndarray, offset: int, n: int) -> np.ndarray:
@@ -50,14 +56,15 @@ def _words_at(data: np.ndarray, offset: int, n: int) -> np.ndarray:
     return np.ndarray((n,), dtype="<u8", buffer=data.data, offset=offset, strides=(1,))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, copies: np.ndarray) -> tuple[np.ndarray, ...]:
     """(place, hash, first window, last window) of each anchor; windows are given by their first byte.
 
-    ``data`` is followed by at least 64 more bytes; windows lie inside one document.
+    ``data`` is followed by at least 64 more bytes; windows lie inside one document, none in the documents ``copies``.
     """
     total, span = int(offsets[-1]), length - K + 1
     n = max(total - length + 1, 0)
     starts, sizes = offsets[:-1], np.diff(offsets)
+    sizes[copies] = 0
     windows = ragged(starts, np.maximum(sizes - length + 1, 0))
     if not len(windows):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -267,9 +274,26 @@ def _blocks(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return narrow.mapInArrow(pack, "block long, ids binary, offsets binary, data binary")
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = _unpack(row["data"], np.uint8)
-    return np.frombuffer(row["ids"], np.int64), _unpack(row["offsets"], np.int64), np.concatenate([data, np.zeros(64, np.uint8)])
+def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = np.concatenate([_unpack(row["data"], np.uint8), np.zeros(64, np.uint8)])
+    return np.frombuffer(row["ids"], np.int64), _unpack(row["offsets"], np.int64), data, np.array(row.get("copies") or [], dtype=np.int64)
+
+
+def _copies(blocks: DataFrame) -> DataFrame:
+    """(block, copies): the places in a block of documents whose whole text an earlier document has, too."""
+
+    def digests(batches):
+        for row in _rows(batches):
+            ids, offsets, data, _ = _open(row)
+            own = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), row["block"])), pa.array(np.arange(len(ids))), pa.array(ids), pa.array(own, pa.binary())], ["block", "place", "id", "digest"],
+            )
+
+    read = materialize(blocks.mapInArrow(digests, "block long, place long, id long, digest binary"), "digests")
+    firsts = read.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first")
+    later = read.join(firsts, "digest").filter("id > first")
+    return later.groupBy("block").agg(F.collect_list("place").alias("copies"))
 
 
 def _rows(batches):
@@ -304,8 +328,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
 
     def send_hashes(batches):
         for row in _rows(batches):
-            _, offsets, data = _open(row)
-            _, h, _, _ = anchors(data, offsets, length)
+            _, offsets, data, copies = _open(row)
+            _, h, _, _ = anchors(data, offsets, length, copies)
             bucket, h = _distinct(h, buckets)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
             out = []
@@ -327,13 +351,15 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         packed = [_pack(state[e - s : e]) for s, e in zip(sizes, ends, strict=True)]
         return pa.table({"block": pa.array(owners, pa.int64()), "bucket": table_["bucket"], "state": pa.array(packed, pa.binary())})
 
-    told = blocks.mapInArrow(send_hashes, "bucket long, block long, hashes binary").groupBy("bucket").applyInArrow(answer, "block long, bucket long, state binary")
+    # the blocks are shuffled once: all three joins are on the same key of the same table
+    known = blocks.join(materialize(_copies(blocks), "copies"), "block", "left")
+    told = known.mapInArrow(send_hashes, "bucket long, block long, hashes binary").groupBy("bucket").applyInArrow(answer, "block long, bucket long, state binary")
     states = told.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "state"))).alias("states"))
 
     def send_surroundings(batches):
         for row in _rows(batches):
-            ids, offsets, data = _open(row)
-            place, h, low, high = anchors(data, offsets, length)
+            ids, offsets, data, copies = _open(row)
+            place, h, low, high = anchors(data, offsets, length, copies)
             if not len(place):
                 continue
             doc = ids[np.searchsorted(offsets, low, side="right") - 1]
@@ -377,17 +403,23 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
             label, one = _classes(keys)
             least = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(least, label, doc)
-            order = np.lexsort((label, bucket[one][label]))
+            # entries in the order of the text, and so are nearly all of their uses
+            rank = np.empty(len(one), dtype=np.int64)
+            rank[np.argsort(one)] = np.arange(len(one))
+            label, one = rank[label], np.sort(one)
+            least = least[np.argsort(rank)]
             entry_bucket = bucket[one]
+            order = np.lexsort((low, label, entry_bucket[label]))
+            sorted_buckets = entry_bucket[label][order]
             out = []
             for k in np.unique(entry_bucket).tolist():
                 mine = np.flatnonzero(entry_bucket == k)
                 number = np.full(len(one), -1)
                 number[mine] = np.arange(len(mine))
-                uses = order[np.searchsorted(bucket[one][label][order], k) : np.searchsorted(bucket[one][label][order], k, side="right")]
+                uses = order[np.searchsorted(sorted_buckets, k) : np.searchsorted(sorted_buckets, k, side="right")]
                 out.append((
-                    k, row["block"], _pack(rows[one[mine]]), _pack(first[one[mine]]), _pack(last[one[mine]]), _pack(least[mine]),
-                    _pack(number[label[uses]].astype(np.int32)), _pack(doc[uses]), _pack(low[uses].astype(np.int32)),
+                    k, row["block"], _pack(rows[one[mine]]), _pack(first[one[mine]]), _pack(last[one[mine]]), _pack_steps(least[mine]),
+                    _pack_steps(number[label[uses]].astype(np.int32)), _pack(doc[uses] - least[label[uses]]), _pack_steps(low[uses].astype(np.int32)),
                 ))
             names = ["bucket", "block", "rows", "first", "last", "least", "use", "doc", "window"]
             columns = [pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))]
@@ -398,35 +430,46 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         rows = [_unpack(p["rows"], np.uint8).reshape(-1, K + 2 * side) for p in parts]
         first = np.concatenate([_unpack(p["first"], np.uint8) for p in parts]).astype(np.int64)
         last = np.concatenate([_unpack(p["last"], np.uint8) for p in parts]).astype(np.int64)
-        least = np.concatenate([_unpack(p["least"], np.int64) for p in parts])
+        least = np.concatenate([_unpack_steps(p["least"], np.int64) for p in parts])
         sizes = [len(r) for r in rows]
         found = earliest(np.concatenate(rows), first, last, least, length)
         spans = last - first + 1
         begins = np.cumsum(spans) - spans
         out, base = [], 0
         for p, n in zip(parts, sizes, strict=True):
-            use = _unpack(p["use"], np.int32) + base
-            doc, window = _unpack(p["doc"], np.int64), _unpack(p["window"], np.int32).astype(np.int64)
+            use = _unpack_steps(p["use"], np.int32) + base
+            doc, window = _unpack(p["doc"], np.int64) + least[use], _unpack_steps(p["window"], np.int32).astype(np.int64)
             count = spans[use]
-            hit = found[ragged(begins[use], count)] < np.repeat(doc, count)
-            out.append(_pack(ragged(window, count)[hit].astype(np.int32)))
+            hit = np.concatenate([[False], found[ragged(begins[use], count)] < np.repeat(doc, count)])
+            # runs of windows that follow one another, as places and lengths
+            at = np.concatenate([[-2], ragged(window, count)])
+            hits = np.flatnonzero(hit)
+            new = np.ones(len(hits), dtype=bool)
+            new[1:] = at[hits[1:]] != at[hits[:-1]] + 1
+            edges = np.flatnonzero(new)
+            runs = np.stack([at[hits[edges]], np.diff(np.concatenate([edges, [len(hits)]]))]).astype(np.int32) if len(hits) else np.zeros((2, 0), np.int32)
+            out.append((_pack_steps(runs[0]), _pack(runs[1])))
             base += n
-        return pa.table({"block": table_["block"], "hits": pa.array(out, pa.binary())})
+        starts, lengths = zip(*out, strict=True)
+        return pa.table({"block": table_["block"], "starts": pa.array(starts, pa.binary()), "lengths": pa.array(lengths, pa.binary())})
 
-    asked = blocks.join(states, "block", "left")
+    asked = known.join(states, "block", "left")
     sent = asked.mapInArrow(send_surroundings, "bucket long, block long, rows binary, first binary, last binary, least binary, use binary, doc binary, window binary")
-    hits = sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, hits binary").groupBy("block").agg(F.collect_list("hits").alias("hits"))
+    hits = sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, starts binary, lengths binary")
+    hits = hits.groupBy("block").agg(F.collect_list(F.struct("starts", "lengths")).alias("hits"))
 
     def remove(batches):
         for row in _rows(batches):
-            ids, offsets, data = _open(row)
+            ids, offsets, data, copies = _open(row)
             total = int(offsets[-1])
             change = np.zeros(total + 1, dtype=np.int64)
-            for blob in row["hits"] or []:
-                at = _unpack(blob, np.int32)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
+            for found in row["hits"] or []:
+                at = _unpack_steps(found["starts"], np.int32)
+                change += np.bincount(at, minlength=total + 1)
+                change -= np.bincount(at + _unpack(found["lengths"], np.int32) - 1 + length, minlength=total + 1)
             gone = np.cumsum(change)[:total] > 0
+            for k in copies.tolist():
+                gone[offsets[k] : offsets[k + 1]] = offsets[k + 1] - offsets[k] >= length
             spans, kept = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = gone[a:b]
@@ -436,7 +479,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
-    out = blocks.join(hits, "block", "left").mapInArrow(remove, "id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    out = known.join(hits, "block", "left").mapInArrow(remove, "id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
     return out.withColumnRenamed("id", id_column)
 
 
