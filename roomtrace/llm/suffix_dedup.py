@@ -36,9 +36,11 @@ from roomtrace.llm.shingles import mixed
 from roomtrace.plans.scratch import materialize
 
 #: Bytes of an anchor, and of a block of documents.
-K, BLOCK_BYTES = 24, 4 << 20
+K, BLOCK_BYTES = 24, 8 << 20
+#: Windows looked at together.
+SLICE = 1 << 19
 #: Bytes of text for each bucket of anchors.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Depth of the multikey quicksort; longer common prefixes go to blind tries.
 SHALLOW = 32
 #: An anchor that stands in more blocks than this share of them, and this many, is dealt out window by window.
@@ -61,32 +63,38 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, copies: np.ndarr
 
     ``data`` is followed by at least 64 more bytes; windows lie inside one document, none in the documents ``copies``.
     """
-    total, span = int(offsets[-1]), length - K + 1
-    n = max(total - length + 1, 0)
-    starts, sizes = offsets[:-1], np.diff(offsets)
+    sizes = np.diff(offsets)
     sizes[copies] = 0
-    windows = ragged(starts, np.maximum(sizes - length + 1, 0))
-    if not len(windows):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    places = n + span - 1
+    windows = ragged(offsets[:-1], np.maximum(sizes - length + 1, 0))
+    parts = []
+    for a in range(0, max(0, int(offsets[-1]) - length + 1), SLICE):
+        some = windows[np.searchsorted(windows, a) : np.searchsorted(windows, a + SLICE)]
+        if len(some):
+            parts.append(_slice_anchors(data, some, int(some[0]), int(some[-1]) + 1, length))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
+def _slice_anchors(data: np.ndarray, windows: np.ndarray, start: int, stop: int, length: int) -> tuple[np.ndarray, ...]:
+    """The anchors of windows that begin in start .. stop; they depend on nothing but the windows' own bytes."""
+    span = length - K + 1
+    places = stop - start + span - 1
     with np.errstate(over="ignore"):
         h = np.zeros(places, dtype=np.uint64)
         for j in range(0, K, 8):
-            h = (h ^ _words_at(data, j, places)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ _words_at(data, start + j, places)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         h = mixed(h)
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(places, dtype=np.uint64)
-    lowest, covered = key, 1
+    lowest, covered = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(places, dtype=np.uint64), 1
     while covered * 2 <= span:
         lowest = np.minimum(lowest[:-covered], lowest[covered:])
         covered *= 2
     if span > covered:
         lowest = np.minimum(lowest[: covered - span], lowest[span - covered :])
-    own = (lowest[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    own = (lowest[windows - start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     change = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     last = np.concatenate([change[1:], [len(own)]]) - 1
     place = own[change]
-    return place, h[place], windows[change], windows[last]
+    return place + start, h[place], windows[change], windows[last]
 
 
 def _surroundings(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
@@ -292,7 +300,7 @@ def _copies(blocks: DataFrame) -> DataFrame:
 
     read = materialize(blocks.mapInArrow(digests, "block long, place long, id long, digest binary"), "digests")
     firsts = read.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first")
-    later = read.join(firsts, "digest").filter("id > first")
+    later = read.join(firsts.hint("merge"), "digest").filter("id > first")
     return later.groupBy("block").agg(F.collect_list("place").alias("copies"))
 
 
@@ -352,7 +360,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         return pa.table({"block": pa.array(owners, pa.int64()), "bucket": table_["bucket"], "state": pa.array(packed, pa.binary())})
 
     # the blocks are shuffled once: all three joins are on the same key of the same table
-    known = blocks.join(materialize(_copies(blocks), "copies"), "block", "left")
+    known = blocks.join(materialize(_copies(blocks), "copies").hint("merge"), "block", "left")
     told = known.mapInArrow(send_hashes, "bucket long, block long, hashes binary").groupBy("bucket").applyInArrow(answer, "block long, bucket long, state binary")
     states = told.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "state"))).alias("states"))
 
@@ -453,7 +461,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         starts, lengths = zip(*out, strict=True)
         return pa.table({"block": table_["block"], "starts": pa.array(starts, pa.binary()), "lengths": pa.array(lengths, pa.binary())})
 
-    asked = known.join(states, "block", "left")
+    asked = known.join(states.hint("merge"), "block", "left")
     sent = asked.mapInArrow(send_surroundings, "bucket long, block long, rows binary, first binary, last binary, least binary, use binary, doc binary, window binary")
     hits = sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, starts binary, lengths binary")
     hits = hits.groupBy("block").agg(F.collect_list(F.struct("starts", "lengths")).alias("hits"))
@@ -462,12 +470,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         for row in _rows(batches):
             ids, offsets, data, copies = _open(row)
             total = int(offsets[-1])
-            change = np.zeros(total + 1, dtype=np.int64)
-            for found in row["hits"] or []:
-                at = _unpack_steps(found["starts"], np.int32)
-                change += np.bincount(at, minlength=total + 1)
-                change -= np.bincount(at + _unpack(found["lengths"], np.int32) - 1 + length, minlength=total + 1)
-            gone = np.cumsum(change)[:total] > 0
+            change = np.zeros(total + 1, dtype=np.int32)
+            if row["hits"]:
+                starts = np.concatenate([_unpack_steps(x["starts"], np.int32) for x in row["hits"]])
+                ends = starts + np.concatenate([_unpack(x["lengths"], np.int32) for x in row["hits"]]) - 1 + length
+                np.add.at(change, starts, 1)
+                np.add.at(change, ends, -1)
+            gone = np.cumsum(change, dtype=np.int32)[:total] > 0
             for k in copies.tolist():
                 gone[offsets[k] : offsets[k + 1]] = offsets[k + 1] - offsets[k] >= length
             spans, kept = [], []
@@ -479,7 +488,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
-    out = known.join(hits, "block", "left").mapInArrow(remove, "id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    out = known.join(hits.hint("merge"), "block", "left").mapInArrow(remove, "id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
     return out.withColumnRenamed("id", id_column)
 
 
