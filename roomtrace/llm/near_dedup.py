@@ -12,13 +12,13 @@ number of occurrences; similarity is the weighted Jaccard measure.
 2. Identical texts are one node.  Nodes that share a band of coordinates are candidates:
    each member of a bucket is compared with its smallest member, which is one pair
    for each member.  Where that leaves a bucket in more than one component, members outside
-   the bucket's largest component are compared with the members of all other ones.
+   the bucket's largest component are compared with the members of all other ones whose
+   size and whose signature's bits allow the similarity.
 3. Candidates are verified exactly on their texts.  Components of verified links are
    found by repeated minimum labels and pointer jumping, all as joins.
 """
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,9 @@ from roomtrace.llm.common import by_bytes, plain, table
 from roomtrace.llm.shingles import mixed, shingle_hashes, weighted
 from roomtrace.plans.scratch import materialize
 
+#: One bit of each coordinate of two sets agrees with probability (1 + similarity) / 2.  Pairs of similarity 0.8 stay below
+#: the mean number of differences plus so many standard deviations but for one in millions.
+DEVIATIONS = 5.0
 #: A pair of similarity 0.8 shares none of 32 bands of 5 coordinates with probability (1 - 0.8^5)^32 = 0.000003.
 BANDS, ROWS = 32, 5
 
@@ -95,6 +98,14 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return mixed(keys + np.arange(bands, dtype=np.uint64))
 
 
+def one_bits(signatures: np.ndarray) -> np.ndarray:
+    """The highest bit of each coordinate's dart, 64 to a number: (sets, numbers).  The lowest depend on the coordinate."""
+    bits = np.packbits((signatures >> np.uint64(63)).astype(np.uint8), axis=1)
+    wide = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return wide.view(np.int64)
+
+
 def similarity(left: pa.Array, right: pa.Array, words: int) -> np.ndarray:
     """Exact weighted Jaccard similarity of each pair of texts; 0 where neither has words."""
     n = len(left)
@@ -116,7 +127,7 @@ def similarity(left: pa.Array, right: pa.Array, words: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, digest of the text, number of shingles, band keys) of each row."""
+    """(id, digest of the text, number of shingles, band keys, a bit of each coordinate) of each row."""
 
     def sign(batches):
         for batch in batches:
@@ -124,24 +135,27 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             for first, some in by_bytes(texts, 1 << 20):
                 hashes, starts = shingle_hashes(some, words)
                 elements, weights, begins = weighted(hashes, starts)
-                keys = band_keys(dart_signatures(elements, weights, begins, bands * rows), bands, rows).view(np.int64)
+                signatures = dart_signatures(elements, weights, begins, bands * rows)
+                keys = band_keys(signatures, bands, rows).view(np.int64)
+                bits = one_bits(signatures)
+                bit_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.reshape(-1)))
                 sizes = np.diff(starts)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)), pa.array(keys[sizes > 0].reshape(-1)),
                 )
                 digests = pa.array([hashlib.md5(s.as_buffer()).digest() for s in some], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), digests, pa.array(sizes), lists], ["id", "digest", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), digests, pa.array(sizes), lists, bit_lists], ["id", "digest", "size", "keys", "bits"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"id {kind}, digest binary, size long, keys array<long>")
+    return docs.mapInArrow(sign, f"id {kind}, digest binary, size long, keys array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(docs.join(needed, "id").dropDuplicates(["id"]), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+    texts = materialize(docs.join(needed.hint("merge"), "id").dropDuplicates(["id"]), "texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("merge"), "b").select("a", "b", "left", "right")
 
     def verify(batches):
         for batch in batches:
@@ -186,27 +200,34 @@ def near_duplicates(
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter("id IS NOT NULL")
     signed = materialize(_signed(narrow, words, bands, rows), "signatures")
     nodes = signed.groupBy("digest").agg(F.min("id").alias("node"))
-    copies = materialize(signed.select("id", "digest").join(nodes, "digest").select("id", "node"), "copies")
-    keyed = signed.select("id", "size", "keys").join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
-    members = materialize(keyed.select("id", "size", F.explode("keys").alias("key")).distinct(), "members")
+    # joins are by sorting and merging at every size: what is small here grows with the corpus
+    copies = materialize(signed.select("id", "digest").join(nodes.hint("merge"), "digest").select("id", "node"), "copies")
+    keyed = signed.select("id", "size", "keys", "bits").join(nodes.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    keyed = materialize(keyed, "keyed")
+    members = keyed.select("id", F.explode("keys").alias("key"))
 
     hubs = materialize(members.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
-    stars = members.join(hubs, "key").filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_verified(materialize(stars, "pairs"), narrow, words, least), "links")
+    shared = materialize(members.join(hubs.select("key", "hub").hint("merge"), "key").select("key", "id", "hub").distinct(), "shared")
+    stars = materialize(shared.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = materialize(_verified(stars, narrow, words, least), "links")
     found = components(links)
 
     # buckets that the stars left in more than one component
     label = F.coalesce(F.col("class"), F.col("id"))
-    held = members.join(hubs.select("key"), "key").join(found, "id", "left").select("key", "id", "size", label.alias("class"))
-    held = materialize(held, "held")
+    held = materialize(shared.join(found, "id", "left").select("key", "id", label.alias("class")), "held")
     counted = held.groupBy("key", "class").agg(F.count("*").alias("n"))
     main = counted.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
     main = materialize(main, "main")
-    split = materialize(held.join(main.select("key", "main"), "key"), "split")
-    few = split.filter("class <> main").select("key", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("size").alias("sx"))
+    split = held.join(main.select("key", "main"), "key").join(keyed.select("id", "size", "bits").hint("merge"), "id")
+    split = materialize(split, "split")
+    few = split.filter("class <> main").select("key", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("size").alias("sx"), F.col("bits").alias("bx"))
     other = (F.col("class") != F.col("cx")) & ((F.col("class") == F.col("main")) | (F.col("id") < F.col("x")))
     sized = F.least("size", "sx") >= F.lit(least) * F.greatest("size", "sx")
-    rest = split.join(few, "key").filter(other & sized).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    coordinates = bands * rows
+    mean = coordinates * (1 - least) / 2
+    most = mean + DEVIATIONS * (mean * (1 + least) / 2) ** 0.5
+    differ = sum(F.bit_count(F.get("bits", k).bitwiseXOR(F.get("bx", k))) for k in range(-(-coordinates // 64)))
+    rest = split.join(few, "key").filter(other & sized & (differ <= most)).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
     links = materialize(links.unionByName(_verified(rest, narrow, words, least)), "links")
 
