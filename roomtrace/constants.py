@@ -25,7 +25,7 @@ POSTED_PATTERN = r"(\d{1,2}):(\d{2})\s+(\d{1,2})/(\d{1,2})/(\d{4})"
 AREA_PATTERN = r"(?i)^([\d.,]+)\s*m2$"
 # a number, then one of three units: millions, dong per square metre, dong
 PRICE_PATTERN = r"^([\d.,]+)\s*(?:triệu|đồng/m2|đồng)/tháng$"
-PRICE_MILLION, PRICE_PER_M2, PRICE_DONG = "triệu/tháng", "đồng/m2/tháng", "đồng/tháng"
+PRICE_MILLION, PRICE_PER_M2 = "triệu/tháng", "đồng/m2/tháng"
 MIN_CREDIBLE_PRICE = 100_000
 UNKNOWN_DISTRICT = "Không rõ"
 AMENITIES = [

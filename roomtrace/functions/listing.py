@@ -4,20 +4,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roomtrace import constants as K
-from roomtrace.functions.text import contains_any, py_strip, strip_accents
+from roomtrace.functions.text import ascii_digits, contains_any, py_strip, strip_accents
+
+#: Makes ``\\s`` and ``\\d`` of the patterns mean white space and digits of any script.
+ANY_SCRIPT = "(?U)"
 
 
 def _digits_only(c: Column) -> Column:
-    return F.translate(c, ".,", "").try_cast("bigint")
+    return ascii_digits(F.translate(c, ".,", "")).try_cast("bigint")
 
 
 def _decimal_number(c: Column) -> Column:
-    return F.translate(c, ",", ".").try_cast("double")
+    return ascii_digits(F.translate(c, ",", ".")).try_cast("double")
 
 
 def price_number(label: Column) -> Column:
     """The number of a trimmed price text in one of the known units, else the empty string."""
-    return F.regexp_extract(label, K.PRICE_PATTERN, 1)
+    return F.regexp_extract(label, ANY_SCRIPT + K.PRICE_PATTERN, 1)
 
 
 def price_amount(label: Column, number: Column, area: Column) -> Column:
@@ -39,13 +42,13 @@ def parse_price(c: Column, area: Column) -> Column:
 
 def parse_area(c: Column) -> Column:
     """Area in square metres as double, or null."""
-    return _decimal_number(F.nullif(F.regexp_extract(py_strip(c), K.AREA_PATTERN, 1), F.lit("")))
+    return _decimal_number(F.nullif(F.regexp_extract(py_strip(c), ANY_SCRIPT + K.AREA_PATTERN, 1), F.lit("")))
 
 
 def parse_posted_at(c: Column) -> Column:
     """First ``H:MM D/M/YYYY`` in the text as a timestamp without zone, or null."""
-    found = F.regexp_extract(c, K.POSTED_PATTERN, 0)
-    part = F.split(found, r"[:/\s]+")  # a single empty part when nothing was found
+    found = ascii_digits(F.regexp_extract(c, ANY_SCRIPT + K.POSTED_PATTERN, 0))
+    part = F.split(found, ANY_SCRIPT + r"[:/\s]+")  # a single empty part when nothing was found
     hour, minute, day, month, year = (F.get(part, F.lit(i)).try_cast("int") for i in range(5))
     return F.try_make_timestamp_ntz(F.nullif(year, F.lit(0)), month, day, hour, minute, F.lit(0))
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from roomtrace import constants as K
 
 
+#: Decimal digits of other scripts (those inside the basic plane, which ``translate`` maps one by one).
+_DIGITS = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd"]
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
     """Source and target alphabets for ``translate``.
@@ -45,6 +49,11 @@ def py_strip(c: Column) -> Column:
     return F.btrim(F.coalesce(c, F.lit("")), F.lit(K.WHITESPACE))
 
 
+def ascii_digits(c: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    return F.translate(c, "".join(_DIGITS), "".join(str(unicodedata.digit(d)) for d in _DIGITS))
+
+
 def district_key(c: Column) -> Column:
     """Accent-, case- and punctuation-free match key."""
     return F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]", "")

@@ -8,7 +8,7 @@ from roomtrace.functions.agent import truncate_at_observation
 from roomtrace.functions.text import py_strip
 from roomtrace.operators.traces import live_steps
 
-LISTING_ID = r"pr\d+"
+LISTING_ID = r"\b(?:pr\d+|gen\d{4,})"
 
 
 def _is_subsequence(expected: Column, called: Column) -> Column:

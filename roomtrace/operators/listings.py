@@ -9,11 +9,6 @@ from roomtrace import constants as K
 from roomtrace.functions import listing as L
 from roomtrace.functions.text import district_key, py_strip, scrub_phones
 
-LISTING_COLUMNS = [
-    "id", "title", "price_vnd", "price_label", "area_m2", "district", "district_key", "address",
-    "amenities", "description", "posted_at", "days_old", "url",
-]
-
 
 def as_timestamp(now: Column | dt.datetime | str) -> Column:
     return now if isinstance(now, Column) else F.lit(str(now)).cast("timestamp_ntz")
@@ -93,9 +88,11 @@ def _pick_row(df: DataFrame, key: Column, pick) -> DataFrame:
 
 def dedup_by_link(df: DataFrame) -> DataFrame:
     """First row per non-empty link; rows without a link are all kept."""
-    # rows without a link are their own key, so one pass serves both kinds and they spread evenly
-    own = F.concat(F.lit("row "), F.col("row_index").cast("string"))
-    return _pick_row(df, F.when(F.col("url") != "", F.col("url")).otherwise(own), F.min_by)
+    # rows without a link are their own key, so one pass serves both kinds and they spread evenly; a key has a field for
+    # either kind, so that no link can look like a row
+    link = F.when(F.col("url") != "", F.col("url"))
+    own = F.when(link.isNull(), F.col("row_index"))
+    return _pick_row(df, F.struct(link.alias("link"), own.alias("row")), F.min_by)
 
 
 def latest_by_id(df: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def validate_search(requests: DataFrame) -> DataFrame:
     negative = (
         (F.coalesce(F.col("max_price"), F.lit(0)) < 0)
         | (F.coalesce(F.col("min_area"), F.lit(0.0)) < 0)
+        | F.isnan(F.coalesce(F.col("min_area").cast("double"), F.lit(0.0)))
         | (F.coalesce(F.col("max_days_old"), F.lit(0)) < 0)
     )
     out_of_range = negative | ~limit.between(K.MIN_LIMIT, K.MAX_LIMIT)

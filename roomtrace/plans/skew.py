@@ -6,36 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A key with at least this many rows on the many-side may be split up.
+#: Rows of one key that one task may hold; a key with more of them is split into parts of at most about so many.
 HOT_ROWS = 200_000
-#: At most this many keys are split.  A key with more than 1/1000 of all rows
-#: is always among the 1000 most frequent ones, so every dominant key is caught.
-HOT_KEYS = 1000
-#: Bounds for the number of parts a hot key is split into; in between, one per shuffle partition.
-MIN_SALTS, MAX_SALTS = 8, 1024
-#: A table of fewer (stored) bytes cannot fill one task with a hot key, so keys are not counted.
-SMALL_BYTES = 64 << 20
 #: Longest stretch of one key's rows that a single window group may hold.
 CHUNK = 1024
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent key combinations: never more than HOT_KEYS rows."""
+    """Every key with at least ``hot_rows`` rows, and the number of parts it takes."""
     return (
         df.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
+        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
     )
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate: exact for stored tables, far too high after joins."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def lookup(
     many: DataFrame,
     unique: DataFrame,
@@ -46,31 +32,25 @@ def lookup(
 ) -> DataFrame:
     """Equi-join ``many`` with a table that has one row per key.
 
-    Hot keys of ``many`` are spread over as many parts as there are shuffle
-    partitions, by a hash of the ``spread`` columns (repeatable, so a recomputed
-    task gives the same rows); only the matching rows of ``unique`` are repeated,
-    at most HOT_KEYS * MAX_SALTS of them.  A small ``many`` is joined as it is.
+    Every key of ``many`` with more than ``hot_rows`` rows is spread over parts of about
+    that size, by a hash of the ``spread`` columns (repeatable, so a recomputed task
+    gives the same rows); only the matching rows of ``unique`` are repeated, once for
+    each part.  Keys are counted at every size; the table of hot keys is a fraction
+    1 / ``hot_rows`` of the rows at most and joined as the optimizer sees fit.
     """
-    if estimated_bytes(many) < SMALL_BYTES:
-        return many.join(unique, keys, how)
-    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = min(max(partitions, MIN_SALTS), MAX_SALTS)
-    # HOT_KEYS rows of key values: small by construction
-    hot = F.broadcast(hot_keys(many.select(*keys), keys, hot_rows))
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
+    hot = hot_keys(many.select(*keys), keys, hot_rows)
+    part = lambda parts: F.pmod(F.xxhash64(*[F.col(c) for c in spread]), parts).cast("int")
     unmatchable = reduce(Column.__or__, [F.col(c).isNull() for c in keys])
+    partitions = F.lit(int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted_many = (
         many.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | unmatchable, part).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.when(unmatchable, part(partitions)).when(F.col("_parts").isNotNull(), part(F.col("_parts"))).otherwise(F.lit(0)))
+        .drop("_parts")
     )
     salted_unique = (
         unique.join(hot, keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
+        .drop("_parts")
     )
     return salted_many.join(salted_unique, [*keys, "_salt"], how).drop("_salt")
 

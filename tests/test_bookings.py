@@ -83,7 +83,6 @@ def test_adjudicate_equals_one_by_one(spark):
 
 
 def test_adjudicate_with_a_hot_day(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
     monkeypatch.setattr(skew.lookup, "__defaults__", ("left", 5))
     rows, requests = _requests(spark)
     got = BK.adjudicate(requests, _listings(spark), ledger.empty_ledger(spark), TODAY)

@@ -16,7 +16,8 @@ from roomtrace.functions import listing as L
 from roomtrace.functions import render as R
 from roomtrace.functions import text as TX
 from roomtrace.operators.bookings import slots_for
-from roomtrace.operators.listings import as_date, as_timestamp
+from roomtrace.operators.listings import as_date, as_timestamp, dedup_by_link
+from roomtrace.operators.search import validate_search
 
 
 def apply(spark, values, f, schema="v string"):
@@ -200,3 +201,24 @@ def test_slots_contract(spark):
     assert all(s == sorted(set(s)) and set(s) <= set(K.SLOT_POOL) for s in slots)
     assert slots == apply(spark, ids, lambda c: slots_for(c, F.lit("2026-07-28")))
     assert not re.search("x", "".join(sum(slots, [])))
+
+
+def test_blanks_and_digits_of_any_script(spark):
+    """A non-breaking space or a full-width digit must not lose a price, an area or a date."""
+    rows = [("3,5\u00a0triệu/tháng", "25\u00a0m2", "9:05\u00a01/2/2026"), ("３,５ triệu/tháng", "２５ m2", "９:０５ １/２/２０２６")]
+    df = spark.createDataFrame(rows, "price string, area string, posted string")
+    area = L.parse_area(F.col("area"))
+    for r in df.select(L.parse_price(F.col("price"), area).alias("p"), area.alias("a"), L.parse_posted_at(F.col("posted")).cast("string").alias("t")).collect():
+        assert (r.p, r.a, r.t) == (3_500_000, 25.0, "2026-02-01 09:05:00")
+
+
+def test_links_that_look_like_row_numbers(spark):
+    rows = [(0, ""), (1, "row 0"), (2, None), (3, "row 0")]
+    found = dedup_by_link(spark.createDataFrame(rows, "row_index long, url string"))
+    assert sorted(r.row_index for r in found.collect()) == [0, 1, 2]
+
+
+def test_an_area_that_is_no_number_is_refused(spark):
+    rows = [(None, None, float("nan"), None), (None, None, 10.0, None)]
+    df = spark.createDataFrame(rows, "limit int, max_price long, min_area double, max_days_old int")
+    assert [r.status for r in validate_search(df).collect()] == [422, 200]

@@ -9,6 +9,8 @@ import inspect
 import pytest
 
 import __spark_entry__ as entry_module
+from catalog.oracle import ORACLE
+from catalog.queries import QUERIES
 from tests.compare import connect, difference
 
 SLOW = {
@@ -23,8 +25,9 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
-    for query in entry_module.queries().values():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE) <= set(entry_module.oracle_sql())
+    for query in QUERIES.values():
         assert list(inspect.signature(query).parameters) == ["spark", "sf_dir"]
 
 
@@ -33,6 +36,6 @@ def test_entry_answers_the_flagship_question(spark):
     assert [r.row_index for r in rows] == [508, 2, 1146, 640, 893]
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_same_rows_as_duckdb(spark, con, sf_dir, name):
-    assert difference(spark, con, sf_dir, entry_module.queries()[name], entry_module.oracle_sql()[name]) is None
+    assert difference(spark, con, sf_dir, QUERIES[name], ORACLE[name]) is None

@@ -16,8 +16,7 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_lookup_with_hot_and_null_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+def test_lookup_with_hot_and_null_keys(spark):
     rng = random.Random(1)
     many = [(i, "hot" if i % 3 else (None if i % 7 == 0 else f"k{rng.randint(0, 40)}")) for i in range(3000)]
     unique = [("hot", 1)] + [(f"k{i}", i) for i in range(0, 40, 2)]
@@ -29,14 +28,7 @@ def test_lookup_with_hot_and_null_keys(spark, monkeypatch):
         assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_small_tables_are_joined_plainly(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    assert "_salt" not in physical(skew.lookup(small, small, ["k"], ["k"]))
-    assert skew.estimated_bytes(spark.range(1 << 24)) > skew.SMALL_BYTES
-
-
 def test_hot_key_is_spread_over_tasks(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
     many = spark.range(9000).select("id", (F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))).alias("k"))
     unique = spark.range(-1, 9000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
     seen = {}
@@ -49,12 +41,14 @@ def test_hot_key_is_spread_over_tasks(spark, monkeypatch):
     plain = type(many).join
     monkeypatch.setattr(type(many), "join", capture)
     joined = skew.lookup(many, unique, ["k"], ["id"], hot_rows=1000)
-    assert seen["parts"] >= skew.MIN_SALTS and joined.where("v = 1").count() == 9000
+    assert seen["parts"] == 3 and joined.where("v = 1").count() == 9000
 
 
-def test_hot_keys_are_bounded(spark):
+def test_every_hot_key_is_found_with_its_parts(spark):
     df = spark.range(200_000).select((F.col("id") % 5000).alias("k"))
-    assert skew.hot_keys(df, ["k"], hot_rows=1).count() == skew.HOT_KEYS
+    assert skew.hot_keys(df, ["k"], hot_rows=1).count() == 5000
+    assert {r["_parts"] for r in skew.hot_keys(df, ["k"], hot_rows=15).collect()} == {3}
+    assert skew.hot_keys(df, ["k"], hot_rows=41).count() == 0
 
 
 def test_running_total_across_stretches(spark):

@@ -71,7 +71,6 @@ def test_more_thresholds_than_one_pass_serves(spark, monkeypatch):
 
 
 def test_search_batch_with_split_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
     monkeypatch.setattr(skew.lookup, "__defaults__", ("left", 5))
     got, want, _ = _run(spark, *_data(15, 300, 120))
     assert got == want
