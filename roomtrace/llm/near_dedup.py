@@ -11,9 +11,10 @@ number of occurrences; similarity is the weighted Jaccard measure.
    all coordinates are made, so a signature costs about (weight + coordinates) steps.
 2. Identical texts are one node.  Nodes that share a band of coordinates are candidates:
    each member of a bucket is compared with its smallest member, which is one pair
-   for each member.  Where that leaves a bucket in more than one component, members outside
-   the bucket's largest component are compared with the members of all other ones whose
-   size and whose signature's bits allow the similarity.
+   for each member.  Where that leaves a bucket in more than one component, members that share
+   two bands are compared with one of them that a hash draws, one pair for each again.
+   Members that are then still outside the bucket's largest component are compared with
+   the members of all other ones whose size and whose signature's bits allow the similarity.
 3. Candidates are verified exactly on their texts.  Components of verified links are
    found by repeated minimum labels and pointer jumping, all as joins.
 """
@@ -22,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomtrace.llm.common import by_bytes, plain, table
@@ -34,6 +35,8 @@ from roomtrace.plans.scratch import materialize
 DEVIATIONS = 5.0
 #: A pair of similarity 0.8 shares none of 32 bands of 5 coordinates with probability (1 - 0.8^5)^32 = 0.000003.
 BANDS, ROWS = 32, 5
+#: A band is paired with so many that follow it.
+REACH = 4
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarray:
@@ -187,13 +190,49 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("id", "class")
 
 
+def _may_be_similar(size: Column, bits: Column, other_size: Column, other_bits: Column, coordinates: int, least: float) -> Column:
+    """Whether two texts' sizes and the bits of their signatures allow the similarity."""
+    mean = coordinates * (1 - least) / 2
+    most = mean + DEVIATIONS * (mean * (1 + least) / 2) ** 0.5
+    differ = sum(F.bit_count(F.get(bits, k).bitwiseXOR(F.get(other_bits, k))) for k in range(-(-coordinates // 64)))
+    return (F.least(size, other_size) >= F.lit(least) * F.greatest(size, other_size)) & (differ <= most)
+
+
+def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, class, main): the members of buckets in more than one component; main is the bucket's largest one."""
+    label = F.coalesce(F.col("class"), F.col("id"))
+    held = materialize(shared.join(found.hint("merge"), "id", "left").select("key", "id", label.alias("class")), "held")
+    counted = held.groupBy("key", "class").agg(F.count("*").alias("n"))
+    main = counted.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
+    return materialize(held.join(main.select("key", "main").hint("merge"), "key"), "apart")
+
+
+def _drawn_pairs(apart: DataFrame, keyed: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
+    """(a, b): members of different components that share two bands, each with one member that a hash draws for these two.
+
+    That is one pair for each member and two bands.  Two texts that are still apart can share only buckets in ``apart``.
+    """
+    steps = list(range(1, bands))[:REACH] or [0]
+    own = apart.groupBy("id").agg(F.collect_list("key").alias("own"), F.first("class").alias("class"))
+    two = lambda i, d: F.array(F.get("keys", i), F.get("keys", (i + d) % bands))
+    both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.array(*[two(i, d) for d in steps])))
+    held = F.filter(both, lambda x: F.array_contains("own", x[0]) & F.array_contains("own", x[1]))
+    members = own.join(keyed.hint("merge"), "id").select("id", "class", "size", "bits", F.explode(F.transform(held, lambda x: F.xxhash64(x[0], x[1]))).alias("two"))
+    members = materialize(members, "members")
+    hubs = members.groupBy("two").agg(F.min(F.struct(F.xxhash64("id", "two").alias("draw"), "id", "class", "size", "bits")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hub = F.col("hub")
+    alike = _may_be_similar(F.col("size"), F.col("bits"), hub["size"], hub["bits"], bands * rows, least)
+    met = members.join(hubs.hint("merge"), "two").filter((F.col("class") != hub["class"]) & alike)
+    return met.select(F.least("id", hub["id"]).alias("a"), F.greatest("id", hub["id"]).alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, least: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """(id, class, links): one row per distinct id that is not null; the class is the smallest id of its group.
 
     Identical texts, empty and null ones too (null is empty), are one class.  ``links`` counts the verified links of the
-    text to different texts; copies share the count of their text.  A text of fewer words than a shingle is one shingle; a
+    text to different texts, as far as they were needed to find the classes; copies share the count of their text.  A text of fewer words than a shingle is one shingle; a
     text without words is similar to none but its copies.  Of rows with the same id, one is read; rows with a null id have
     no class and are left out.  Other columns are not read.
     """
@@ -212,23 +251,19 @@ def near_duplicates(
     links = materialize(_verified(stars, narrow, words, least), "links")
     found = components(links)
 
-    # buckets that the stars left in more than one component
-    label = F.coalesce(F.col("class"), F.col("id"))
-    held = materialize(shared.join(found, "id", "left").select("key", "id", label.alias("class")), "held")
-    counted = held.groupBy("key", "class").agg(F.count("*").alias("n"))
-    main = counted.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
-    main = materialize(main, "main")
-    split = held.join(main.select("key", "main"), "key").join(keyed.select("id", "size", "bits").hint("merge"), "id")
-    split = materialize(split, "split")
+    # what the stars left apart meets in pairs of bands, around hubs drawn by a hash: most of a crowd of near copies becomes one component
+    apart = _apart(shared.select("key", "id"), found)
+    drawn = materialize(_drawn_pairs(apart, keyed, bands, rows, least).join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    links = materialize(links.unionByName(_verified(drawn, narrow, words, least)), "links")
+
+    # buckets that are still in more than one component
+    split = _apart(apart.select("key", "id"), components(links))
+    split = materialize(split.join(keyed.select("id", "size", "bits").hint("merge"), "id"), "split")
     few = split.filter("class <> main").select("key", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("size").alias("sx"), F.col("bits").alias("bx"))
     other = (F.col("class") != F.col("cx")) & ((F.col("class") == F.col("main")) | (F.col("id") < F.col("x")))
-    sized = F.least("size", "sx") >= F.lit(least) * F.greatest("size", "sx")
-    coordinates = bands * rows
-    mean = coordinates * (1 - least) / 2
-    most = mean + DEVIATIONS * (mean * (1 + least) / 2) ** 0.5
-    differ = sum(F.bit_count(F.get("bits", k).bitwiseXOR(F.get("bx", k))) for k in range(-(-coordinates // 64)))
-    rest = split.join(few, "key").filter(other & sized & (differ <= most)).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
+    alike = _may_be_similar(F.col("size"), F.col("bits"), F.col("sx"), F.col("bx"), bands * rows, least)
+    rest = split.join(few, "key").filter(other & alike).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    rest = materialize(rest.join(stars.unionByName(drawn).hint("merge"), ["a", "b"], "left_anti"), "pairs")
     links = materialize(links.unionByName(_verified(rest, narrow, words, least)), "links")
 
     found = components(links)
