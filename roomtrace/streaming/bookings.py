@@ -23,7 +23,8 @@ def _ledger_before(spark: SparkSession, path: str, batch_id: int, today) -> Data
 
 
 def stream_bookings(
-    requests: DataFrame, listings: DataFrame, today, ledger_path: str, decisions_path: str
+    requests: DataFrame, listings: DataFrame, today, ledger_path: str, decisions_path: str,
+    booked: DataFrame | None = None,
 ) -> DataStreamWriter:
     """Writer that decides each micro-batch against the ledger table and extends it.
 
@@ -31,6 +32,8 @@ def stream_bookings(
     and, inside a batch, to the first request.  A batch writes only its own
     ``batch=N`` folders and overwrites them when it is run again after a
     failure, and it reads only earlier batches, so replays change nothing.
+    ``booked`` holds bookings made before the stream, with the ledger's columns
+    and kept elsewhere than ``ledger_path``; no batch gives their slots again.
     The caller adds trigger and checkpoint location and starts it.
     """
 
@@ -40,6 +43,10 @@ def stream_bookings(
             ledger = spark.createDataFrame([], LEDGER_SCHEMA)
         else:
             ledger = _ledger_before(spark, ledger_path, batch_id, today)
+        if booked is not None:
+            still_open = F.col("date") >= as_date(today).cast("string")
+            earlier = booked.where(still_open).select(*LEDGER_SCHEMA.names)
+            ledger = ledger.select(*LEDGER_SCHEMA.names).unionByName(earlier)
         decisions = adjudicate(batch, listings, ledger, today)
         target = f"{decisions_path}/batch={batch_id}"
         decisions.write.mode("overwrite").parquet(target)

@@ -160,3 +160,15 @@ def test_stream_whose_first_batch_books_nothing(spark):
         _run(stream_bookings(arriving, listings, TODAY, f"{base}/ledger", f"{base}/out"), f"{base}/cp")
     got = {r.request_id: r.status for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {0: 404, 1: 201, 2: 409}
+
+
+def test_stream_starts_from_earlier_bookings(spark):
+    listings, base = _listings(spark), scratch_dir(spark, "stream")
+    at = dt.datetime(2026, 7, 27, 8)
+    offered = spark.range(1).select(BK.slots_for(F.lit("pr1"), F.lit("2026-07-28")).alias("s")).first().s
+    held = spark.createDataFrame([("r", "pr1", "t", "x", "2026-07-28", offered[0], "n")], ledger.LEDGER_SCHEMA)
+    for i, slot in enumerate([offered[0], offered[1], offered[0]]):
+        spark.createDataFrame([(i, at, "pr1", "2026-07-28", slot, "n")], SCHEMA).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(SCHEMA).parquet(f"{base}/in")
+        _run(stream_bookings(arriving, listings, TODAY, f"{base}/ledger", f"{base}/out", held), f"{base}/cp")
+    assert {r.request_id: r.status for r in spark.read.parquet(f"{base}/out").collect()} == {0: 409, 1: 201, 2: 409}
