@@ -7,6 +7,11 @@ that is not above n.  A window's signature has ``BANDS`` bands of one MinHash ea
 minimum of the shingles under a bit flip of its own, which puts each shingle first
 equally often.  Windows of twice the length take the minimum of two neighbours.
 
+A window whose minimum is indexed holds a shingle of a template, so windows are formed only for
+passages that hold one; no candidate is lost by that.  The keys of a passage are reduced to those
+in the index before they become rows, because every row of an explode repeats the passage's
+shingles.
+
 A text holds a template if it contains 0.8 of its shingles.  Windows of up to four
 shingles begin at every shingle, longer ones at every second or fourth, so a verbatim
 copy has a window of similarity 14/18 or more with an indexed one and is missed with a
@@ -25,8 +30,8 @@ BANDS = 8
 LENGTHS = (1, 2, 4, 8, 16)
 #: Longer texts are read in passages of so many characters.
 PASSAGE = 1 << 18
-#: The index is sent to all tasks up to this many rows; a larger one is joined like any table.
-SMALL_INDEX = 200_000
+#: Up to so many keys the index is part of the plan and sent to all tasks; a larger one is joined like any table.
+SMALL_INDEX = 20_000
 #: Fixed bit flips, one for each band.
 FLIPS = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xBF58476D1CE4E5B9 * (k + 1)) % (1 << 64) - (1 << 63) for k in range(BANDS)]
 
@@ -130,8 +135,7 @@ def scan_licenses(
         index = index.unionByName(part)
     wanted = known.select("license", F.array_distinct("runs").alias("wanted"))
     index = index.distinct().join(wanted, "license")
-    if sum(n * BANDS for n in sizes.values()) <= SMALL_INDEX:
-        index = F.broadcast(index)
+    small = sum(n * BANDS for n in sizes.values()) <= SMALL_INDEX
     lengths = sorted({max(x for x in LENGTHS if x <= n) for n in sizes.values()})
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -140,7 +144,14 @@ def scan_licenses(
     )
     piece = F.when(F.length("text") <= PASSAGE, F.col("text")).otherwise(F.substring(F.col("text"), F.col("part") * PASSAGE + 1, F.lit(PASSAGE + overlap)))
     runs = passages.select("id", shingles(piece).alias("runs"))
-    keyed = runs.select("id", "runs", F.explode(window_minima("runs", lengths, False)).alias("key"))
+    keys = window_minima("runs", lengths, False)
+    if small:
+        rows = index.select("key", "wanted").collect()
+        fixed = lambda values: F.lit(sorted(values)).cast("array<bigint>")
+        runs = runs.filter(F.arrays_overlap("runs", fixed({x for r in rows for x in r["wanted"]})))
+        keys = F.array_intersect(keys, fixed({r["key"] for r in rows}))
+        index = F.broadcast(index)
+    keyed = runs.select("id", "runs", F.explode(keys).alias("key"))
     found = keyed.join(index, "key").select("id", "license", F.size("wanted").alias("n_shingles"), F.size(F.array_intersect("wanted", "runs")).alias("n_found"))
     held = found.filter(F.col("n_found") >= F.lit(least) * F.col("n_shingles"))
     best = held.groupBy("id", "license").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
