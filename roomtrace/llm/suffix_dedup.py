@@ -39,6 +39,8 @@ from roomtrace.plans.scratch import materialize
 K, BLOCK_BYTES = 24, 8 << 20
 #: Windows looked at together.
 SLICE = 1 << 19
+#: Surroundings cut out together; their places take eight times the memory of their bytes.
+ROWS = 1 << 14
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 16 << 20
 #: Depth of the multikey quicksort; longer common prefixes go to blind tries.
@@ -100,9 +102,13 @@ def _slice_anchors(data: np.ndarray, windows: np.ndarray, start: int, stop: int,
 def _surroundings(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
     """The bytes from ``length - K`` before each anchor to ``length - K`` behind it, zero outside its own windows."""
     side = length - K
-    at = place[:, None] + np.arange(-side, K + side)[None, :]
-    inside = (at >= low[:, None]) & (at < (high + length)[:, None])
-    return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+    out = np.empty((len(place), K + 2 * side), dtype=np.uint8)
+    for a in range(0, len(place), ROWS):
+        some = slice(a, a + ROWS)
+        at = place[some, None] + np.arange(-side, K + side)[None, :]
+        inside = (at >= low[some, None]) & (at < (high[some] + length)[:, None])
+        out[some] = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0)
+    return out
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
@@ -197,7 +203,7 @@ def deep_shallow(rows: np.ndarray, row: np.ndarray, at: np.ndarray, length: int,
     label = group.copy()
     if len(active) and shallow < length:
         begin = base[order[active]] + shallow
-        tails = padded[begin[:, None] + np.arange(length - shallow)[None, :]]
+        tails = np.lib.stride_tricks.sliding_window_view(padded, length - shallow)[begin]
         raw, step = tails.tobytes(), length - shallow
         old = group[active]
         firsts = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]])).tolist() + [len(active)]
@@ -435,12 +441,15 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
 
     def sort_bucket(table_):
         parts = table_.to_pylist()
-        rows = [_unpack(p["rows"], np.uint8).reshape(-1, K + 2 * side) for p in parts]
+        rows = [_unpack(p.pop("rows"), np.uint8).reshape(-1, K + 2 * side) for p in parts]
         first = np.concatenate([_unpack(p["first"], np.uint8) for p in parts]).astype(np.int64)
         last = np.concatenate([_unpack(p["last"], np.uint8) for p in parts]).astype(np.int64)
         least = np.concatenate([_unpack_steps(p["least"], np.int64) for p in parts])
         sizes = [len(r) for r in rows]
-        found = earliest(np.concatenate(rows), first, last, least, length)
+        whole = np.concatenate(rows)
+        del rows
+        found = earliest(whole, first, last, least, length)
+        del whole
         spans = last - first + 1
         begins = np.cumsum(spans) - spans
         out, base = [], 0
