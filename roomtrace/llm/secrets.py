@@ -9,7 +9,9 @@ target's name times the score of its own shape is high enough.
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, deque
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -140,14 +142,18 @@ def named_spans(text: str) -> list[tuple[int, int, str, float]]:
 
 
 def spans_of(text: str) -> list[dict]:
-    """All spans in order of start, then kind.  A literal that touches a base span is that span already."""
+    """All spans in order of start, then kind.  A literal is left out only if the value of one base span, or one other literal, contains all of it."""
     base = base_spans(text)
     out = [{"kind": k, "start": a, "end": b, "value_start": c, "value_end": d, "name": None, "score": 1.0} for a, b, k, c, d in base]
-    taken = sorted((a, b) for a, b, *_ in base)
-    for a, b, name, score in named_spans(text):
-        if not any(x < b and a < y for x, y in taken):
+    values = sorted((c, d) for _, _, _, c, d in base)
+    starts = [c for c, _ in values]
+    furthest = list(accumulate((d for _, d in values), max))  # the last end of the values up to each one
+    last = 0
+    for a, b, name, score in sorted(named_spans(text), key=lambda s: (s[0], -s[1])):
+        before = bisect_right(starts, a)
+        if b > last and not (before and furthest[before - 1] >= b):
             out.append({"kind": "named", "start": a, "end": b, "value_start": a, "value_end": b, "name": name, "score": score})
-            taken.append((a, b))
+            last = b
     return sorted(out, key=lambda s: (s["start"], KINDS.index(s["kind"])))
 
 
@@ -175,7 +181,7 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def redact(docs: DataFrame, text_column: str = "text", length_column: str = "n_chars", mark: str = "[REDACTED]") -> DataFrame:
     """The same rows and columns, every secret value in the text replaced by ``mark`` and the length column brought up to date.
 
-    Null texts stay null.  Values that overlap are replaced once.
+    Null texts stay null.  Values that overlap are replaced by one mark, which stands for all that any of them covers.
     """
 
     def clean(text: str) -> str:
