@@ -4,7 +4,8 @@ The lexer reads source and configuration syntax as pairs of a name and an
 expression of literals and other names.  Names that are assigned to a sensitive
 name become sensitive themselves, so a literal is found where it stands even if it
 reaches the password over several constants.  A literal counts when the score of its
-target's name times the score of its own shape is high enough.
+target's name times the score of its own shape is high enough.  Strings may go over lines,
+and of "Bearer", "Basic" or "Token" and one term, the term is the literal.
 """
 
 import math
@@ -33,7 +34,23 @@ HARMLESS = {"count", "length", "len", "size", "max", "min", "limit", "type", "na
 EMPTY_WORDS = {"none", "null", "nil", "true", "false", "undefined", "string", "changeme", "example", "placeholder", "redacted", "required", "optional"}
 
 OPERATOR = re.compile(r"=>|:=|<-|=(?![=>])|:(?![:/=])")
-TERM = re.compile(r"""[ \t]*(?:[rbuRBU]{0,2}(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<bare>[^\s"'`,;#(){}\[\]<>+]+))""")
+def _term(bare: str) -> re.Pattern:
+    """A quoted or bare term.  Simple quotes may go over lines if what closes them does not open a word."""
+    return re.compile(
+        r"""[ \t]*(?:[rbuRBU]{0,2}(?:(?P<three>"{3}|'{3})(?P<long>(?:\\.|(?!(?P=three))[^\\])*+)(?P=three)"""
+        r"""|(?P<quote>["'`])(?:(?P<text>(?:\\[^\n]|(?!(?P=quote))[^\\\n])*+)(?P=quote)|(?P<lines>(?:\\.|(?!(?P=quote))[^\\])*+)(?P=quote)(?!\w)))"""
+        rf"""|(?P<bare>{bare}))""",
+        re.DOTALL,
+    )
+
+
+TERM = _term(r"""[^\s"'`,;#(){}\[\]<>+]+""")
+#: An authentication scheme is no secret; the one term or template behind it is taken, in which a plus does not join anything.
+SCHEME = re.compile(r"(?ai:bearer|basic|token)")
+BEHIND = _term(r"""[^\s"'`,;#(){}\[\]<>+][^\s"'`,;#(){}\[\]<>]*""")
+WITH_SCHEME = re.compile(rf"\s*{SCHEME.pattern}(?:\s+(?P<term>\S+|[<$%{{].*\S))?\s*", re.DOTALL)
+#: Behind a colon, the lines that are indented more than the name.
+BLOCK = re.compile(r"[ \t]*[|>][-+0-9]*[ \t]*\r?\n")
 PLUS = re.compile(r"[ \t]*\+")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 REFERENCE = re.compile(r"\$?\{?([A-Za-z_][\w.]*)\}?$")
@@ -50,12 +67,14 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str, quoted: bool) -> float:
-    """How much a literal looks like a secret value rather than a word, a blank to fill or a template."""
-    if len(value) < 6 or " " in value or value.lower() in EMPTY_WORDS or value[0] in "<$%{" or len(set(value)) < 4:
+    """How much a literal looks like a secret value rather than a word, a blank to fill or a template.  Blanks in it do not count."""
+    words = value.split()
+    shown = "".join(words)
+    if len(value.strip()) < 6 or all(w.lower() in EMPTY_WORDS for w in words) or shown[0] in "<$%{" or len(set(shown)) < 4:
         return 0.0
-    kinds = sum(any(test(c) for c in value) for test in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    if kinds == 1:  # one plain word: only where it is quoted, and not certain then
+    kinds = sum(any(test(c) for c in shown) for test in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
+    bits = -sum(n / len(shown) * math.log2(n / len(shown)) for n in Counter(shown).values())
+    if kinds == 1:  # plain words: only where they are quoted, and not certain then
         return 0.5 if quoted else 0.0
     return min(1.0, bits / 2.5)
 
@@ -88,26 +107,56 @@ def _name_before(text: str, at: int) -> str:
     return text[start:at].strip("-$.")
 
 
+def _block(text: str, name_at: int, at: int) -> tuple[int, int]:
+    """(start, end) of the lines from ``at`` on that are empty or indented more than the name, without blanks around them."""
+    column = name_at - (text.rfind("\n", 0, name_at) + 1)
+    end = at
+    while end < len(text):
+        stop = text.find("\n", end) + 1 or len(text)
+        line = text[end:stop]
+        if line.strip() and len(line) - len(line.lstrip(" \t")) <= column:
+            break
+        end = stop
+    inside = text[at:end]
+    start = at + len(inside) - len(inside.lstrip())
+    return start, max(start, at + len(inside.rstrip()))
+
+
 def pairs(text: str):
     """(name, literals, references) of each assignment; a literal is (start, end, quoted)."""
     for m in OPERATOR.finditer(text):
         name = _name_before(text, m.start())
         if not name or not (name[0].isalpha() or name[0] == "_"):
             continue
+        if m[0] == ":" and (block := BLOCK.match(text, m.end())):
+            yield name, [(*_block(text, text.rfind(name, 0, m.start()), block.end()), True)], []
+            continue
         literals, references, at = [], [], m.end()
         while term := TERM.match(text, at):
-            if term["quote"]:
-                literals.append((*term.span("text"), True))
-            else:
+            if term["bare"]:
                 bare = REFERENCE.match(term["bare"])
                 if bare:
                     references.append(bare[1])
+                if SCHEME.fullmatch(term["bare"]):
+                    term = BEHIND.match(text, term.end())
+                    if not term:
+                        break
+                    if term["bare"] and (bare := REFERENCE.match(term["bare"])):
+                        references.append(bare[1])
+            if term["bare"]:
                 literals.append((*term.span("bare"), False))
+            else:
+                start, end = next(term.span(k) for k in ("long", "text", "lines") if term[k] is not None)
+                scheme = WITH_SCHEME.fullmatch(text, start, end)
+                if not scheme:
+                    literals.append((start, end, True))
+                elif scheme["term"]:
+                    literals.append((*scheme.span("term"), True))
             plus = PLUS.match(text, term.end())
             if not plus:
                 break
             at = plus.end()
-        if literals:
+        if literals or references:
             yield name, literals, references
 
 
