@@ -1,21 +1,13 @@
-"""License scan: MinHash bands over overlapping windows retrieve templates, exact containment decides.
-
-Everything is a DataFrame function.  A text is its sequence of hashed five-word
-shingles.  Windows have 1, 2, 4, 8 or 16 shingles, whichever lengths the templates need:
-a template of n shingles is indexed by all its windows of the largest such length
-that is not above n.  A window's signature has ``BANDS`` bands of one MinHash each: the
-minimum of the shingles under a bit flip of its own, which puts each shingle first
-equally often.  Windows of twice the length take the minimum of two neighbours.
-
-A window whose minimum is indexed holds a shingle of a template, so windows are formed only for
-passages that hold one; no candidate is lost by that.  The keys of a passage are reduced to those
-in the index before they become rows, because every row of an explode repeats the passage's
-shingles.
-
-A text holds a template if it contains 0.8 of its shingles.  Windows of up to four
-shingles begin at every shingle, longer ones at every second or fourth, so a verbatim
-copy has a window of similarity 14/18 or more with an indexed one and is missed with a
-probability of at most (4/18)^8 = 0.000006.
+"""License scan: an index of the templates' shingles, merged over passages, decides containment exactly.
+
+Everything is a DataFrame function.  A text is its set of hashed five-word shingles.  The
+shingles of a passage are reduced to those of templates before they become rows, and joined
+with the templates that hold them.  What the passages of a text hold of a template is merged
+as a set, which is never larger than the template, and counted after that.
+
+A text holds a template if it contains 0.8 of its shingles, wherever they stand in it.  Long texts
+are cut into passages only to bound what is in memory: every word and every shingle that a
+template can have is whole in some passage, and no cut makes words or shingles of its own.
 """
 
 import re
@@ -26,14 +18,10 @@ from pyspark.sql import functions as F
 from roomtrace.llm.common import table
 
 WORDS = 5
-BANDS = 8
-LENGTHS = (1, 2, 4, 8, 16)
 #: Longer texts are read in passages of so many characters.
 PASSAGE = 1 << 18
-#: Up to so many keys the index is part of the plan and sent to all tasks; a larger one is joined like any table.
+#: Up to so many shingles the index is part of the plan and sent to all tasks; a larger one is joined like any table.
 SMALL_INDEX = 20_000
-#: Fixed bit flips, one for each band.
-FLIPS = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xBF58476D1CE4E5B9 * (k + 1)) % (1 << 64) - (1 << 63) for k in range(BANDS)]
 
 # Well-known notices, as they are usually written.
 TEMPLATES = {
@@ -56,49 +44,36 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
+NO_WORD_PATTERN = r"[^\p{L}\p{M}\p{N}_]+"
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the runs of five words, in order; one run of all words if there are fewer, none without words."""
+def shingles(text: Column, whole: Column | None = None) -> Column:
+    """Hashes of the runs of five words, in order; one run of all words if a whole text has fewer, none without words."""
     hashes = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD_PATTERN})"), F.lit(1)), lambda word: F.xxhash64(word))
     # the array of word hashes is an argument of the lambda, so that it is computed once for each text
     run = lambda w: (
         F.when(F.size(w) >= WORDS, F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)])))
-        .when(F.size(w) > 0, F.array(F.xxhash64(w)))
+        .when((F.size(w) > 0) & (F.lit(True) if whole is None else whole), F.array(F.xxhash64(w)))
         .otherwise(F.array().cast("array<bigint>"))
     )
     return F.element_at(F.transform(F.array(hashes), run), 1)
 
 
-def window_minima(column: str, lengths: list[int], every: bool) -> Column:
-    """MinHash values of all windows of the given lengths, over all bands, in one array.
+def passages(texts: DataFrame, overlap: int) -> DataFrame:
+    """(id, row, piece, whole): the texts of (id, row, text), those longer than ``PASSAGE`` and the overlap in overlapping pieces.
 
-    With ``every`` windows begin at each shingle, else long ones at every second or fourth.
+    Of a longer text the words stand in lower case with one blank between them, so that the length of a shingle is bounded;
+    a word that a piece holds only in part is left out of that piece.
     """
-    flips = F.array(*[F.lit(x) for x in FLIPS])
-    stride = {1: 1, 2: 1, 4: 1, 8: 1 if every else 2, 16: 1 if every else 4}
-
-    def doubled(a: Column, length: int) -> Column:
-        """From minima over ``length`` / 2 shingles, those over ``length``."""
-        before, step = stride[length // 2], stride[length]
-        apart, move = length // 2 // before, step // before
-        last = F.size(a) - 1 - apart
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(move)), lambda i: F.least(F.get(a, i), F.get(a, i + apart)))).otherwise(F.array().cast("array<bigint>"))
-
-    def of_band(single: Column, length: int) -> Column:
-        """An array with the minima of each wanted length from ``length`` on; ``single`` holds those of ``length``."""
-        here = F.array(single) if length in lengths and length > 1 else F.array().cast("array<array<bigint>>")
-        if length >= max(lengths):
-            return here
-        nested = F.transform(F.array(doubled(single, 2 * length)), lambda a: of_band(a, 2 * length))
-        return F.concat(here, F.flatten(nested))
-
-    # what is used more than once is a lambda's argument, never an expression, so that it is computed once
-    flipped = lambda a, band: F.transform(a, lambda x: x.bitwiseXOR(F.get(flips, band)))
-    one_band = lambda a, band: F.flatten(F.flatten(F.transform(F.array(flipped(a, band)), lambda single: of_band(single, 1))))
-    longer = [n for n in lengths if n > 1]
-    alone = F.col(column) if 1 in lengths else F.array().cast("array<bigint>")  # one shingle needs one band
-    return F.concat(alone, F.flatten(F.transform(F.array_repeat(F.col(column), BANDS), one_band))) if longer else alone
+    whole = F.length("text") <= PASSAGE + overlap
+    words = F.trim(F.regexp_replace(F.lower("text"), NO_WORD_PATTERN, " "))
+    texts = texts.withColumn("text", F.when(whole, F.col("text")).otherwise(words))
+    last = F.when(whole, F.lit(0)).otherwise(F.floor((F.length("text") - 1) / PASSAGE).cast("int"))
+    parts = texts.select("id", "row", "text", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    # a blank before the first and behind the last word of the text; what stands before the first blank of a piece and behind its last is cut off
+    cut = F.substring(F.concat(F.lit(" "), "text", F.lit(" ")), F.col("part") * PASSAGE + 1, F.lit(PASSAGE + overlap))
+    cut = F.regexp_replace(F.regexp_replace(cut, "^[^ ]++", ""), "(?<= )[^ ]++$", "")
+    return parts.select("id", "row", F.when(whole, F.col("text")).otherwise(cut).alias("piece"), whole.alias("whole"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -113,48 +88,33 @@ def scan_licenses(
     """(id, license, n_shingles, n_found, containment): one row per id and template of which the text holds enough.
 
     Case, punctuation and line breaks do not matter.  Null and empty texts hold nothing.  Rows with the same id, null ids
-    too, are reported together with the best containment.  Longer texts are read in overlapping passages; the overlap is
-    four times the longest template.  Other columns are not read.  Templates without words match nothing.
+    too, are reported together with the best containment of one of them.  Counts are of distinct shingles over the whole text at any
+    length.  Other columns are not read.  Templates without words match nothing.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    word_counts = {k: len(re.findall(r"\w+", t)) for k, t in templates.items()}
-    sizes = {k: max(1, n - WORDS + 1) for k, n in word_counts.items() if n}
-    if not sizes:
-        sizes, templates = {"": 1}, {"": "no template at all is given"}
+    if not templates:
+        templates = {"": ""}
     overlap = 4 * max(len(t) for t in templates.values()) + 1000
 
-    # the index: each template by its windows of its own length
-    known = template_table(spark, templates).filter(F.size("runs") > 0)
-    parts = []
-    for n in LENGTHS:
-        own = F.size("runs") >= n if n == max(LENGTHS) else (F.size("runs") >= n) & (F.size("runs") < 2 * n)
-        parts.append(known.filter(own).select("license", F.explode(window_minima("runs", [n], True)).alias("key")))
-    index = parts[0]
-    for part in parts[1:]:
-        index = index.unionByName(part)
-    wanted = known.select("license", F.array_distinct("runs").alias("wanted"))
-    index = index.distinct().join(wanted, "license")
-    small = sum(n * BANDS for n in sizes.values()) <= SMALL_INDEX
-    lengths = sorted({max(x for x in LENGTHS if x <= n) for n in sizes.values()})
+    known = template_table(spark, templates).select("license", F.array_distinct("runs").alias("wanted"))
+    index = known.select("license", F.size("wanted").alias("n_shingles"), F.explode("wanted").alias("run"))
+    small = sum(len(re.findall(r"\w+", t)) for t in templates.values()) <= SMALL_INDEX
 
+    # rows of the same id and text hold the same, so the text's digest stands for the row
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    passages = docs.select(F.col(id_column).alias("id"), text.alias("text")).select(
-        "id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PASSAGE).cast("int"))).alias("part"),
-    )
-    piece = F.when(F.length("text") <= PASSAGE, F.col("text")).otherwise(F.substring(F.col("text"), F.col("part") * PASSAGE + 1, F.lit(PASSAGE + overlap)))
-    runs = passages.select("id", shingles(piece).alias("runs"))
-    keys = window_minima("runs", lengths, False)
+    texts = docs.select(F.col(id_column).alias("id"), text.alias("text")).select("id", "text", F.md5("text").alias("row"))
+    runs = passages(texts, overlap).select("id", "row", shingles(F.col("piece"), F.col("whole")).alias("runs"))
+    held = F.array_distinct("runs")
     if small:
-        rows = index.select("key", "wanted").collect()
-        fixed = lambda values: F.lit(sorted(values)).cast("array<bigint>")
-        runs = runs.filter(F.arrays_overlap("runs", fixed({x for r in rows for x in r["wanted"]})))
-        keys = F.array_intersect(keys, fixed({r["key"] for r in rows}))
+        fixed = F.lit(sorted({r["run"] for r in index.select("run").distinct().collect()})).cast("array<bigint>")
+        runs = runs.filter(F.arrays_overlap("runs", fixed))
+        held = F.array_intersect("runs", fixed)
         index = F.broadcast(index)
-    keyed = runs.select("id", "runs", F.explode(keys).alias("key"))
-    found = keyed.join(index, "key").select("id", "license", F.size("wanted").alias("n_shingles"), F.size(F.array_intersect("wanted", "runs")).alias("n_found"))
-    held = found.filter(F.col("n_found") >= F.lit(least) * F.col("n_shingles"))
-    best = held.groupBy("id", "license").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
+    found = runs.select("id", "row", F.explode(held).alias("run")).join(index, "run")
+    merged = found.groupBy("id", "row", "license").agg(F.max("n_shingles").alias("n_shingles"), F.size(F.collect_set("run")).alias("n_found"))
+    enough = merged.filter(F.col("n_found") >= F.lit(least) * F.col("n_shingles"))
+    best = enough.groupBy("id", "license").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
     return best.select(F.col("id").alias(id_column), "license", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 

@@ -98,6 +98,38 @@ def test_every_template_finds_itself_behind_any_number_of_words(spark):
     assert all((k, name) in found for k, name in enumerate(licenses.TEMPLATES))
 
 
+def split_copies():
+    """Texts of many short passages whose copies, whole, cut, edited or embedded in other words, lie anywhere."""
+    r = random.Random(5)
+    filler = lambda n: " ".join(r.choice(("amber", "Bronze", "c4", "--", "d\n", "éta", "Σ")) for _ in range(n))
+    gpl, bsd, isc = (licenses.TEMPLATES[k].split() for k in ("GPL-notice", "BSD", "ISC"))
+    edited = [bsd[:k] + ["other"] + bsd[k + 1 :] for k in (4, 9, 14, 18)]
+    rows = [
+        " ".join([filler(900), *gpl[:20], filler(1200), *gpl[16:], filler(500)]),
+        " ".join([*isc[:12], filler(2500), *isc[8:]]),
+        " ".join([*isc[:9], filler(2500), *isc[14:]]),
+        " ".join(f"{filler(1000)} {' '.join(e)}" for e in edited),
+        "xreleased under the mit licenses " * 1100,
+        " ".join([filler(800), "Released under", "-" * 6000, "the MIT\n\nLicense", filler(800)]),
+        " ".join([filler(1000), "x" * 9000, licenses.TEMPLATES["CC0"], "y" * 9000]),
+    ]
+    return rows + [f"{filler(n)} {t} {filler(1500)}" for n, t in zip(range(300, 2000, 100), licenses.TEMPLATES.values(), strict=False)]
+
+
+def test_license_scan_is_its_sql_when_copies_are_split_between_passages(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(licenses, "PASSAGE", 997)
+    given = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = list(enumerate([*split_copies(), *given]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, license, n_shingles, n_found, containment FROM ({SQL['op4_license_scan']})").fetchall())
+    assert {(0, "GPL-notice"), (1, "ISC"), (3, "BSD"), (5, "MIT"), (6, "CC0")} <= {x[:2] for x in want} and not {2, 4} & {x[0] for x in want}
+    assert sorted(tuple(r) for r in licenses.op4_license_scan(spark, str(tmp_path)).collect()) == want
+    monkeypatch.setattr(licenses, "SMALL_INDEX", 0)
+    assert sorted(tuple(r) for r in licenses.op4_license_scan(spark, str(tmp_path)).collect()) == want
+
+
 def words_of(text):
     words = re.findall(r"\w+", (text or "").lower())
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
