@@ -130,6 +130,18 @@ def test_license_scan_is_its_sql_when_copies_are_split_between_passages(spark, s
     assert sorted(tuple(r) for r in licenses.op4_license_scan(spark, str(tmp_path)).collect()) == want
 
 
+def test_long_templates_alone_are_found_in_short_texts_and_at_the_end(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    templates = {"BSD": licenses.TEMPLATES["BSD"], "sixteen": " ".join(word() for _ in range(20))}
+    bsd = templates["BSD"].split()
+    assert len(bsd) == 21  # 17 shingles, of which 18 words in a row hold 14
+    rows = [(k, " ".join(bsd[k : k + 18])) for k in range(4)] + [(10 + n, f"{' '.join(word() for _ in range(n))} {templates['sixteen']}") for n in range(40)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    want = {(k, "BSD", 17, 14) for k in range(4)} | {(10 + n, "sixteen", 16, 16) for n in range(40)}
+    assert {(x.doc_id, x.license, x.n_shingles, x.n_found) for x in found} == want and len(found) == len(want)
+
+
 def words_of(text):
     words = re.findall(r"\w+", (text or "").lower())
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
