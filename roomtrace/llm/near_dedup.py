@@ -244,17 +244,20 @@ def _drawn_pairs(apart: DataFrame, keyed: DataFrame, bands: int, rows: int, leas
     return met.select(F.least("id", hub["id"]).alias("a"), F.greatest("id", hub["id"]).alias("b")).distinct()
 
 
-def near_duplicates(
+def _text_node(id_column: str, text_column: str) -> Column:
+    """What tells texts apart: the id first, so that the smallest node has the smallest id, and a digest, as ids may be repeated."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    return F.struct(F.col(id_column).alias("id"), F.unhex(F.md5(text)).alias("digest"))
+
+
+def text_classes(
     docs: DataFrame, least: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
-    """(id, class, links): one row per distinct id that is not null; the class is the smallest id of its group.
+    """(node, class, links): one row per distinct id and text, the id not null; ``near_duplicates`` says what they are.
 
-    Identical texts, empty and null ones too (null is empty), are one class.  ``links`` counts the verified links of the
-    text to different texts, as far as they were needed to find the classes; copies share the count of their text.  A text of fewer words than a shingle is one shingle; a
-    text without words is similar to none but its copies.  Of rows with the same id, one is read; rows with a null id have
-    no class and are left out.  Other columns are not read.
+    The node is (id, digest of the text), the class the smallest node of its group.
     """
-    narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).filter("id IS NOT NULL")
+    narrow = docs.filter(F.col(id_column).isNotNull()).select(_text_node(id_column, text_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     signed = materialize(_signed(narrow, words, bands, rows), "signatures")
     nodes = signed.groupBy("digest").agg(F.min("id").alias("node"))
     # joins are by sorting and merging at every size: what is small here grows with the corpus
@@ -288,19 +291,35 @@ def near_duplicates(
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     out = copies.join(found.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left")
-    out = out.select(F.col("id").alias(id_column), F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    return out.dropDuplicates([id_column])
+    out = out.select("id", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return out.dropDuplicates(["id"]).withColumnRenamed("id", "node")
+
+
+def near_duplicates(
+    docs: DataFrame, least: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
+    """(id, class, links): one row per distinct id and text, the id not null; the class is the smallest id of its group.
+
+    Identical texts, empty and null ones too (null is empty), are one class.  ``links`` counts the verified links of the
+    text to different texts, as far as they were needed to find the classes; copies share the count of their text.  A text of fewer words than a shingle is one shingle; a
+    text without words is similar to none but its copies.  Different texts of one id are compared like those of different
+    ids; groups that begin with different texts of one id bear the same id.  Rows with a null id have no class and are left
+    out.  Other columns are not read.
+    """
+    found = text_classes(docs, least, words, bands, rows, id_column, text_column)
+    return found.select(F.col("node.id").alias(id_column), F.col("class.id").alias("class"), "links")
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of the smallest id of each class, and rows with a null id, with their columns as they were.
+    """The rows of the first text of each class, by id, and rows with a null id, with their columns as they were.
 
-    Of rows with the same kept id, one stays.
+    Of rows with the same kept id and text, one stays; different texts of one id stay if they are not near-duplicates.
     """
-    found = near_duplicates(docs, least, id_column=id_column, text_column=text_column)
-    kept = found.filter(F.col(id_column) == F.col("class")).select(id_column)
+    own = "_".join(["node", *docs.columns])
+    kept = text_classes(docs, least, id_column=id_column, text_column=text_column).filter(F.col("node") == F.col("class")).select(F.col("node").alias(own))
+    with_id = docs.filter(F.col(id_column).isNotNull()).withColumn(own, _text_node(id_column, text_column))
     without = docs.filter(F.col(id_column).isNull())
-    return docs.join(kept, id_column, "left_semi").dropDuplicates([id_column]).select(docs.columns).unionByName(without)
+    return with_id.join(kept, own, "left_semi").dropDuplicates([own]).select(docs.columns).unionByName(without)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

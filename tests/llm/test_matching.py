@@ -192,6 +192,20 @@ def test_near_duplicates_in_chains_and_crowded_buckets(spark):
     assert {x.doc_id: x["class"] for x in near_dedup.near_duplicates(docs, bands=24, rows=1).collect()} == brute_classes(rows)
 
 
+def test_different_texts_of_one_id_are_all_compared(spark):
+    r = random.Random(11)
+    text = lambda n=60: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d = text(), text(), text(), text()
+    # id 1 has three texts, of which one has a near copy at 2 and one an exact copy at 3; of d the first id is 4
+    rows = [(1, a), (1, b), (1, c), (1, c), (2, b + " more"), (3, a), (4, d), (5, d + " more"), (5, text()), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = near_dedup.near_duplicates(docs).collect()
+    assert sorted((x.doc_id, x["class"]) for x in found) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 5)]
+    kept = near_dedup.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(1, a), (1, b), (1, c), (4, d), (5, rows[8][1]), (0, a)])
+
+
 def test_near_duplicates_of_odd_rows(spark):
     found = {r.doc_id: (r["class"], r.links) for r in near_dedup.near_duplicates(odd_docs(spark)).collect()}
     assert found == {1: (1, 0), 2: (1, 0), 3: (3, 0), 4: (4, 0)}
