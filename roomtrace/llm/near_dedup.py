@@ -323,5 +323,5 @@ def keep_one(docs: DataFrame, least: float = 0.8, id_column: str = "doc_id", tex
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class and number of links of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("class", "class_id").withColumnRenamed("links", "n_links")
+    """Class of every document, and how many links of its text were verified on the way to it: evidence, not the number of its near-duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("class", "class_id").withColumnRenamed("links", "n_verified")

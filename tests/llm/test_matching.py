@@ -206,6 +206,16 @@ def test_different_texts_of_one_id_are_all_compared(spark):
     assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(1, a), (1, b), (1, c), (4, d), (5, rows[8][1]), (0, a)])
 
 
+def test_links_of_the_query_are_named_as_verified_evidence(spark, tmp_path):
+    words = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join([*words, f"end{k}"])) for k in range(6)] + [(9, "alone here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = near_dedup.op8_near_duplicates(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "class_id", "n_verified"]
+    got = {r.doc_id: (r.class_id, r.n_verified) for r in found.collect()}
+    assert got[9] == (9, 0) and all(got[k][0] == 0 and 1 <= got[k][1] <= 5 for k in range(6))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     found = {r.doc_id: (r["class"], r.links) for r in near_dedup.near_duplicates(odd_docs(spark)).collect()}
     assert found == {1: (1, 0), 2: (1, 0), 3: (3, 0), 4: (4, 0)}
