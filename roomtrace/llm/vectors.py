@@ -20,6 +20,27 @@ def usable(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return held.filter(F.size(vector) == (first["dim"] if first else 0))
 
 
+#: Whole numbers of this size and more are not exact as doubles.
+EXACT = float(1 << 53)
+
+
+def whole_vectors(rows: DataFrame, scaled, vector_column: str) -> DataFrame:
+    """The rows with ``x``, their vector as whole numbers (longs), all of one length, in place of the vector.
+
+    ``scaled`` makes a whole number of a component, both doubles.  Vectors that are null, empty or hold a null or
+    non-finite component, or one whose number is 2^53 or more in size, take no part; of several lengths the most frequent
+    counts (of equally frequent ones the largest).
+    """
+    raw = F.col(vector_column).cast("array<double>")
+    others = [c for c in rows.columns if c != vector_column]
+    held = rows.select(*others, raw.alias("x")).filter(F.col("x").isNotNull() & (F.size("x") > 0))
+    held = held.filter(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
+    held = held.select(*others, F.transform("x", scaled).alias("x")).filter(~F.exists("x", lambda c: F.abs(c) >= EXACT))
+    held = held.select(*others, F.col("x").cast("array<long>").alias("x"))
+    first = held.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    return held.filter(F.size("x") == (first["dim"] if first else 0))
+
+
 def matrix(column: pa.Array, dtype) -> np.ndarray:
     """The rows of a list column of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
