@@ -1,5 +1,7 @@
 """One query per operator over the given tables (see catalog.fixtures for the inputs)."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from roomtrace.operators.registry import OPERATORS
 from roomtrace.plans.scratch import scratch_dir
 from roomtrace.sources import cases, ledger
 from roomtrace.sources import listings as SRC
-from roomtrace.streaming.bookings import stream_bookings
+from roomtrace.streaming.bookings import STATE_STORE, stream_bookings
 from roomtrace.streaming.listings import stream_listings
 
 col = F.col
@@ -517,14 +519,29 @@ def k8_fixed_texts(spark, sf_dir):
 
 # --- streams -----------------------------------------------------------------------------------
 
-def _run(writer, checkpoint: str) -> None:
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(writer, checkpoint: str | None = None) -> None:
+    """Start a writer, work off what is there and stop."""
+    if checkpoint:
+        writer = writer.option("checkpointLocation", checkpoint)
+    query = writer.trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
 
 
+@contextmanager
+def _keyed_state(spark):
+    """The state store that keyed state with timers needs."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def m1_stream_listings(spark, sf_dir):
     base = scratch_dir(spark, "m1")
     raw = X.raw_listings(spark, sf_dir)
@@ -546,9 +563,9 @@ def m2_stream_bookings(spark, sf_dir):
     for portion in range(3):
         requests.where(hour == portion).write.mode("append").parquet(f"{base}/in")
         arriving = spark.readStream.schema(requests.schema).parquet(f"{base}/in")
-        writer = stream_bookings(arriving, X.listings(spark, sf_dir), X.TODAY, f"{base}/ledger", f"{base}/decisions")
-        _run(writer, f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/decisions").drop("batch")
+        with _keyed_state(spark):
+            _run(stream_bookings(arriving, X.listings(spark, sf_dir), X.TODAY, f"{base}/ledger", f"{base}/decisions", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/decisions").drop("run", "batch")
 
 
 # --- registry and checks ---------------------------------------------------------------------------

@@ -117,42 +117,38 @@ def slots_batch(requests: DataFrame, listings: DataFrame, ledger: DataFrame, tod
     )
 
 
-def adjudicate(requests: DataFrame, listings: DataFrame, ledger: DataFrame, today) -> DataFrame:
-    """Decide booking requests in the order (requested_at, request_id).
+#: When a request was made: order among requests.
+MOMENT = "struct<requested_at:timestamp_ntz,request_id:bigint>"
 
-    404 unknown listing, 422 bad date, 409 slot not offered or taken (with the
-    slots left at that moment), 201 booked.  Per (listing, day) only the first
-    taker of each slot matters, at most five rows; they are found by a combining
-    minimum and handed to all requests of that day, so a day that everyone wants
-    is not sorted in one task.
-    """
-    # used three times below: written once instead of joined three times
-    checked = materialize(
-        _checked(requests, listings, today).withColumn("slot", py_strip(F.col("slot"))), "checked"
-    )
-    here = F.struct("requested_at", F.col("request_id").cast("bigint").alias("request_id"))
-    known_slot = F.when(F.col("slot").isin(K.SLOT_POOL), F.col("slot"))
-    new = checked.where(F.col("id").isNotNull() & F.col("day").isNotNull()).select(
-        "id", "day", known_slot.alias("slot"), here.alias("at")
-    )
-    # a slot booked in the ledger is taken before every new request: nulls sort first
-    at_once = F.lit(None).cast("struct<requested_at:timestamp_ntz,request_id:bigint>")
-    earlier = _on_asked_days(ledger, checked).withColumn(
-        "at", F.struct(at_once["requested_at"].alias("requested_at"), at_once["request_id"].alias("request_id"))
-    )
+
+def moment() -> Column:
+    return F.struct(F.col("requested_at").cast("timestamp_ntz").alias("requested_at"), F.col("request_id").cast("bigint").alias("request_id"))
+
+
+def before_all() -> Column:
+    """A moment before every request: nulls sort first."""
+    none = F.lit(None).cast(MOMENT)
+    return F.struct(none["requested_at"].alias("requested_at"), none["request_id"].alias("request_id"))
+
+
+def takers_by_day(first_takers: DataFrame) -> DataFrame:
+    """(id, day, _takers): the first taker of each slot, from (id, day, slot, at); at most five a day."""
     first = F.when(F.col("slot").isNotNull(), F.struct("slot", "at"))
-    days = (
-        new.unionByName(earlier)
-        .groupBy("id", "day", "slot")
-        .agg(F.min("at").alias("at"))
-        .groupBy("id", "day")
-        .agg(F.collect_list(first).alias("_takers"))
-        .withColumn("_pool", slots_for(F.col("id"), F.col("day")))
-    )
-    decided = lookup(checked, days, ["id", "day"], spread=["request_id"])
+    return first_takers.groupBy("id", "day").agg(F.collect_list(first).alias("_takers"))
+
 
+def decide(checked: DataFrame, days: DataFrame) -> DataFrame:
+    """Answer checked requests, given the first takers of each day's slots.
+
+    ``days`` may have a column ``closed``: nothing is left on such a day.
+    """
+    pools = days.withColumn("_pool", slots_for(F.col("id"), F.col("day")))
+    decided = lookup(checked, pools, ["id", "day"], spread=["request_id"])
+    here = moment()
     gone = F.transform(F.filter("_takers", lambda t: t["at"] < here), lambda t: t["slot"])
     left = free_slots_array(F.col("_pool"), gone)
+    if "closed" in days.columns:
+        left = F.when(F.col("closed"), F.array().cast(NO_SLOTS)).otherwise(left)
     rows = decided.withColumn("_left", left).withColumn(
         "status",
         F.when(F.col("id").isNull(), F.lit(404))
@@ -184,6 +180,37 @@ def adjudicate(requests: DataFrame, listings: DataFrame, ledger: DataFrame, toda
     )
 
 
+def clock(today) -> Column:
+    """The day that dates are checked against: a fixed one, or without one the day each request was made."""
+    return F.col("requested_at").cast("date") if today is None else as_date(today)
+
+
+def checked_requests(requests: DataFrame, listings: DataFrame, today) -> DataFrame:
+    """Requests with listing, checked date and trimmed slot, written once: what follows reads them several times."""
+    return materialize(_checked(requests, listings, clock(today)).withColumn("slot", py_strip(F.col("slot"))), "checked")
+
+
+def adjudicate(requests: DataFrame, listings: DataFrame, ledger: DataFrame, today=None) -> DataFrame:
+    """Decide booking requests in the order (requested_at, request_id).
+
+    404 unknown listing, 422 bad date, 409 slot not offered or taken (with the
+    slots left at that moment), 201 booked.  Dates are checked against ``today``,
+    without it against the day each request was made.  Per (listing, day) only the first
+    taker of each slot matters, at most five rows; they are found by a combining
+    minimum and handed to all requests of that day, so a day that everyone wants
+    is not sorted in one task.
+    """
+    checked = checked_requests(requests, listings, today)
+    known_slot = F.when(F.col("slot").isin(K.SLOT_POOL), F.col("slot"))
+    new = checked.where(F.col("id").isNotNull() & F.col("day").isNotNull()).select(
+        "id", "day", known_slot.alias("slot"), moment().alias("at")
+    )
+    # a slot booked in the ledger is taken before every new request
+    earlier = _on_asked_days(ledger, checked).withColumn("at", before_all())
+    first = new.unionByName(earlier).groupBy("id", "day", "slot").agg(F.min("at").alias("at"))
+    return decide(checked, takers_by_day(first))
+
+
 def accepted(decisions: DataFrame) -> DataFrame:
     """Ledger rows of the booked requests."""
     return decisions.where(F.col("status") == 201).drop("request_id", "status", "error")

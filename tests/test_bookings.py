@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+import shutil
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from catalog.queries import _run
+from catalog.queries import _keyed_state, _run
 from roomtrace.functions import listing as L
 from roomtrace.operators import bookings as BK
 from roomtrace.operators.listings import as_date
@@ -131,22 +133,82 @@ def test_free_slots_and_slot_answers(spark):
     assert rows[2].error == "Không tìm thấy tin đăng có mã 'no'."
 
 
-def test_stream_agrees_with_batch_and_survives_a_replay(spark):
+def _portion(requests, portion):
+    return requests.where((F.minute("requested_at") * 60 + F.second("requested_at")).between(portion * 21, portion * 21 + 20))
+
+
+def _stream(spark, base, listings, today=TODAY, checkpoint="cp", source="in", out="out", **more):
+    arriving = spark.readStream.schema(SCHEMA).parquet(f"{base}/{source}")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)  # a worker for each, at every start
+    try:
+        with _keyed_state(spark):
+            _run(stream_bookings(arriving, listings, today, f"{base}/ledger", f"{base}/{out}", f"{base}/{checkpoint}", **more))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def _booked(spark, base):
+    return sorted((r.listing_id, str(r.date), r.slot) for r in spark.read.parquet(f"{base}/ledger").collect())
+
+
+def test_stream_agrees_with_batch_and_a_fresh_checkpoint_books_nothing_twice(spark):
     rows, requests = _requests(spark)
     listings, base = _listings(spark), scratch_dir(spark, "stream")
     for portion in range(3):
-        requests.where((F.minute("requested_at") * 60 + F.second("requested_at")).between(portion * 21, portion * 21 + 20)) \
-            .write.mode("append").parquet(f"{base}/in")
-        arriving = spark.readStream.schema(requests.schema).parquet(f"{base}/in")
-        _run(stream_bookings(arriving, listings, TODAY, f"{base}/ledger", f"{base}/out"), f"{base}/cp")
-    got = spark.read.parquet(f"{base}/out")
+        _portion(requests, portion).write.mode("append").parquet(f"{base}/in")
+        _stream(spark, base, listings)
     want = _simulate(spark, rows)
-    assert _outcomes(got) == want
-    # the same files through a fresh checkpoint: batch 0 is decided and written again
-    before = spark.read.parquet(f"{base}/ledger").where("batch = 0").count()
-    again = spark.readStream.schema(requests.schema).parquet(f"{base}/in").where("minute(requested_at) = 0 and second(requested_at) <= 20")
-    _run(stream_bookings(again, listings, TODAY, f"{base}/ledger", f"{base}/out"), f"{base}/cp2")
-    assert spark.read.parquet(f"{base}/ledger").where("batch = 0").count() == before
+    assert _outcomes(spark.read.parquet(f"{base}/out")) == want
+    held = _booked(spark, base)
+    assert len(held) == len(set(held)) == sum(s == 201 for s, _ in want.values())
+    # the same requests through a fresh checkpoint find their slots taken
+    _stream(spark, base, listings, checkpoint="cp2", out="out2")
+    again = _outcomes(spark.read.parquet(f"{base}/out2"))
+    assert _booked(spark, base) == held and not any(s == 201 for s, _ in again.values())
+    assert {k: s for k, (s, _) in again.items() if s != 409} == {k: s for k, (s, _) in want.items() if s in (404, 422)}
+    # the ledger keeps one folder a run
+    assert spark.read.parquet(f"{base}/ledger").select("run").distinct().count() == 1
+
+
+def test_a_batch_that_dies_between_its_writes_is_decided_the_same_again(spark, monkeypatch):
+    rows, requests = _requests(spark)
+    listings, base = _listings(spark), scratch_dir(spark, "stream")
+    plain, calls = BK.accepted, []
+
+    def die(decisions):
+        calls.append(1)
+        if len(calls) in (1, 3):  # the first try of the first and of the second batch
+            plain(decisions).withColumn("run", F.lit("x")).limit(0).count()
+            raise RuntimeError("killed")
+        return plain(decisions)
+
+    monkeypatch.setattr(BK, "accepted", die)
+    for portion in range(3):
+        _portion(requests, portion).write.mode("append").parquet(f"{base}/in")
+        for _ in range(2):
+            try:
+                _stream(spark, base, listings)
+                break
+            except StreamingQueryException as error:
+                assert "killed" in str(error)
+    want = _simulate(spark, rows)
+    assert len(calls) >= 5 and _outcomes(spark.read.parquet(f"{base}/out")) == want
+    held = _booked(spark, base)
+    assert len(held) == len(set(held)) == sum(s == 201 for s, _ in want.values())
+
+
+def test_a_first_batch_that_dies_behind_its_ledger_write_does_not_meet_itself(spark, monkeypatch):
+    rows, requests = _requests(spark)
+    listings, base = _listings(spark), scratch_dir(spark, "stream")
+    requests.write.parquet(f"{base}/in")
+    _stream(spark, base, listings)
+    # the checkpoint as it was before the first batch was committed: Spark decides that batch again
+    shutil.copytree(f"{base}/cp", f"{base}/before", ignore=shutil.ignore_patterns("commits"))
+    _stream(spark, base, listings, checkpoint="before")
+    assert _outcomes(spark.read.parquet(f"{base}/out")) == _simulate(spark, rows)
+    held = _booked(spark, base)
+    assert len(held) == len(set(held)) and spark.read.parquet(f"{base}/ledger").select("run").distinct().count() == 1
 
 
 def test_stream_whose_first_batch_books_nothing(spark):
@@ -156,8 +218,7 @@ def test_stream_whose_first_batch_books_nothing(spark):
     for i, listing in enumerate(["nowhere", "pr1", "pr1"]):
         rows = [(i, at, listing, "2026-07-28", slot, "n")]
         spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(f"{base}/in")
-        arriving = spark.readStream.schema(SCHEMA).parquet(f"{base}/in")
-        _run(stream_bookings(arriving, listings, TODAY, f"{base}/ledger", f"{base}/out"), f"{base}/cp")
+        _stream(spark, base, listings)
     got = {r.request_id: r.status for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {0: 404, 1: 201, 2: 409}
 
@@ -169,6 +230,40 @@ def test_stream_starts_from_earlier_bookings(spark):
     held = spark.createDataFrame([("r", "pr1", "t", "x", "2026-07-28", offered[0], "n")], ledger.LEDGER_SCHEMA)
     for i, slot in enumerate([offered[0], offered[1], offered[0]]):
         spark.createDataFrame([(i, at, "pr1", "2026-07-28", slot, "n")], SCHEMA).write.mode("append").parquet(f"{base}/in")
-        arriving = spark.readStream.schema(SCHEMA).parquet(f"{base}/in")
-        _run(stream_bookings(arriving, listings, TODAY, f"{base}/ledger", f"{base}/out", held), f"{base}/cp")
+        _stream(spark, base, listings, booked=held)
     assert {r.request_id: r.status for r in spark.read.parquet(f"{base}/out").collect()} == {0: 409, 1: 201, 2: 409}
+
+
+def test_state_of_past_days_expires_and_late_requests_find_nothing_left(spark):
+    listings, base = _listings(spark), scratch_dir(spark, "stream")
+    offered = spark.range(1).select(BK.slots_for(F.lit("pr1"), F.lit("2026-07-28")).alias("s")).first().s
+    far = spark.range(1).select(BK.slots_for(F.lit("pr1"), F.lit("2026-08-02")).alias("s")).first().s
+    at = lambda day, hour: dt.datetime(2026, 7, day, hour)
+    portions = [
+        [(1, at(27, 8), "pr1", "2026-07-28", offered[0], "n")],
+        [(2, at(28, 9), "pr1", "2026-07-28", offered[0], "n"), (3, at(28, 9), "pr1", "2026-07-28", "08:00", "n")],
+        [(4, at(31, 9), "pr1", "2026-08-02", far[0], "n")],
+        # its day was open when it was made, but the watermark has passed it; another late one asks for a day still open
+        [(5, at(27, 9), "pr1", "2026-07-28", offered[1], "n"), (6, at(27, 9), "pr1", "2026-08-02", far[0], "n"), (7, at(27, 9), "pr1", "2026-08-02", far[1], "n")],
+        [(8, at(31, 10), "pr1", "2026-07-28", offered[1], "n")],
+    ]
+    for rows in portions:
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(f"{base}/in")
+        _stream(spark, base, listings, today=None)
+    got = {r.request_id: r for r in spark.read.parquet(f"{base}/out").collect()}
+    assert {k: r.status for k, r in got.items()} == {1: 201, 2: 409, 3: 409, 4: 201, 5: 409, 6: 409, 7: 201, 8: 422}
+    assert offered[0] not in got[3].error.split("trống")[1] and offered[1] in got[3].error and "không còn khung nào" in got[5].error
+    keys = spark.read.format("statestore").option("stateVarName", "held").load(f"{base}/cp").select("key.day").distinct().collect()
+    assert [r.day for r in keys] == ["2026-08-02"]
+
+
+def test_each_request_has_its_own_clock(spark):
+    rows, requests = _requests(spark)
+    later = requests.withColumn("requested_at", F.expr("requested_at + make_dt_interval(cast(request_id % 3 as int))"))
+    listings, none = _listings(spark), ledger.empty_ledger(spark)
+    got = {r.request_id: r for r in BK.adjudicate(later, listings, none).collect()}
+    days = {r.request_id: r.d for r in later.select("request_id", F.to_date("requested_at").alias("d")).collect()}
+    fixed = {d: {r.request_id: r for r in BK.adjudicate(later, listings, none, d).collect()} for d in set(days.values())}
+    assert len(fixed) == 3
+    refused = lambda r: r.error if r.status in (404, 422) else None
+    assert {k: refused(r) for k, r in got.items()} == {k: refused(fixed[days[k]][k]) for k in got}
