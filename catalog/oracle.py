@@ -322,6 +322,18 @@ def _subsequence(paths: list[str]) -> str:
     return "regexp_matches(called, '(^|,)" + "(,|,.*,)".join(paths) + "(,|$)')"
 
 
+# crawls with clocks of their own, and the rows that come behind the watermark
+INGESTED = f"""{LISTINGS},
+crawled AS (SELECT * REPLACE ({days('t.posted_ts').replace(NOW, 'crawled_at')} AS days_old), row_index % 89 = 0 AS late
+  FROM (SELECT n.*, typed.posted_ts, {NOW} + CASE WHEN n.row_index % 89 = 0 THEN INTERVAL '-2 days'
+          ELSE to_hours(CAST(n.row_index % 3 * 6 AS INTEGER)) END AS crawled_at
+        FROM norm n JOIN typed ON typed.row_index = n.row_index) t),
+told AS (SELECT 'listing' AS kind, * FROM crawled WHERE url = ''
+  UNION ALL SELECT 'late', * FROM crawled WHERE url <> '' AND late
+  UNION ALL SELECT 'listing', * FROM (SELECT * FROM crawled WHERE url <> '' AND NOT late
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY row_index) = 1))"""
+
+
 def with_(ctes: str, select: str) -> str:
     return f"WITH {ctes} {select}"
 
@@ -458,7 +470,7 @@ ORACLE = {
         FROM answered WHERE status <> 201"""),
     "k8_fixed_texts": with_(TRACES, """SELECT trace_id, refusal AS text FROM classified WHERE outcome = 'write_refused'
         UNION ALL SELECT trace_id, answer FROM traces WHERE outcome = 'max_iterations'"""),
-    "m1_stream_listings": with_listings("SELECT url, count(*) AS n FROM lst GROUP BY url"),
+    "m1_stream_listings": with_(INGESTED, f"SELECT kind, strftime(crawled_at, '%Y-%m-%dT%H:%M:%S') AS crawled, {ALL} FROM told"),
     "m2_stream_bookings": with_(CHECKED, "SELECT * FROM answered"),
     "n1_tool_registry": with_(CALLS, "SELECT t.tool, min_args, max_args, is_write, count(c.tool) AS calls FROM (VALUES "
         + ", ".join(f"('{n}', {len(r)}, {len(r) + len(o)}, {str(w).lower()})" for n, r, o, w, _ in K.TOOLS)

@@ -545,14 +545,22 @@ def _keyed_state(spark):
 def m1_stream_listings(spark, sf_dir):
     base = scratch_dir(spark, "m1")
     raw = X.raw_listings(spark, sf_dir)
-    source = raw.withColumn("crawled_at", F.lit("2026-07-27 12:00:00").cast("timestamp"))
-    source.repartition(4).write.parquet(f"{base}/in")
-    arriving = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    clean = stream_listings(arriving, X.NOW)
-    _run(clean.writeStream.format("parquet").option("path", f"{base}/out"), f"{base}/checkpoint")
-    # which copy of a link arrives first is up to the stream; that one copy is kept is not
+    at, k = F.lit(X.NOW).cast("timestamp"), col("row_index")
+    late = k % 89 == 0
+    # three crawls six hours apart, and a junk row days later that moves the watermark past them; then rows from before
+    hours = F.make_dt_interval(hours=((k % 3) * 6).cast("int"))
+    in_time = raw.where(~late).withColumn("crawled_at", at + hours)
+    junk = raw.limit(1).withColumn(K.COL_AREA, F.lit("")).withColumn("crawled_at", at + F.expr("INTERVAL 5 DAYS"))
+    behind = raw.where(late).withColumn("crawled_at", at - F.expr("INTERVAL 2 DAYS"))
+    for portion in (in_time.unionByName(junk), behind):
+        portion.write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(portion.schema).parquet(f"{base}/in")
+        with _keyed_state(spark):
+            clean = stream_listings(arriving)
+            _run(clean.writeStream.format("parquet").option("path", f"{base}/out"), f"{base}/checkpoint")
     out = spark.read.schema(clean.schema).parquet(f"{base}/out")
-    return out.groupBy("url").agg(F.count("*").alias("n"))
+    crawled = L.iso_timestamp(col("crawled_at").cast("timestamp_ntz"))
+    return flat_listing(out.withColumn("crawled", crawled), "kind", "crawled")
 
 
 def m2_stream_bookings(spark, sf_dir):

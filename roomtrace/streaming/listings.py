@@ -1,29 +1,92 @@
-"""Continuous crawl ingest."""
+"""Continuous crawl ingest: cleaning, and one row per link by keyed state with event-time timers."""
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from roomtrace.operators.listings import normalize
 
-#: Parts a link's rows are spread over before the final duplicate check.
-SALTS = 16
+_COPIES = "url string, row_index long, at long, closes long, row string"
 
 
-def stream_listings(raw: DataFrame, now, event_time: str = "crawled_at", delay: str = "1 day") -> DataFrame:
-    """Clean listings from a stream of raw rows, one per non-empty link.
+class FirstCopy(StatefulProcessor):
+    """The first row, by row index, among the copies of one link that come in time.
 
-    ``raw`` has the crawl columns, ``row_index`` and a timestamp column.  Against
-    the batch form: arrival order replaces file order, and copies of a link that
-    come further apart than ``delay`` pass.  Copies are first dropped within
-    each input partition's share of a link, so that a link that floods the
-    stream reaches the final check as a few rows.
+    The first copy to arrive opens a window of the allowed delay; when the watermark has passed it, the row
+    with the smallest index is given out and the link forgotten.  A copy behind the watermark is
+    given out at once, marked as late.
     """
-    clean = normalize(raw, now, keep=[event_time]).withWatermark(event_time, delay)
-    linked = (
-        clean.where(F.col("url") != "")
-        .withColumn("_salt", F.spark_partition_id() % SALTS)
-        .dropDuplicatesWithinWatermark(["url", "_salt"])
-        .drop("_salt")
-        .dropDuplicatesWithinWatermark(["url"])
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "row_index long, row string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names that Spark calls by
+        passed, first, closes, late = timerValues.getCurrentWatermarkInMs() * 1000, None, None, []
+        for chunk in rows:
+            for index, at, ends, row in zip(chunk["row_index"], chunk["at"], chunk["closes"], chunk["row"]):
+                if at < passed:
+                    late.append(row)
+                    continue
+                first = min((int(index), row), first) if first else (int(index), row)
+                closes = int(ends) if closes is None else min(closes, int(ends))
+        if first is not None:
+            if not self.best.exists():
+                self.best.update(first)
+                self.handle.registerTimer(closes)
+            elif first[0] < self.best.get()[0]:
+                self.best.update(first)
+        if late:
+            yield pd.DataFrame({"row": late, "kind": ["late"] * len(late)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        row = self.best.get()[1]
+        self.best.clear()
+        yield pd.DataFrame({"row": [row], "kind": ["listing"]})
+
+    def close(self) -> None:
+        pass
+
+
+def _first_of_batch(batches):
+    """Of the copies of a link with one event time the first of an Arrow batch, so that a link that floods a crawl reaches its state as a few rows."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]).sort_by("row_index")
+        first = rows.group_by(["url", "at", "closes"], use_threads=False).aggregate([("row_index", "first"), ("row", "first")])
+        named = first.rename_columns([c.removesuffix("_first") for c in first.column_names])
+        yield from named.select(batch.schema.names).cast(batch.schema).to_batches()
+
+
+def stream_listings(raw: DataFrame, now=None, event_time: str = "crawled_at", delay: str = "1 day") -> DataFrame:
+    """Clean listings from a stream of raw rows, with ``kind``: one ``listing`` per non-empty link, and the ``late`` copies.
+
+    ``raw`` has the crawl columns, ``row_index`` and a timestamp column; junk rows move the
+    watermark too.  Ages are counted from ``now``, without it from each row's own event time.
+    Against the batch form: the first copy by row index is the first of those
+    whose event times are at most ``delay`` after the one that arrives first, and it is given out when the watermark
+    has passed that; copies further apart are listings again.  Copies with an event time
+    behind the watermark are given out as late, one for each link, event time and Arrow batch.  Rows without a
+    link pass at once.  The session's state store must be RocksDB.
+    """
+    timed = raw.withWatermark(event_time, delay)
+    clock = F.col(event_time).cast("timestamp_ntz") if now is None else now
+    clean = normalize(timed, clock, keep=[event_time])
+    # a plain copy of the event time: late rows must reach the state to be told
+    at = F.col(event_time) + F.expr("INTERVAL 0 SECONDS")
+    plain = clean.withColumn(event_time, at)
+    fields = T.StructType([f for f in plain.schema.fields if f.name != event_time])
+    copies = plain.where(F.col("url") != "").select(
+        "url", "row_index", F.unix_micros(event_time).alias("at"),
+        F.unix_millis(F.col(event_time) + F.expr(f"INTERVAL {delay}")).alias("closes"),
+        F.to_json(F.struct(F.struct(*fields.names).alias("fields"), F.unix_micros(event_time).alias("at"))).alias("row"),
+    )
+    few = copies.mapInArrow(_first_of_batch, _COPIES)
+    told = few.groupBy("url").transformWithStateInPandas(FirstCopy(), "row string, kind string", "append", "eventTime")
+    held = T.StructType([T.StructField("fields", fields), T.StructField("at", T.LongType())])
+    linked = told.select(F.from_json("row", held).alias("r"), "kind").select(
+        F.timestamp_micros("r.at").alias(event_time), "r.fields.*", "kind"
     )
-    return linked.unionByName(clean.where(F.col("url") == ""))
+    return linked.unionByName(plain.where(F.col("url") == "").withColumn("kind", F.lit("listing")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from catalog.queries import _run
+from catalog.queries import _keyed_state, _run
 from roomtrace import constants as K
 from roomtrace.operators import listings as LS
 from roomtrace.plans.scratch import scratch_dir
@@ -89,21 +89,40 @@ def test_cases_by_id(spark):
     assert [r.question for r in cases.read_test_cases(spark, path, "12").collect()] == ["q12"]
 
 
-def test_listing_stream_keeps_one_row_per_link(spark):
-    base = scratch_dir(spark, "stream")
-    # one link has most of the rows
-    raw = spark.range(600).select(
+def _crawled(rows, at, area="25 m2"):
+    return rows.select(
         F.col("id").alias("row_index"),
-        F.lit("Thứ 2, 10:00 27/07/2026").alias(K.COL_POSTED), F.lit("t").alias(K.COL_TITLE),
-        F.lit("2 triệu/tháng").alias(K.COL_PRICE), F.lit("25 m2").alias(K.COL_AREA),
-        F.lit("Cầu Giấy").alias(K.COL_ADDRESS), F.lit("").alias(K.COL_DESCRIPTION),
+        F.lit("Thứ 2, 10:00 26/07/2026").alias(K.COL_POSTED), F.format_string("t%d", F.col("id")).alias(K.COL_TITLE),
+        F.lit("2 triệu/tháng").alias(K.COL_PRICE), F.lit(area).alias(K.COL_AREA),
+        F.lit("Cầu Giấy").alias(K.COL_ADDRESS), F.lit("khép kín").alias(K.COL_DESCRIPTION),
         F.when(F.col("id") % 3 > 0, "x-pr1.html").when(F.col("id") % 2 == 0, "").otherwise(
             F.format_string("x-pr%d.html", F.col("id"))).alias(K.COL_LINK),
-        F.lit("2026-07-27 12:00:00").cast("timestamp").alias("crawled_at"))
-    for part in range(2):
-        raw.where(F.col("row_index") % 2 == part).repartition(3).write.mode("append").parquet(f"{base}/in")
-        clean = stream_listings(spark.readStream.schema(raw.schema).parquet(f"{base}/in"), "2026-07-27 12:00:00")
-        _run(clean.writeStream.format("parquet").option("path", f"{base}/out"), f"{base}/cp")
-    got = {r.url: r.n for r in spark.read.parquet(f"{base}/out").groupBy("url").agg(F.count("*").alias("n")).collect()}
-    batch = LS.load_listings(raw, "2026-07-27 12:00:00").groupBy("url").agg(F.count("*").alias("n")).collect()
-    assert got == {r.url: r.n for r in batch}
+        F.lit(at).cast("timestamp").alias("crawled_at"))
+
+
+def test_listing_stream_gives_the_first_row_of_each_link_and_tells_late_ones(spark):
+    base, ids = scratch_dir(spark, "stream"), spark.range(600)
+    # one link has most of the rows; the first row of it comes second and from an earlier crawl
+    first, second = _crawled(ids.where("id % 2 = 0"), "2026-07-27 12:00:00"), _crawled(ids.where("id % 2 = 1"), "2026-07-27 09:00:00")
+    close = _crawled(spark.range(1000, 1001), "2026-07-30 12:00:00", area="")
+    late, again = _crawled(spark.range(700, 701), "2026-07-28 12:00:00"), _crawled(spark.range(800, 801), "2026-07-30 13:00:00")
+    end = _crawled(spark.range(1000, 1001), "2026-08-03 12:00:00", area="")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        for portion in (first, second.unionByName(close), late.unionByName(again).unionByName(end)):
+            portion.repartition(3).write.mode("append").parquet(f"{base}/in")
+            with _keyed_state(spark):
+                clean = stream_listings(spark.readStream.schema(portion.schema).parquet(f"{base}/in"))
+                _run(clean.writeStream.format("parquet").option("path", f"{base}/out"), f"{base}/cp")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    out = spark.read.parquet(f"{base}/out")
+    in_time = first.unionByName(second)
+    batch = LS.dedup_by_link(LS.normalize(in_time, F.col("crawled_at").cast("timestamp_ntz"), keep=["crawled_at"]))
+    columns = batch.columns
+    want = sorted([*(str(r) for r in batch.collect()), *(str(r) for r in LS.normalize(again, F.col("crawled_at").cast("timestamp_ntz"), keep=["crawled_at"]).collect())])
+    assert sorted(str(r) for r in out.where("kind = 'listing'").select(columns).collect()) == want
+    assert [(r.row_index, r.days_old) for r in out.where("kind = 'late'").collect()] == [(700, 2)]
+    # ages are counted from the event
+    assert {r.days_old for r in out.where("row_index = 800").collect()} == {4}
