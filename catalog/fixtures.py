@@ -159,6 +159,12 @@ FROM (SELECT e, t AS trace_id, 1 + e % 7 AS step, (e * 13 + t) % 12 AS i,
       FROM (SELECT event_id AS e, cast(floor(event_id / 7) AS bigint) AS t FROM {events}) AS n) AS s
 """
 
+# the place in a conversation where a trace's question was put; every ninth trace has none
+ASKED = """
+SELECT t AS trace_id, CASE WHEN t % 9 = 0 THEN NULL ELSE 4 * (t % 260) END AS conv_id, CAST(t * 37 % 4000 AS bigint) AS asked_at
+FROM (SELECT DISTINCT cast(floor(event_id / 7) AS bigint) AS t FROM {events}) AS d
+"""
+
 ATTEMPTS = f"""
 SELECT trace_id, step, n AS attempt,
   CASE WHEN n < 1 + e % 4 THEN concat('[API Error]: 429 lần ', cast(n AS string)) ELSE raw_output END AS raw_output
@@ -175,7 +181,7 @@ FROM {events} WHERE event_type IN ('error', 'view')
 
 TABLES = {
     "orders": [RAW_LISTINGS, BOOKING_REQUESTS], "customer": [SEARCH_REQUESTS],
-    "conversations": [TURNS], "events": [STEPS, ATTEMPTS, RUNS],
+    "conversations": [TURNS], "events": [STEPS, ATTEMPTS, RUNS, ASKED],
 }
 
 
@@ -240,6 +246,11 @@ def steps(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, STEPS).drop("i", "e")
 
 
+@stored
+def asked(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, ASKED)
+
+
 @stored
 def attempts(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, ATTEMPTS)

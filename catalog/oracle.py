@@ -5,7 +5,7 @@ from roomtrace import constants as K
 
 D = X.for_duckdb
 RAW, SEARCHES, BOOKINGS = D(X.RAW_LISTINGS), D(X.SEARCH_REQUESTS), D(X.BOOKING_REQUESTS)
-TURNS, STEPS, ATTEMPTS, RUNS = D(X.TURNS), D(X.STEPS), D(X.ATTEMPTS), D(X.RUNS)
+TURNS, STEPS, ATTEMPTS, RUNS, ASKED = D(X.TURNS), D(X.STEPS), D(X.ATTEMPTS), D(X.RUNS), D(X.ASKED)
 
 
 def lit(text: str) -> str:
@@ -300,6 +300,16 @@ refused AS (SELECT *, CASE call_outcome
     WHEN 'unknown_tool' THEN {printf(K.OBS_UNKNOWN_TOOL, 'tool', lit(', '.join(n for n, *_ in K.TOOLS)))}
     WHEN 'write_refused' THEN {lit(K.OBS_WRITE_REFUSED)}
     WHEN 'wrong_arguments' THEN {printf(K.OBS_WRONG_ARGUMENTS, 'tool', 'fault', _SIGNATURES)} END AS refusal FROM calls)"""
+# the question at or before the place where a step was asked, with three remembered turns before it
+IN_CONVERSATION = f"""{SEGMENTS},
+intents AS (SELECT c.conv_id, c.turn, {intent('c.query')} OR coalesce(bool_or({intent('p.query')}), false) AS told
+  FROM segments c LEFT JOIN segments p ON p.conv_id = c.conv_id AND p.segment_id = c.segment_id AND p.remembered
+    AND p.position >= c.position - 3 AND p.position < c.position
+  WHERE c.mode IS NOT NULL GROUP BY c.conv_id, c.turn, c.query),
+traced AS (SELECT a.trace_id, coalesce(i.told, false) AS told
+  FROM ({ASKED}) a ASOF LEFT JOIN intents i ON a.conv_id = i.conv_id AND a.asked_at >= i.turn),
+{CALLS.replace('faulted AS (SELECT *,', f"""meant AS (SELECT parsed.*, {intent('question')} OR told AS intent FROM parsed JOIN traced USING (trace_id)),
+faulted AS (SELECT *,""").replace('AS fault FROM parsed)', 'AS fault FROM meant)').replace(f"NOT {intent('question')}", 'NOT intent')}"""
 CLASSIFIED = f"""{CALLS},
 outcomes AS (SELECT *, {FINAL} AS fin, CASE WHEN {IS_ERROR.format(c=strip('raw_output'))} THEN 'provider_error'
     WHEN contains(output, 'Final Answer:') THEN 'final' ELSE coalesce(call_outcome, 'malformed_action') END AS outcome FROM refused),
@@ -446,6 +456,7 @@ ORACLE = {
         AS transient FROM ({ATTEMPTS})""",
     "j7_has_booking_intent": f"SELECT conv_id, turn, {intent('question')} AS intent FROM ({TURNS})",
     "j8_classify_call": with_(CALLS, "SELECT trace_id, step, tool, call_outcome, refusal FROM refused"),
+    "j8_guard_in_conversation": with_(IN_CONVERSATION, "SELECT trace_id, step, tool, intent, call_outcome, refusal FROM refused"),
     "j9_classify_steps": with_(CLASSIFIED, "SELECT trace_id, step, outcome, answer FROM classified"),
     "j10_summarize_traces": with_(TRACES, "SELECT * FROM traces"),
     "j11_route_by_rules": f"SELECT conv_id, turn, {ROUTES} AS route FROM ({TURNS})",

@@ -447,6 +447,15 @@ def j8_classify_call(spark, sf_dir):
     )
 
 
+def j8_guard_in_conversation(spark, sf_dir):
+    """Calls judged by the booking intent of the conversation they belong to."""
+    steps = X.steps(spark, sf_dir).join(X.asked(spark, sf_dir), "trace_id")
+    known = CV.intent_of_steps(steps, CV.intent_in_context(_segments(spark, sf_dir)))
+    return TR.classify_calls(TR.parse_steps(known), col("intent")).select(
+        "trace_id", "step", "tool", "intent", "call_outcome", "refusal"
+    )
+
+
 def j9_classify_steps(spark, sf_dir):
     return _classified(spark, sf_dir).select("trace_id", "step", "outcome", "answer")
 

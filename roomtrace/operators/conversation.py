@@ -7,8 +7,9 @@ from roomtrace import constants as K
 from roomtrace.functions.agent import date_context, has_booking_intent
 from roomtrace.functions.text import py_strip
 from roomtrace.operators.listings import as_date
+from roomtrace.plans.prefix import last_known, placed, running_sum
 from roomtrace.plans.scratch import materialize
-from roomtrace.plans.skew import lookup, running_total, trailing
+from roomtrace.plans.skew import lookup, trailing
 
 
 def session_segments(turns: DataFrame) -> DataFrame:
@@ -32,11 +33,11 @@ def session_segments(turns: DataFrame) -> DataFrame:
     )
     # leaving the program also ends its memory
     empties = text.isin(K.RESET_COMMANDS + K.QUIT_COMMANDS)
-    segments = running_total(read, ["conv_id"], "turn", empties.cast("int"), "segment_id")
-    counted = running_total(
-        segments, ["conv_id", "segment_id"], "turn", F.col("remembered").cast("int"), "_seen"
-    )
-    return counted.withColumn("position", F.col("_seen") - F.col("remembered").cast("bigint")).drop("_seen")
+    # one order serves both counts: the turns of a segment lie together in their conversation
+    ordered = placed(read, ["conv_id"], ["turn"])
+    segments = running_sum(ordered, ["conv_id"], empties.cast("int"), "segment_id")
+    counted = running_sum(segments, ["conv_id", "segment_id"], F.col("remembered").cast("int"), "_seen")
+    return counted.withColumn("position", F.col("_seen") - F.col("remembered").cast("bigint")).drop("_seen", "_part", "_place")
 
 
 def _with_context(segments: DataFrame, lookback: int, name: str, aggregate: Column) -> DataFrame:
@@ -71,6 +72,31 @@ def intent_in_context(segments: DataFrame) -> DataFrame:
     return seen.withColumn("intent_in_context", F.col("intent") | F.coalesce("_recent", F.lit(False))).drop("_recent")
 
 
+def intent_of_steps(steps: DataFrame, questions: DataFrame) -> DataFrame:
+    """Steps with ``intent``: was a booking asked for when the step's question was put.
+
+    ``steps`` have conv_id and ``asked_at``, a place in the conversation; ``questions``
+    are those of ``intent_in_context``.  An as-of join: the last question at or before that place
+    counts, with the remembered ones before it, and the step's own question.  A step without a
+    conversation, or before its first question, has only its own.
+    """
+    own = F.coalesce(has_booking_intent(F.col("question")), F.lit(False))
+    inside = steps.where(F.col("conv_id").isNotNull() & F.col("asked_at").isNotNull())
+    step = F.struct(*steps.columns)
+    told = questions.select(
+        "conv_id", F.col("turn").cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.col("intent_in_context").alias("_told"),
+        F.lit(None).cast(steps.select(step.alias("s")).schema["s"].dataType).alias("_step"),
+    )
+    asking = inside.select(
+        "conv_id", F.col("asked_at").cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("boolean").alias("_told"), step.alias("_step"),
+    )
+    rows = placed(told.unionByName(asking), ["conv_id"], ["_at", "_kind"])
+    known = last_known(rows, ["conv_id"], F.col("_told"), "_known").where(F.col("_kind") == 1)
+    joined = known.select("_step.*", "_known").withColumn("intent", own | F.coalesce("_known", F.lit(False))).drop("_known")
+    outside = steps.where(F.col("conv_id").isNull() | F.col("asked_at").isNull()).withColumn("intent", own)
+    return joined.unionByName(outside)
+
+
 def _history_text(pairs: Column) -> Column:
     numbered = F.transform(
         pairs,

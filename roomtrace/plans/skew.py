@@ -67,33 +67,6 @@ def _stretch_start(order: str, chunk: int) -> Column:
     return value - F.pmod(value, F.lit(chunk))
 
 
-def running_total(
-    df: DataFrame, keys: list[str], order: str, value, name: str, chunk: int = CHUNK
-) -> DataFrame:
-    """Running sum of ``value`` per key along an integer ``order`` column, current row included.
-
-    Two levels: sums inside stretches of ``chunk`` order values, then sums over
-    the stretch totals.  No window group holds a whole key's rows.
-    """
-    stretch = _stretch_start(order, chunk)
-    rows = df.withColumn("_value", value.cast("bigint")).withColumn("_stretch", stretch)
-    inner = W.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    outer = W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*keys, "_stretch")
-        .agg(F.sum("_value").alias("_total"))
-        .withColumn("_offset", F.sum("_total").over(outer))
-        .where(F.col("_offset") != 0)  # most keys fit in one stretch and need no offset
-        .select(*keys, "_stretch", "_offset")
-    )
-    return (
-        rows.withColumn("_local", F.sum("_value").over(inner))
-        .join(offsets, [*keys, "_stretch"], "left")
-        .withColumn(name, F.col("_local") + F.coalesce("_offset", F.lit(0)))
-        .drop("_value", "_stretch", "_local", "_offset")
-    )
-
-
 def trailing(
     df: DataFrame, keys: list[str], position: str, lookback: int, aggregates: dict, chunk: int = CHUNK
 ) -> DataFrame:

@@ -3,11 +3,12 @@
 import random
 from bisect import bisect_left
 
+import pytest
 from pyspark.sql import functions as F
 
 from roomtrace import constants as K
 from roomtrace.operators import listings as LS
-from roomtrace.plans import ranges, skew
+from roomtrace.plans import prefix, ranges, skew
 from roomtrace.sources.listings import read_normalized, write_listings
 from roomtrace.plans.scratch import scratch_dir
 
@@ -51,16 +52,37 @@ def test_every_hot_key_is_found_with_its_parts(spark):
     assert skew.hot_keys(df, ["k"], hot_rows=41).count() == 0
 
 
-def test_running_total_across_stretches(spark):
+def _gappy(spark, monkeypatch, parts):
+    """Rows of a long key and short ones, with gaps of thousands, over many partitions."""
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, *c, plain=type(spark.range(0)).repartitionByRange: plain(self, parts, *c))
     rng = random.Random(2)
-    rows = [(k, t, rng.randint(0, 1)) for k in "ab" for t in sorted(rng.sample(range(500), 200))] + [("c", 3, 1)]
-    df = spark.createDataFrame(rows, "k string, t int, x int")
-    got = {(r.k, r.t): r.s for r in skew.running_total(df, ["k"], "t", F.col("x"), "s", chunk=16).collect()}
-    sums, want = {}, {}
+    rows = [("a", t * 5000 + rng.randint(0, 4000), rng.choice([0, 1, None, 3])) for t in range(400)]
+    rows += [(k, t, rng.choice([0, 1, None])) for k in "bcd" for t in sorted(rng.sample(range(10**9), 30))] + [("e", -3, 7)]
+    rng.shuffle(rows)
+    return sorted(rows, key=lambda r: r[:2]), spark.createDataFrame(rows, "k string, t bigint, x int").repartition(5)
+
+
+@pytest.mark.parametrize("parts", [1, 13, 60])
+def test_sums_and_last_values_along_an_order_with_gaps(spark, monkeypatch, parts):
+    rows, df = _gappy(spark, monkeypatch, parts)
+    ordered = prefix.placed(df, ["k"], ["t"])
+    assert ordered.select("_part").distinct().count() == parts
+    got = {(r.k, r.t): (r.s, r.v) for r in prefix.last_known(prefix.running_sum(ordered, ["k"], F.coalesce("x", F.lit(0)), "s"), ["k"], F.col("x"), "v").collect()}
+    sums, last, want = {}, {}, {}
     for k, t, x in rows:
-        sums[k] = sums.get(k, 0) + x
-        want[k, t] = sums[k]
+        sums[k] = sums.get(k, 0) + (x or 0)
+        last[k] = last.get(k) if x is None else x
+        want[k, t] = (sums[k], last[k])
     assert got == want
+    # no window group holds more than one partition's share of a key
+    assert parts == 1 or ordered.groupBy("k", "_part").count().agg(F.max("count")).first()[0] < 400
+
+
+def test_a_sum_over_all_rows_needs_no_constant_key(spark, monkeypatch):
+    rows, df = _gappy(spark, monkeypatch, 17)
+    got = prefix.running_sum(prefix.placed(df, [], ["t", "k"]), [], F.lit(1), "n")
+    assert "SinglePartition" not in physical(got) and "Window [" in physical(got)
+    assert [r.n for r in got.orderBy("t", "k").collect()] == list(range(1, len(rows) + 1))
 
 
 def test_trailing_across_stretches(spark):

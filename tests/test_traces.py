@@ -131,6 +131,20 @@ def test_intent_lasts_three_remembered_turns(spark):
     assert got == [True] + [True] * 3 + [True] * 3 + [False] * 2
 
 
+def test_a_booking_asked_for_a_turn_earlier_is_not_refused(spark):
+    turns = [("xin chào", "a"), ("đặt lịch giúp tôi", "a"), ("căn rẻ nhất ấy", "a")] + [("x", "a")] * 4
+    questions = CV.intent_in_context(_segments(spark, turns))  # turns 0, 7, 14 ...
+    call = 'Action: book_viewing["pr1", "2026-07-28", "14:00", "An"]'
+    places = [("c", 14), ("c", 20), ("c", 0), ("c", -1), ("c", 6), ("c", 28), ("c", 35), ("c", 10**9), ("d", 14), (None, 14), ("c", None)]
+    rows = [(i, 1, "căn rẻ nhất ấy", call, None, *p) for i, p in enumerate(places)]
+    rows += [(100 + i, 1, "ĐẶT LỊCH nhé", call, None, *p) for i, p in enumerate([("c", 0), (None, None), ("d", 1)])]
+    steps = spark.createDataFrame(rows, "trace_id int, step int, question string, raw_output string, observation string, conv_id string, asked_at int")
+    judged = TR.classify_calls(TR.parse_steps(CV.intent_of_steps(steps, questions)), F.col("intent")).collect()
+    allowed = {r.trace_id for r in judged if r.call_outcome == "runnable"}
+    assert len(judged) == len(rows) and allowed == {0, 1, 5, 100, 101, 102}
+    assert {r.call_outcome for r in judged if r.trace_id not in allowed} == {"write_refused"}
+
+
 def test_history_keeps_ten_turns_and_cuts_answers(spark):
     turns = [(f"q{i}", "  " + "x" * (700 + i % 2) + " ") for i in range(13)]
     rows = CV.history_block(_segments(spark, turns)).orderBy("turn").collect()
