@@ -7,13 +7,10 @@ from roomtrace import constants as K
 from roomtrace.functions import render as R
 from roomtrace.functions.text import district_key, py_strip
 from roomtrace.operators.listings import latest_by_id, recency
-from roomtrace.plans.ranges import blocks_below, blocks_of_rank, count_below, levels_for
+from roomtrace.plans.prefix import placed, running_sum
+from roomtrace.plans.ranges import blocks_below, blocks_of_rank, levels_for
 from roomtrace.plans.scratch import materialize
-from roomtrace.plans.skew import lookup, top_k, union_all
-
-#: Distinct thresholds per parameter that one pass over the listings serves.
-MAX_THRESHOLDS = 20_000
-
+from roomtrace.plans.skew import lookup, top_k
 
 def validate_search(requests: DataFrame) -> DataFrame:
     """Add ``limit`` default and ``status``: 200, or 422 for a value out of range."""
@@ -30,11 +27,27 @@ def validate_search(requests: DataFrame) -> DataFrame:
     )
 
 
-def _thresholds(filters: DataFrame, column: Column) -> list | None:
-    """Sorted distinct values, or None when there are more than one pass serves."""
-    values = filters.select(column.alias("v")).where(F.col("v").isNotNull()).distinct()
-    found = [row.v for row in values.limit(MAX_THRESHOLDS + 1).collect()]
-    return sorted(found) if len(found) <= MAX_THRESHOLDS else None
+def _ranked(thresholds: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """((v, rank) of thresholds, (v, rank) of values, levels of blocks for them).
+
+    Both tables have one column ``v``.  A value's rank is the number of distinct thresholds below it, a threshold's the
+    number of ranks that it accepts.  Thresholds and values are sorted together and counted along the
+    order, so any number of thresholds is served without gathering them anywhere.
+    """
+    asked = thresholds.where(F.col("v").isNotNull()).distinct().withColumn("_asked", F.lit(1))
+    met = values.where(F.col("v").isNotNull()).distinct().withColumn("_asked", F.lit(0))
+    # at equal values the listing comes first: it is not above the threshold
+    ordered = placed(asked.unionByName(met), [], ["v", "_asked"])
+    counted = running_sum(ordered, [], F.col("_asked"), "rank").select("v", "rank", "_asked")
+    counted = materialize(counted, "ranks")
+    of_thresholds = counted.where("_asked = 1").select("v", "rank")
+    return of_thresholds, counted.where("_asked = 0").select("v", "rank"), levels_for(of_thresholds.count())
+
+
+def _with_rank(rows: DataFrame, value: Column, ranks: DataFrame, name: str, spread: str) -> DataFrame:
+    """Rows with the rank of a value, null where the value is null."""
+    keyed = ranks.select(F.col("v").alias("_v"), F.col("rank").alias(name))
+    return lookup(rows.withColumn("_v", value), keyed, ["_v"], spread=[spread]).drop("_v")
 
 
 def _resolve_keys(filters: DataFrame, listings: DataFrame) -> DataFrame:
@@ -57,7 +70,7 @@ def _resolve_keys(filters: DataFrame, listings: DataFrame) -> DataFrame:
     return substrings.join(asked, "asked_key", "left_semi")
 
 
-def top_per_filter(filters: DataFrame, listings: DataFrame, seed: int = 0) -> DataFrame:
+def top_per_filter(filters: DataFrame, listings: DataFrame) -> DataFrame:
     """The first MAX_LIMIT listings for every distinct filter (key, max_price, min_area).
 
     Thresholds cut price and area into ranks; a filter accepts or refuses a
@@ -70,24 +83,13 @@ def top_per_filter(filters: DataFrame, listings: DataFrame, seed: int = 0) -> Da
     The age limit is not needed here: answers are newest first, so it only cuts
     an answer's tail.
     """
-    prices = _thresholds(filters, F.col("max_price"))
-    areas = _thresholds(filters, -F.col("min_area"))
-    for column, found in (("max_price", prices), ("min_area", areas)):
-        if found is None:  # too many for one pass: split by threshold value, one pass per part
-            parts = max(2, -(-2 * filters.select(column).distinct().count() // MAX_THRESHOLDS))
-            part = F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(parts))
-            return union_all(
-                [top_per_filter(filters.where(part == i), listings, seed + 1) for i in range(parts)]
-            )
-
-    price_levels, area_levels = levels_for(len(prices)), levels_for(len(areas))
-    cells = listings.select(
-        "district_key",
-        count_below(F.col("price_vnd"), prices, "bigint").alias("_price_rank"),
-        count_below(-F.col("area_m2"), areas, "double").alias("_area_rank"),
-        "days_old",
-        "row_index",
-    )
+    # larger areas come first: "at least" becomes "at most"
+    upside_down = lambda c: F.lit(0.0) - F.col(c)
+    narrow = listings.select("district_key", "price_vnd", upside_down("area_m2").alias("_area"), "days_old", "row_index")
+    asked_prices, prices, price_levels = _ranked(filters.select(F.col("max_price").cast("bigint").alias("v")), narrow.select(F.col("price_vnd").alias("v")))
+    asked_areas, areas, area_levels = _ranked(filters.select(upside_down("min_area").alias("v")), narrow.select(F.col("_area").alias("v")))
+    cells = _with_rank(narrow, F.col("price_vnd"), prices, "_price_rank", "row_index")
+    cells = _with_rank(cells, F.col("_area"), areas, "_area_rank", "row_index").drop("price_vnd", "_area")
     # a few rows per cell, written once: everything below reads only this small table
     cells = materialize(
         top_k(cells, ["district_key", "_price_rank", "_area_rank"], recency(), K.MAX_LIMIT).drop("rank"), "cells"
@@ -109,10 +111,9 @@ def top_per_filter(filters: DataFrame, listings: DataFrame, seed: int = 0) -> Da
     # at most MAX_LIMIT rows per block, so an array of them is bounded
     blocks = by_block.groupBy(*block).agg(F.collect_list(F.struct("days_old", "row_index")).alias("_newest"))
 
-    # ranks 0..n accept a threshold that is the n-th smallest: n+1 ranks
+    wanted = _with_rank(filters, F.col("max_price").cast("bigint"), asked_prices, "_prices", "filter")
     wanted = (
-        filters.withColumn("_prices", count_below(F.col("max_price"), prices, "bigint") + 1)
-        .withColumn("_areas", count_below(-F.col("min_area"), areas, "double") + 1)
+        _with_rank(wanted, upside_down("min_area"), asked_areas, "_areas", "filter")
         .withColumn("_price_block", F.explode(blocks_below(F.col("_prices"), price_levels)))
         .withColumn("_area_block", F.explode(blocks_below(F.col("_areas"), area_levels)))
         .select("filter", *block)
@@ -125,8 +126,8 @@ def search_batch(requests: DataFrame, listings: DataFrame, columns: list[str] |
     """Answers of many search requests: (request_id, rank, listing fields).
 
     Requests with equal filters share one answer; refused requests give no rows.
-    Building the plan runs three jobs, which write the requests in short form, the
-    surviving listing keys and the answer per filter to the scratch folder.
+    Building the plan runs jobs, which write the requests in short form, the ranks of
+    thresholds, the surviving listing keys, the answer per filter and the hits to the scratch folder.
     ``columns`` are the listing fields wanted, all by default.
     """
     columns = columns or [c for c in listings.columns if c != "row_index"]
@@ -152,12 +153,13 @@ def search_batch(requests: DataFrame, listings: DataFrame, columns: list[str] |
         .agg(F.array_sort(F.collect_list(F.struct("rank", "days_old", "row_index"))).alias("_answer"))
     )
     matched = lookup(asked, materialize(answers, "answers"), ["filter"], spread=["request_id"], how="inner")
-    hits = (
+    hits = materialize(
         matched.select("request_id", "max_days_old", "limit", F.explode("_answer").alias("_hit"))
         .select("request_id", "max_days_old", "limit", "_hit.*")
         .where(F.col("rank") <= F.col("limit"))
         .where(F.col("max_days_old").isNull() | (F.col("days_old") <= F.col("max_days_old")))
-        .select("request_id", "rank", "row_index")
+        .select("request_id", "rank", "row_index"),
+        "hits",
     )
     # wide columns only for listings that are in some answer
     shown = listings.select("row_index", *columns).join(

@@ -40,21 +40,3 @@ def blocks_below(count: Column, levels: int) -> Column:
     ]
     every = F.array(F.lit(ANY_BLOCK).cast("bigint"))
     return F.when(count.isNull(), every).otherwise(F.array_compact(F.array(*parts)))
-
-
-def count_below(value: Column, thresholds: list, sql_type: str) -> Column:
-    """How many of the sorted thresholds are strictly below ``value``.
-
-    Binary search over a literal array; a few steps per row, on the JVM.
-    """
-    if not thresholds:
-        return F.when(value.isNotNull(), F.lit(0).cast("bigint"))
-    listed = F.split(F.lit(",".join(repr(t) for t in thresholds)), ",").cast(f"array<{sql_type}>")
-    steps = [1 << b for b in reversed(range(len(thresholds).bit_length()))]
-
-    def step(position: Column, width: Column) -> Column:
-        probe = F.get(listed, (position + width - 1).cast("int"))
-        return F.when(probe < value, position + width).otherwise(position)
-
-    found = F.aggregate(F.array(*[F.lit(s).cast("bigint") for s in steps]), F.lit(0).cast("bigint"), step)
-    return F.when(value.isNotNull(), found)

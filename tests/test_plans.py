@@ -1,7 +1,6 @@
 """Building blocks for skewed data, and the shape of physical plans."""
 
 import random
-from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,15 +104,6 @@ def test_blocks_cover_exactly_the_ranks_below(spark):
     assert pairs == [(c, r) for c in range(n + 1) for r in range(c)]
 
 
-def test_count_below(spark):
-    rng = random.Random(4)
-    thresholds = sorted(rng.sample(range(1000), 37))
-    values = list(range(-1, 1002, 3))
-    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v bigint")
-    got = [r[0] for r in df.select(ranges.count_below(F.col("v"), thresholds, "bigint")).collect()]
-    assert got == [bisect_left(thresholds, v) for v in values] + [None]
-
-
 def _listings(spark):
     return spark.range(2000).select(
         F.col("id").alias("row_index"), F.concat(F.lit("d"), F.col("id") % 9).alias("district_key"),

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from roomtrace.functions.text import district_key
@@ -64,10 +65,35 @@ def test_search_batch_equals_loop(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_more_thresholds_than_one_pass_serves(spark, monkeypatch):
-    monkeypatch.setattr(SE, "MAX_THRESHOLDS", 7)
-    got, want, _ = _run(spark, *_data(12, 200, 60))
-    assert got == want
+def test_a_hundred_thousand_thresholds_of_either_kind(spark, tmp_path):
+    n = 100_000
+    listings = spark.range(3000).selectExpr(
+        "id AS row_index", "concat('pr', id) AS id", "concat('d', id % 3) AS district_key", "CAST(id * 7919 % 100003 AS bigint) AS price_vnd",
+        "CAST(id * 104729 % 100019 AS double) / 8 AS area_m2", "CAST(id * 31 % 400 AS int) AS days_old")
+    requests = spark.range(n).selectExpr(
+        "id AS request_id", "concat('D', id % 4) AS district", "CAST(id * 7 % 100003 AS bigint) AS max_price", "CAST(id * 11 % 100019 AS double) / 8 AS min_area",
+        "CAST(NULL AS int) AS max_days_old", "CAST(3 AS int) AS limit")
+    assert requests.select("max_price").distinct().count() == requests.select("min_area").distinct().count() == n
+    found = SE.search_batch(requests, listings, ["id"])
+    listings.write.parquet(str(tmp_path / "l"))
+    requests.write.parquet(str(tmp_path / "r"))
+    want = duckdb.sql(f"""SELECT request_id, rank, id FROM (
+        SELECT r.request_id, l.id, row_number() OVER (PARTITION BY r.request_id ORDER BY l.days_old, l.row_index) AS rank
+        FROM '{tmp_path}/r/*.parquet' r JOIN '{tmp_path}/l/*.parquet' l ON lower(r.district) = l.district_key AND l.price_vnd <= r.max_price AND l.area_m2 >= r.min_area)
+        WHERE rank <= 3""").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > n
+
+
+def test_no_step_of_the_search_gathers_thresholds(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("collected")
+
+    monkeypatch.setattr(type(spark.range(0)), "collect", refuse)
+    listings, requests = _data(12, 50, 20)
+    ls = spark.createDataFrame(listings, "row_index bigint, id string, district_key string, price_vnd bigint, area_m2 double, days_old int")
+    rq = spark.createDataFrame(requests, "request_id bigint, district string, max_price bigint, min_area double, max_days_old int, limit int")
+    plan = SE.search_batch(rq, ls, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_search_batch_with_split_hot_keys(spark, monkeypatch):
