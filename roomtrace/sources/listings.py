@@ -1,12 +1,13 @@
 """Listing sources and sinks: crawl CSV, row index, normalised table."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomtrace import constants as K
+from roomtrace.plans.prefix import placed, running_sum
 from roomtrace.plans.skew import lookup
+from roomtrace.sources.csv_records import read_records
 
 RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in K.RAW_COLUMNS])
 
@@ -35,61 +36,40 @@ def read_listings(spark: SparkSession, path) -> DataFrame:
 
     Columns are found by header name; files whose headers differ from the first
     one's are refused rather than read by position.  A missing path is an error.
-    A quoted line break makes a file unsplittable, so a large crawl should come
-    as many files and be converted to Parquet once.
+    A file of any size is read by many tasks, also where its records have line breaks.
+    ``_file``, ``_block`` and ``_nth`` say where a row lies.  Building the plan runs a job that finds the stretches that begin inside quotes.
     """
-    reader = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8", enforceSchema=False)
     # without type inference only the header line is looked at here
     names = spark.read.options(header=True, escape='"', inferSchema=False).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = reader.schema(schema).csv(path)
-    by_name = {n.lstrip("﻿").strip(): n for n in names}
+    schema = ", ".join(f"c{k} string" for k in range(len(names)))
+    options = {"escape": '"', "multiLine": "true", "lineSep": "\n"}  # line breaks inside quotes stay as they are
+    by_name = {n.lstrip("﻿").strip(): f"c{k}" for k, n in enumerate(names)}
+    records = read_records(spark, path).withColumn("record", F.regexp_replace("record", "^\ufeff", ""))
+    rows = records.withColumn("_row", F.from_csv("record", schema, options))
+    first = (F.col("_block") == 0) & (F.col("_nth") == 0)
+    header = F.array(*[F.coalesce(F.col(f"_row.c{k}"), F.lit("")) for k in range(len(names))])
+    same = header == F.array(*[F.lit(n.lstrip("﻿")) for n in names])
+    refused = F.raise_error(F.format_string("the header of %s differs from the first file's", F.col("_file")))
+    rows = rows.where(F.when(first, F.when(same, F.lit(False)).otherwise(refused.cast("boolean"))).otherwise(F.lit(True)))
     return rows.select(
-        *[
-            (F.col(f"`{by_name[c]}`") if c in by_name else F.lit(None).cast("string")).alias(c)
-            for c in K.RAW_COLUMNS
-        ],
-        F.col("_metadata.file_path").alias("_file"),
+        *[(F.col(f"_row.{by_name[c]}") if c in by_name else F.lit(None).cast("string")).alias(c) for c in K.RAW_COLUMNS],
+        "_file", "_block", "_nth",
     )
 
 
-#: Up to this many files the table of offsets (one short row per file) is broadcast.
-BROADCAST_FILES = 200_000
-
-
-def with_row_index(df: DataFrame, name: str = "row_index", files_per_group: int = 1000) -> DataFrame:
+def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Dense 0-based index over all rows of read_listings, in (file, place in file) order.
 
-    Two passes: rows per file first, then each file's offset added to the place
-    of its rows.  Offsets come from a two-level sum, so no task sees more than
-    one group of files or one total per group.  A file is read by one task, in
-    order, so its rows have consecutive places.
+    Two passes: rows per stretch of a file first, then each stretch's offset, a running sum
+    along files and stretches, added to the place of its rows.
     """
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    files = placed.groupBy("_file").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
-    # the driver knows the file listing already; every so many names mark a group border
-    names = sorted(df.inputFiles())
-    marks = F.array(*[F.lit(b) for b in names[::files_per_group]])
-    files = files.withColumn("_group", F.size(F.filter(marks, lambda m: m <= F.col("_file"))))
-    in_group = W.partitionBy("_group").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-    # one row per group of files: a thousandth of the file count, so one task is enough
-    totals = files.groupBy("_group").agg(F.sum("_n").alias("_group_n"))
-    before = W.partitionBy(F.lit(0)).orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
-    group_offsets = totals.select(
-        "_group", F.coalesce(F.sum("_group_n").over(before), F.lit(0)).alias("_group_offset")
-    )
-    offsets = (
-        files.withColumn("_offset", F.coalesce(F.sum("_n").over(in_group), F.lit(0)))
-        .join(group_offsets, "_group")
-        .select("_file", "_first", (F.col("_offset") + F.col("_group_offset")).alias("_start"))
-    )
-    if len(names) <= BROADCAST_FILES:
-        indexed = placed.join(F.broadcast(offsets), "_file")
-    else:  # a file with much of the data is spread over several tasks
-        indexed = lookup(placed, offsets, ["_file"], spread=["_place"], how="inner")
-    return indexed.withColumn(name, F.col("_start") + F.col("_place") - F.col("_first")).drop(
-        "_file", "_place", "_first", "_start"
-    )
+    place = ["_file", "_block"]
+    # the first record of a file is its header
+    own = F.col("_nth") - (F.col("_block") == 0).cast("bigint")
+    stretches = placed(df.groupBy(*place).agg(F.count("*").alias("_n")), [], place)
+    offsets = running_sum(stretches, [], F.col("_n"), "_sum").select(*place, (F.col("_sum") - F.col("_n")).alias("_start"))
+    indexed = lookup(df, offsets, place, spread=["_nth"], how="inner")
+    return indexed.withColumn(name, F.col("_start") + own).drop(*place, "_nth", "_start")
 
 
 def write_listings(df: DataFrame, path: str, mode: str = "overwrite") -> None:

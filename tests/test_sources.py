@@ -1,7 +1,9 @@
 """CSV reading, row index, test cases, listing stream."""
 
+import csv
 import json
 import os
+import random
 import tempfile
 
 import pytest
@@ -13,6 +15,7 @@ from roomtrace import constants as K
 from roomtrace.operators import listings as LS
 from roomtrace.plans.scratch import scratch_dir
 from roomtrace.sources import cases
+from roomtrace.sources.csv_records import ends_inside
 from roomtrace.sources import listings as SRC
 from roomtrace.streaming.listings import stream_listings
 
@@ -56,14 +59,89 @@ def test_missing_file_is_an_error(spark):
         SRC.read_listings(spark, "/tmp/there-is-no-such-crawl")
 
 
-@pytest.mark.parametrize("group", [1, 2, 1000])
-def test_row_index_is_dense_in_file_order(spark, group):
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of this many bytes."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = {n: spark.conf.get(n) for n in names}
+
+    def split(size):
+        spark.conf.set(names[0], size)
+        spark.conf.set(names[1], 1)
+
+    yield split
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def _one_by_one(path):
+    """What Python's reader gives, file by file; empty fields are null."""
+    out = []
+    for name in sorted(os.listdir(path)):
+        with open(f"{path}/{name}", encoding="utf-8-sig", newline="") as f:
+            out += [tuple(r[c] or None for c in K.RAW_COLUMNS) for r in csv.DictReader(f)]
+    return out
+
+
+@pytest.mark.parametrize("seed, size", [(1, 333), (2, 5000)])
+def test_records_over_many_splits_equal_those_of_one_reader(spark, small_splits, seed, size):
+    r = random.Random(seed)
+    inner = ["a", "é", ",", '""', "\n", "\n\n", "\r\n", " ", "x,y", "\n\"\"\n", "đặt"]
+    plain = ["", "t", "2 triệu", 'in 5" wide', " lead", "it's", "z" * 150]
+
+    def field():
+        return '"' + "".join(r.choices(inner, k=r.randrange(8))) + '"' if r.random() < 0.5 else r.choice(plain)
+
+    files, rows = {}, 0
+    for name in ("a", "b"):
+        lines = []
+        for k in range(80):
+            fields = [field() for _ in K.RAW_COLUMNS]
+            fields[-1] = f"x-{name}{k}.html"
+            if k == 40:
+                fields[3] = '"' + "long\n" * 400 + '"'  # over several splits
+            lines.append(",".join(fields) + r.choice(["\n", "\r\n", "\n\n"]))
+            rows += 1
+        files[name] = HEADER + ("\r\n" if seed == 2 else "\n") + "".join(lines)
+    path = _folder(**files)
+    want = _one_by_one(path)
+    small_splits(size)
+    got = SRC.read_listings(spark, path)
+    assert got.select("_file", "_block").distinct().count() > (2 if size == 5000 else 15)
+    indexed = SRC.with_row_index(got).orderBy("row_index").collect()
+    assert [x.row_index for x in indexed] == list(range(rows))
+    assert [tuple(x[c] or None for c in K.RAW_COLUMNS) for x in indexed] == want and len(want) == rows
+
+
+def test_one_large_file_is_many_tasks(spark, small_splits):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    with open(f"{path}/big.csv", "w", encoding="utf-8", newline="") as f:
+        f.write(HEADER + "\n")
+        for k in range(60_000):
+            f.write(_row(k, f'"dòng một\nsố ""{k}"", hai"') + "\n")
+    small_splits(500_000)
+    rows = SRC.read_listings(spark, path)
+    assert rows.count() == 60_000 and rows.rdd.getNumPartitions() >= 12
+    last = SRC.with_row_index(rows).where("row_index % 10000 = 9999").orderBy("row_index").collect()
+    assert [(x.row_index, x[K.COL_TITLE]) for x in last] == [(k, f'dòng một\nsố "{k}", hai') for k in range(9999, 60_000, 10_000)]
+
+
+@pytest.mark.parametrize("line, outside, inside", [
+    (b"a,b", False, True), (b'a,"b', True, False), (b'a,"b"', False, False), (b'"a"",b', True, False), (b'5" x,y', False, False), (b'"a""b",c', False, False),
+    (b'x","y', True, True), (b'x"', False, False), (b'","', False, True), (b'""', False, True), (b"", False, True), (b'"', True, False),
+])
+def test_state_at_the_end_of_a_line(line, outside, inside):
+    assert (ends_inside(line, False), ends_inside(line, True)) == (outside, inside)
+
+
+def test_row_index_is_dense_in_file_order(spark):
     files, n = {}, 0
     for name, size in [("a", 3), ("b", 1), ("c", 40), ("d", 7), ("e", 2)]:
         files[name] = HEADER + "\n" + "".join(_row(n + i) + "\n" for i in range(size))
         n += size
-    rows = SRC.with_row_index(SRC.read_listings(spark, _folder(**files)), files_per_group=group).collect()
-    assert sorted((r.row_index, r[K.COL_LINK]) for r in rows) == [(i, f"x-pr{i}.html") for i in range(n)]
+    rows = SRC.with_row_index(SRC.read_listings(spark, _folder(**files)))
+    assert "SinglePartition" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.row_index, r[K.COL_LINK]) for r in rows.collect()) == [(i, f"x-pr{i}.html") for i in range(n)]
 
 
 def test_crawl_to_listings(spark):
