@@ -36,7 +36,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    for build in (X.raw_listings, X.search_requests, X.booking_requests, X.turns, X.steps, X.attempts, X.listings, X.decisions):
+    for build in (X.raw_listings, X.search_requests, X.booking_requests, X.turns, X.steps, X.attempts, X.listings, X.listings_by_id, X.decisions):
         build(spark, sf_dir)
     seconds = {}
     for name in HEADLINE:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from roomtrace import constants as K
 from roomtrace.operators.bookings import adjudicate
 from roomtrace.operators.listings import load_listings
-from roomtrace.plans.scratch import materialize
+from roomtrace.plans.scratch import materialize, scratch_dir
+from roomtrace.sources.by_id import ListingsById, write_by_id
 from roomtrace.sources.ledger import empty_ledger
 
 NOW = "2026-07-27 12:00:00"
@@ -267,7 +268,20 @@ def listings(spark, sf_dir) -> DataFrame:
     return load_listings(raw_listings(spark, sf_dir), NOW)
 
 
+_by_id: dict[tuple, ListingsById] = {}
+
+
+def listings_by_id(spark, sf_dir) -> ListingsById:
+    """The same table laid out by id, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _by_id:
+        path = scratch_dir(spark, "by_id")
+        write_by_id(listings(spark, sf_dir), path, folders=64)
+        _by_id[key] = ListingsById(spark, path, folders=64)
+    return _by_id[key]
+
+
 @stored
 def decisions(spark, sf_dir) -> DataFrame:
     """Decisions on all booking requests, starting from an empty ledger."""
-    return adjudicate(booking_requests(spark, sf_dir), listings(spark, sf_dir), empty_ledger(spark), TODAY)
+    return adjudicate(booking_requests(spark, sf_dir), listings_by_id(spark, sf_dir), empty_ledger(spark), TODAY)

@@ -268,7 +268,7 @@ def _detail_requests(spark, sf_dir):
 
 
 def e3_details_batch(spark, sf_dir):
-    return SE.details_batch(_detail_requests(spark, sf_dir), X.listings(spark, sf_dir)).select(
+    return SE.details_batch(_detail_requests(spark, sf_dir), X.listings_by_id(spark, sf_dir)).select(
         "request_id", "status", "title", "price_vnd", "url", "error"
     )
 
@@ -374,7 +374,7 @@ def l1_slots_for(spark, sf_dir):
 
 def _slot_answers(spark, sf_dir):
     booked = BK.accepted(X.decisions(spark, sf_dir))
-    return BK.slots_batch(X.slot_requests(spark, sf_dir), X.listings(spark, sf_dir), booked, X.TODAY)
+    return BK.slots_batch(X.slot_requests(spark, sf_dir), X.listings_by_id(spark, sf_dir), booked, X.TODAY)
 
 
 def l2_slots_batch(spark, sf_dir):
@@ -389,7 +389,7 @@ def l3_booking_ref(spark, sf_dir):
 
 def l4_adjudicate(spark, sf_dir):
     return BK.adjudicate(
-        X.booking_requests(spark, sf_dir), X.listings(spark, sf_dir), ledger.empty_ledger(spark), X.TODAY
+        X.booking_requests(spark, sf_dir), X.listings_by_id(spark, sf_dir), ledger.empty_ledger(spark), X.TODAY
     )
 
 
@@ -581,7 +581,7 @@ def m2_stream_bookings(spark, sf_dir):
         requests.where(hour == portion).write.mode("append").parquet(f"{base}/in")
         arriving = spark.readStream.schema(requests.schema).parquet(f"{base}/in")
         with _keyed_state(spark):
-            _run(stream_bookings(arriving, X.listings(spark, sf_dir), X.TODAY, f"{base}/ledger", f"{base}/decisions", f"{base}/checkpoint"))
+            _run(stream_bookings(arriving, X.listings_by_id(spark, sf_dir), X.TODAY, f"{base}/ledger", f"{base}/decisions", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/decisions").drop("run", "batch")
 
 

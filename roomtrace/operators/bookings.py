@@ -7,9 +7,10 @@ from roomtrace import constants as K
 from roomtrace.functions import render as R
 from roomtrace.functions.listing import validate_date
 from roomtrace.functions.text import py_strip
-from roomtrace.operators.listings import as_date, latest_by_id
+from roomtrace.operators.listings import as_date
 from roomtrace.plans.scratch import materialize
 from roomtrace.plans.skew import lookup
+from roomtrace.sources.by_id import ListingsById, known_listings
 
 NO_SLOTS = "array<string>"
 
@@ -61,17 +62,15 @@ def free_slots(offers: DataFrame, bookings: DataFrame) -> DataFrame:
     )
 
 
-def _checked(requests: DataFrame, listings: DataFrame, today) -> DataFrame:
+def _checked(requests: DataFrame, listings: DataFrame | ListingsById, today) -> DataFrame:
     """Requests with the listing they name and a checked date.
 
     Adds id (null: unknown listing), title, address, day (ISO, null: refused),
     date_error.  The listing is looked up in its narrow form.
     """
     asked = requests.withColumn("_id", py_strip(F.col("listing_id")))
-    wanted = listings.select("row_index", "id", "title", "address").join(
-        asked.select(F.col("_id").alias("id")).distinct(), "id", "left_semi"
-    )
-    known = latest_by_id(wanted).select(F.col("id").alias("_id"), "id", "title", "address")
+    ids = asked.select(F.col("_id").alias("id"))
+    known = known_listings(listings, ids, ["id", "title", "address"]).withColumn("_id", F.col("id"))
     checked = validate_date(F.col("date"), as_date(today))
     return (
         lookup(asked, known, ["_id"], spread=["request_id"])
@@ -88,7 +87,7 @@ def _on_asked_days(ledger: DataFrame, checked: DataFrame) -> DataFrame:
     return booked.join(checked.select("id", "day").distinct(), ["id", "day"], "left_semi")
 
 
-def slots_batch(requests: DataFrame, listings: DataFrame, ledger: DataFrame, today) -> DataFrame:
+def slots_batch(requests: DataFrame, listings: DataFrame | ListingsById, ledger: DataFrame, today) -> DataFrame:
     """Free slots per request: status 200 with ``slots``, or 404/422 with ``error``.
 
     The answer repeats the caller's listing id and date as written.  Slots are
@@ -185,12 +184,12 @@ def clock(today) -> Column:
     return F.col("requested_at").cast("date") if today is None else as_date(today)
 
 
-def checked_requests(requests: DataFrame, listings: DataFrame, today) -> DataFrame:
+def checked_requests(requests: DataFrame, listings: DataFrame | ListingsById, today) -> DataFrame:
     """Requests with listing, checked date and trimmed slot, written once: what follows reads them several times."""
     return materialize(_checked(requests, listings, clock(today)).withColumn("slot", py_strip(F.col("slot"))), "checked")
 
 
-def adjudicate(requests: DataFrame, listings: DataFrame, ledger: DataFrame, today=None) -> DataFrame:
+def adjudicate(requests: DataFrame, listings: DataFrame | ListingsById, ledger: DataFrame, today=None) -> DataFrame:
     """Decide booking requests in the order (requested_at, request_id).
 
     404 unknown listing, 422 bad date, 409 slot not offered or taken (with the

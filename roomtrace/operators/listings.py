@@ -80,24 +80,27 @@ def normalize(df: DataFrame, now, keep: tuple[str, ...] | list[str] = ()) -> Dat
     )
 
 
-def _pick_row(df: DataFrame, key: Column, pick) -> DataFrame:
-    """One row per key, chosen by row_index; combined within each task before the one shuffle."""
-    chosen = df.groupBy(key.alias("_key")).agg(pick(F.struct(*df.columns), F.col("row_index")).alias("_row"))
-    return chosen.select("_row.*")
+def _keep(df: DataFrame, key: Column, best) -> DataFrame:
+    """One row per non-null key, the one with the ``best`` row index, and all rows without a key.
+
+    Only numbers and keys are grouped, by a combining hash aggregation; the rows that lose are found among the keys
+    that occur more than once and taken out by their row index, which must be unique.  They are few as a rule,
+    and then whole rows are not moved at all.
+    """
+    narrow = df.select(key.alias("_key"), "row_index").where(F.col("_key").isNotNull())
+    repeated = narrow.groupBy("_key").agg(best("row_index").alias("_best"), F.count("*").alias("_n")).where(F.col("_n") > 1)
+    losers = narrow.join(repeated, "_key").where(F.col("row_index") != F.col("_best")).select("row_index")
+    return df.join(losers, "row_index", "left_anti").select(df.columns)
 
 
 def dedup_by_link(df: DataFrame) -> DataFrame:
     """First row per non-empty link; rows without a link are all kept."""
-    # rows without a link are their own key, so one pass serves both kinds and they spread evenly; a key has a field for
-    # either kind, so that no link can look like a row
-    link = F.when(F.col("url") != "", F.col("url"))
-    own = F.when(link.isNull(), F.col("row_index"))
-    return _pick_row(df, F.struct(link.alias("link"), own.alias("row")), F.min_by)
+    return _keep(df, F.nullif(F.col("url"), F.lit("")), F.min)
 
 
 def latest_by_id(df: DataFrame) -> DataFrame:
     """Last row per id: what a lookup by id sees."""
-    return _pick_row(df, F.col("id"), F.max_by)
+    return _keep(df, F.col("id"), F.max)
 
 
 def load_listings(df: DataFrame, now) -> DataFrame:
@@ -155,4 +158,4 @@ def search(df: DataFrame, district=None, max_price=None, min_area=None, max_days
 
 def get_listing(df: DataFrame, listing_id: str) -> DataFrame:
     """The listing a trimmed id refers to; empty when there is none."""
-    return latest_by_id(df.where(F.col("id") == py_strip(F.lit(listing_id))))
+    return df.where(F.col("id") == py_strip(F.lit(listing_id))).orderBy(F.desc("row_index")).limit(1)

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from roomtrace import constants as K
 from roomtrace.functions import render as R
 from roomtrace.functions.text import district_key, py_strip
-from roomtrace.operators.listings import latest_by_id, recency
+from roomtrace.operators.listings import recency
 from roomtrace.plans.prefix import placed, running_sum
 from roomtrace.plans.ranges import blocks_below, blocks_of_rank, levels_for
 from roomtrace.plans.scratch import materialize
 from roomtrace.plans.skew import lookup, top_k
+from roomtrace.sources.by_id import ListingsById, known_listings
+from roomtrace.sources.listings import LISTING_SCHEMA
 
 def validate_search(requests: DataFrame) -> DataFrame:
     """Add ``limit`` default and ``status``: 200, or 422 for a value out of range."""
@@ -187,11 +189,12 @@ def render_search(requests: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def details_batch(requests: DataFrame, listings: DataFrame) -> DataFrame:
+def details_batch(requests: DataFrame, listings: DataFrame | ListingsById) -> DataFrame:
     """Listing per (request_id, listing_id): status 200, or 404 with an error text."""
-    asked = requests.withColumn("id", py_strip(F.col("listing_id")))
-    wanted = listings.join(asked.select("id").distinct(), "id", "left_semi")
-    found = latest_by_id(wanted).withColumn("_found", F.lit(True))
+    # read four times below: for the ids, their folders, the hot ones among them, and the answers
+    asked = materialize(requests.withColumn("id", py_strip(F.col("listing_id"))), "asked")
+    found = known_listings(listings, asked, LISTING_SCHEMA.names if isinstance(listings, ListingsById) else listings.columns)
+    found = found.withColumn("_found", F.lit(True))
     missing = F.col("_found").isNull()
     return (
         lookup(asked, found, ["id"], spread=["request_id"])

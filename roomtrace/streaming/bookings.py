@@ -12,6 +12,7 @@ from roomtrace.functions.listing import validate_date
 from roomtrace.functions.text import py_strip
 from roomtrace.operators import bookings as BK
 from roomtrace.plans.scratch import materialize
+from roomtrace.sources.by_id import ListingsById
 from roomtrace.sources.ledger import LEDGER_SCHEMA
 
 STORED_SCHEMA = T.StructType(
@@ -143,7 +144,7 @@ def _holders(spark: SparkSession, ledger_path: str, own_run: str | None, booked:
 
 
 def stream_bookings(
-    requests: DataFrame, listings: DataFrame, today, ledger_path: str, decisions_path: str, checkpoint: str,
+    requests: DataFrame, listings: DataFrame | ListingsById, today, ledger_path: str, decisions_path: str, checkpoint: str,
     booked: DataFrame | None = None, delay: str = "1 hour",
 ) -> DataStreamWriter:
     """Writer that decides each micro-batch against keyed state and extends the ledger table.
@@ -158,7 +159,8 @@ def stream_bookings(
     id.  It begins with what other runs have written to ``ledger_path`` and with
     ``booked`` (the ledger's columns), so nothing is booked twice.  A batch writes only its own
     ``run=R/batch=N`` folders and overwrites them when it is run again after a
-    failure.  The session's state store must be RocksDB (``STATE_STORE``).  The caller adds the trigger and
+    failure.  With ``listings`` laid out by id a micro-batch reads only the folders of
+    its ids.  The session's state store must be RocksDB (``STATE_STORE``).  The caller adds the trigger and
     starts it.
     """
     spark = requests.sparkSession

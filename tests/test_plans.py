@@ -1,15 +1,20 @@
 """Building blocks for skewed data, and the shape of physical plans."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from roomtrace import constants as K
+from roomtrace.operators import bookings as BK
 from roomtrace.operators import listings as LS
+from roomtrace.operators import search as SE
 from roomtrace.plans import prefix, ranges, skew
 from roomtrace.sources.listings import read_normalized, write_listings
 from roomtrace.plans.scratch import scratch_dir
+from roomtrace.sources.by_id import ListingsById, known_listings, write_by_id
+from roomtrace.sources.ledger import empty_ledger
 
 
 def physical(df) -> str:
@@ -147,7 +152,7 @@ def read_schema():
 def test_first_per_link_combines_before_the_shuffle(spark):
     df = _listings(spark).withColumn("url", F.lit("x"))
     plan = physical(LS.dedup_by_link(df))
-    assert "partial_min_by" in plan and "Window" not in plan
+    assert "partial_min(" in plan and "Window" not in plan
 
 
 def test_normalize_reads_only_needed_columns(spark, sf_dir):
@@ -158,3 +163,54 @@ def test_normalize_reads_only_needed_columns(spark, sf_dir):
     assert all(c in scanned for c in (K.COL_LINK, K.COL_PRICE, K.COL_AREA))
     assert not any(c in scanned for c in (K.COL_TITLE, K.COL_DESCRIPTION, K.COL_POSTED, K.COL_ADDRESS))
     assert "Exchange" not in plan
+
+
+def test_duplicates_leave_without_moving_whole_rows(spark):
+    path, rng = scratch_dir(spark, "t"), random.Random(8)
+    rows = [(i, rng.choice(["", "hot", "hot", f"u{rng.randint(0, 60)}"]), f"pr{rng.randint(0, 90)}", "wide " * 50) for i in range(600)]
+    spark.createDataFrame(rows, "row_index bigint, url string, id string, description string").repartition(6).write.parquet(path)
+    df = spark.read.parquet(path)
+    first, last = {}, {}
+    for i, url, id_, _ in rows:
+        first.setdefault(url or i, i)
+        last[id_] = i
+    for found, want in ((LS.dedup_by_link(df), first), (LS.latest_by_id(df), last)):
+        assert found.columns == df.columns and sorted(r.row_index for r in found.collect()) == sorted(want.values())
+        plan = physical(found)
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "HashAggregate" in plan
+        exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "description" in line]
+        assert exchanged == []
+
+
+def test_lookups_read_only_the_folders_they_ask_for(spark):
+    path = scratch_dir(spark, "by_id")
+    missing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in read_schema()}
+    rows = spark.range(4000).select(F.col("id").alias("row_index"), F.format_string("pr%d", F.col("id") % 3000).alias("id"), F.format_string("t%d", F.col("id")).alias("title"))
+    rows = rows.select(*[F.col(n) if n in rows.columns else m for n, m in missing.items()])
+    write_by_id(rows, path, folders=32)
+    table = ListingsById(spark, path, folders=32)
+    assert table.rows().count() == 3000
+    asked = spark.createDataFrame([("pr5",), ("pr5",), ("pr2999",), ("nowhere",), (None,)], "id string")
+    found = table.of(asked, ["id", "title"])
+    assert sorted(map(tuple, found.collect())) == [("pr2999", "t2999"), ("pr5", "t3005")]
+    plan = physical(found)
+    folders = re.search(r"PartitionFilters: \[.*?folder#\d+ (?:IN \(([^)]*)\)|= (\d+))", plan)
+    assert folders and len((folders[1] or folders[2]).split(",")) <= 3
+    assert sorted(map(tuple, known_listings(rows, asked, ["id", "title"]).collect())) == [("pr2999", "t2999"), ("pr5", "t3005")]
+
+
+def test_details_and_bookings_agree_over_either_layout(spark):
+    path = scratch_dir(spark, "by_id")
+    missing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in read_schema()}
+    rows = spark.range(300).select(F.col("id").alias("row_index"), F.format_string("pr%d", F.col("id") % 200).alias("id"), F.format_string("t%d", F.col("id")).alias("title"))
+    rows = rows.select(*[F.col(n) if n in rows.columns else m for n, m in missing.items()])
+    write_by_id(rows, path, folders=8)
+    requests = spark.range(500).selectExpr(
+        "id AS request_id", "concat(' pr', id * 7 % 260, ' ') AS listing_id", "'2026-07-28' AS date", "'09:00' AS slot", "'n' AS name",
+        "TIMESTAMP_NTZ'2026-07-27 08:00:00' AS requested_at")
+    answers = [
+        (sorted(map(str, SE.details_batch(requests.select("request_id", "listing_id"), x).select("request_id", "status", "title").collect())),
+         sorted(map(str, BK.adjudicate(requests, x, empty_ledger(spark), "2026-07-27").collect())))
+        for x in (rows, ListingsById(spark, path, folders=8))
+    ]
+    assert answers[0] == answers[1] and "status=404" in str(answers[0]) and "status=201" in str(answers[0])
