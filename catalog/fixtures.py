@@ -176,8 +176,8 @@ FROM (SELECT *, 1 AS n FROM ({STEPS}) AS a
 
 RUNS = """
 SELECT cast(floor(event_id / 2) AS bigint) AS run_id,
-  CASE WHEN event_type = 'error' THEN 'tool' ELSE 'model' END AS kind
-FROM {events} WHERE event_type IN ('error', 'view')
+  CASE WHEN event_type IN ('error', 'purchase') THEN 'tool' ELSE 'model' END AS kind
+FROM {events}
 """
 
 TABLES = {

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomtrace import constants as K
+from roomtrace.functions.text import district_key
 from roomtrace.plans.prefix import placed, running_sum
 from roomtrace.plans.skew import lookup
 from roomtrace.sources.csv_records import read_records
@@ -72,17 +73,34 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     return indexed.withColumn(name, F.col("_start") + own).drop(*place, "_nth", "_start")
 
 
+#: Beside the table, ignored by its readers: the distinct district keys.
+_KEYS = "_district_keys"
+
+
 def write_listings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Normalised table, one folder per district key.
+    """Normalised table, clustered by district key.
 
-    The rebalance hint lets AQE split a popular district over several files and
-    merge rare ones, instead of one task per district.
+    Rows are range-partitioned by key and row index and sorted by key, so the number of files is that of the
+    partitions, however many keys there are; a popular district takes several files, rare ones
+    share one, and the smallest and largest key in each file's footer tell readers what to skip.
     """
-    df.hint("rebalance", "district_key").write.mode(mode).partitionBy("district_key").parquet(path)
+    clustered = df.repartitionByRange("district_key", "row_index").sortWithinPartitions("district_key", "row_index")
+    clustered.write.mode(mode).parquet(path)
+    rows = df.sparkSession.read.schema(LISTING_SCHEMA).parquet(path)
+    rows.select("district_key").distinct().repartition(1).write.mode("overwrite").parquet(f"{path}/{_KEYS}")
 
 
-def read_normalized(spark: SparkSession, path: str) -> DataFrame:
-    """The table of write_listings; filters on ``district_key`` choose folders."""
+def read_normalized(spark: SparkSession, path: str, district: str | None = None) -> DataFrame:
+    """The table of write_listings, or its rows whose key contains the district's.
+
+    The keys that contain it are looked up first; their smallest and largest are compared with the files' statistics.
+    """
     rows = spark.read.schema(LISTING_SCHEMA).parquet(path)
-    # a folder name cannot hold the empty key, which comes back as null
-    return rows.withColumn("district_key", F.coalesce("district_key", F.lit(""))).select(*LISTING_SCHEMA.names)
+    if not district:
+        return rows
+    fits = F.contains(F.col("district_key"), district_key(F.lit(district)))
+    known = spark.read.schema("district_key string").parquet(f"{path}/{_KEYS}").where(fits)
+    span = known.agg(F.min("district_key").alias("low"), F.max("district_key").alias("high")).first()
+    if span.low is None:
+        return rows.where(F.lit(False))
+    return rows.where(F.col("district_key").between(span.low, span.high) & fits)

@@ -1,8 +1,10 @@
 """Building blocks for skewed data, and the shape of physical plans."""
 
+import glob
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,17 +132,28 @@ def test_top_k_prunes_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_district_folders_are_pruned(spark):
+def test_listing_files_are_clustered_and_skipped(spark):
     path = scratch_dir(spark, "t")
-    rows = _listings(spark)
-    missing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in read_schema() if f.name not in rows.columns}
-    rows = rows.withColumn("district_key", F.when(F.col("row_index") == 0, "").otherwise(F.col("district_key")))
-    write_listings(rows.select(*[missing.get(f.name, F.col(f.name)) for f in read_schema()]), path)
+    rows = spark.range(40_000).select(
+        F.col("id").alias("row_index"), F.when(F.col("id") % 4 == 0, "popular").when(F.col("id") == 1, "").otherwise(F.format_string("k%05d", F.col("id"))).alias("district_key"))
+    missing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in read_schema()}
+    write_listings(rows.select(*[F.col(n) if n in rows.columns else m for n, m in missing.items()]), path)
     back = read_normalized(spark, path)
-    assert back.count() == 2000 and back.where(F.col("district_key") == "").count() == 1
-    found = LS.filter_listings(back, "d3")
-    assert found.count() == rows.where(F.col("district_key") == "d3").count()
-    assert "PartitionFilters: [Contains(coalesce(district_key" in physical(found)
+    assert back.count() == 40_000 and back.where("district_key = ''").count() == 1
+    # 30,001 keys in as many files as there are partitions, each with a span of its own
+    files = sorted(glob.glob(f"{path}/*.parquet"))
+    spans = []
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        stats = [meta.row_group(g).column(meta.schema.names.index("district_key")).statistics for g in range(meta.num_row_groups)]
+        spans.append((min(s.min for s in stats), max(s.max for s in stats)))
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(a[1] <= b[0] for a, b in zip(sorted(spans), sorted(spans)[1:]))
+    one = read_normalized(spark, path, "K00 017!")
+    assert [r.row_index for r in one.collect()] == [17]
+    plan = physical(one)
+    assert "GreaterThanOrEqual(district_key,k00017)" in plan and "LessThanOrEqual(district_key,k00017)" in plan
+    assert read_normalized(spark, path, "popular").count() == 10_000 and read_normalized(spark, path, "nowhere").count() == 0
 
 
 def read_schema():
