@@ -104,6 +104,7 @@ def _away_from(vector: np.ndarray, basis: np.ndarray) -> np.ndarray:
 def bidiagonalise(product, dims: int, k: int, locked: np.ndarray, start: np.ndarray, scale: float):
     """(singular values, right vectors) of X outside of the ``locked`` vectors: the leading k, or all if the space is used up.
 
+    It ends with the leading k only while less than half of the dimensions are used.
     ``product(c, earlier)`` is one pass.  ``scale`` is a size of X, against which a step counts as nothing.  The last value
     returned says whether the space is used up: whether all of X's action on what the start reaches is in the pairs.
     """
@@ -126,7 +127,9 @@ def bidiagonalise(product, dims: int, k: int, locked: np.ndarray, start: np.ndar
             beta = float(np.linalg.norm(r))
             used_up = beta <= NOTHING * scale or whole.shape[1] == dims
         left, values, right = np.linalg.svd(np.diag(alphas) + np.diag(betas, 1))
-        found = not used_up and len(values) > k and np.all(beta * np.abs(left[-1, :k]) <= FOUND * values[0])
+        # to end early means to search outside of what is found once more, about as many passes again
+        worth = 2 * whole.shape[1] < dims if not used_up else False
+        found = worth and len(values) > k and np.all(beta * np.abs(left[-1, :k]) <= FOUND * values[0])
         if used_up or found:
             vectors = np.column_stack(basis) @ right.T
             return (values, vectors, True) if used_up else (values[:k], vectors[:, :k], False)
