@@ -33,21 +33,20 @@ SENSITIVE_PAIRS = {("api", "key"), ("private", "key"), ("access", "key"), ("secr
 HARMLESS = {"count", "length", "len", "size", "max", "min", "limit", "type", "name", "path", "file", "url", "field", "label", "expiry", "expires", "ttl", "policy", "hint", "id", "regex", "pattern", "header", "prompt"}
 EMPTY_WORDS = {"none", "null", "nil", "true", "false", "undefined", "string", "changeme", "example", "placeholder", "redacted", "required", "optional"}
 
-OPERATOR = re.compile(r"=>|:=|<-|=(?![=>])|:(?![:/=])")
-def _term(bare: str) -> re.Pattern:
-    """A quoted or bare term.  Simple quotes may go over lines if what closes them does not open a word."""
-    return re.compile(
-        r"""[ \t]*(?:[rbuRBU]{0,2}(?:(?P<three>"{3}|'{3})(?P<long>(?:\\.|(?!(?P=three))[^\\])*+)(?P=three)"""
-        r"""|(?P<quote>["'`])(?:(?P<text>(?:\\[^\n]|(?!(?P=quote))[^\\\n])*+)(?P=quote)|(?P<lines>(?:\\.|(?!(?P=quote))[^\\])*+)(?P=quote)(?!\w)))"""
-        rf"""|(?P<bare>{bare}))""",
-        re.DOTALL,
-    )
-
+#: Without one of these no name in a text is sensitive.
+TELLING = sorted(SENSITIVE | {second for _, second in SENSITIVE_PAIRS})
 
-TERM = _term(r"""[^\s"'`,;#(){}\[\]<>+]+""")
+OPERATOR = re.compile(r"=>|:=|<-|=(?![=>])|:(?![:/=])")
+#: A quoted term.  Simple quotes may go over lines if what closes them does not open a word.
+QUOTED = re.compile(
+    r"""[ \t]*[rbuRBU]{0,2}(?:(?P<three>"{3}|'{3})(?P<long>(?:\\.|(?!(?P=three))[^\\])*+)(?P=three)"""
+    r"""|(?P<quote>["'`])(?:(?P<text>(?:\\[^\n]|(?!(?P=quote))[^\\\n])*+)(?P=quote)|(?P<lines>(?:\\.|(?!(?P=quote))[^\\])*+)(?P=quote)(?!\w)))""",
+    re.DOTALL,
+)
+BARE = re.compile(r"""[ \t]*([^\s"'`,;#(){}\[\]<>+]+)""")
 #: An authentication scheme is no secret; the one term or template behind it is taken, in which a plus does not join anything.
 SCHEME = re.compile(r"(?ai:bearer|basic|token)")
-BEHIND = _term(r"""[^\s"'`,;#(){}\[\]<>+][^\s"'`,;#(){}\[\]<>]*""")
+BEHIND = re.compile(r"""[ \t]*([^\s"'`,;#(){}\[\]<>+][^\s"'`,;#(){}\[\]<>]*)""")
 WITH_SCHEME = re.compile(rf"\s*{SCHEME.pattern}(?:\s+(?P<term>\S+|[<$%{{].*\S))?\s*", re.DOTALL)
 #: Behind a colon, the lines that are indented more than the name.
 BLOCK = re.compile(r"[ \t]*[|>][-+0-9]*[ \t]*\r?\n")
@@ -93,8 +92,8 @@ def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
     return found
 
 
-def _name_before(text: str, at: int) -> str:
-    """The name that ends before an operator, past blanks, one closing bracket and one closing quote."""
+def _name_before(text: str, at: int) -> tuple[str, int]:
+    """The name that ends before an operator, past blanks, one closing bracket and one closing quote, and where it begins."""
     while at and text[at - 1] in " \t":
         at -= 1
     if at and text[at - 1] == "]":
@@ -104,7 +103,8 @@ def _name_before(text: str, at: int) -> str:
     start = at
     while start and (text[start - 1].isalnum() or text[start - 1] in "_$.-"):
         start -= 1
-    return text[start:at].strip("-$.")
+    name = text[start:at].lstrip("-$.")
+    return name.rstrip("-$."), at - len(name)
 
 
 def _block(text: str, name_at: int, at: int) -> tuple[int, int]:
@@ -122,37 +122,73 @@ def _block(text: str, name_at: int, at: int) -> tuple[int, int]:
     return start, max(start, at + len(inside.rstrip()))
 
 
-def pairs(text: str):
-    """(name, literals, references) of each assignment; a literal is (start, end, quoted)."""
+def _operators(text: str) -> list[tuple[int, int, str, str]]:
+    """(start of the name, end of the operator, operator, name) of all operators behind a name, in order."""
+    out = []
     for m in OPERATOR.finditer(text):
-        name = _name_before(text, m.start())
-        if not name or not (name[0].isalpha() or name[0] == "_"):
+        name, before = _name_before(text, m.start())
+        if name and (name[0].isalpha() or name[0] == "_"):
+            out.append((before, m.end(), m[0], name))
+    return out
+
+
+def _term(text: str, at: int, bare: re.Pattern, bound: int) -> tuple[int, int, int, bool] | None:
+    """(end of the term, start and end of what is in it, quoted); a bare one ends before ``bound``."""
+    if m := QUOTED.match(text, at):
+        return m.end(), *next(m.span(k) for k in ("long", "text", "lines") if m[k] is not None), True
+    if m := bare.match(text, at, bound):
+        return m.end(), *m.span(1), False
+    return None
+
+
+def pairs(text: str):
+    """(name, literals, references) of each assignment; a literal is (start, end, quoted).
+
+    A bare term goes to the next blank, quote or bracket, but ends before an assignment inside it whose name is sensitive or
+    follows "&"; other operators inside a bare term belong to it.  A bare term before "(" is a call and no literal.
+    Each term is read once, so the work is proportional to the text.
+    """
+    operators, scores = _operators(text), {}
+    for name in {o[3] for o in operators}:
+        scores[name] = name_score(name)
+    cuts = [o[0] for o in operators if scores[o[3]] > 0 or text[o[0] - 1 : o[0]] == "&"]
+    cutting, consumed, read = set(cuts), 0, set()
+    for name_at, after, operator, name in operators:
+        if after < consumed and name_at not in cutting:
             continue
-        if m[0] == ":" and (block := BLOCK.match(text, m.end())):
-            yield name, [(*_block(text, text.rfind(name, 0, m.start()), block.end()), True)], []
+        if operator == ":" and (block := BLOCK.match(text, after)):
+            yield name, [(*_block(text, name_at, block.end()), True)], []
             continue
-        literals, references, at = [], [], m.end()
-        while term := TERM.match(text, at):
-            if term["bare"]:
-                bare = REFERENCE.match(term["bare"])
-                if bare:
-                    references.append(bare[1])
-                if SCHEME.fullmatch(term["bare"]):
-                    term = BEHIND.match(text, term.end())
-                    if not term:
-                        break
-                    if term["bare"] and (bare := REFERENCE.match(term["bare"])):
-                        references.append(bare[1])
-            if term["bare"]:
-                literals.append((*term.span("bare"), False))
-            else:
-                start, end = next(term.span(k) for k in ("long", "text", "lines") if term[k] is not None)
+        literals, references, at = [], [], after
+        while at not in read:
+            read.add(at)
+            next_cut = bisect_right(cuts, at)
+            bound = cuts[next_cut] if next_cut < len(cuts) else len(text)
+            term = _term(text, at, BARE, bound)
+            if term and not term[3] and SCHEME.fullmatch(text, term[1], term[2]):
+                term = _term(text, term[0], BEHIND, bound)
+            if not term:
+                break
+            at, start, end, quoted = term
+            if quoted:
                 scheme = WITH_SCHEME.fullmatch(text, start, end)
                 if not scheme:
                     literals.append((start, end, True))
                 elif scheme["term"]:
                     literals.append((*scheme.span("term"), True))
-            plus = PLUS.match(text, term.end())
+            else:
+                consumed = max(consumed, end)
+                if text[end : end + 1] == "(":  # a call
+                    break
+                if end == bound:
+                    end = start + len(text[start:end].rstrip("&?"))
+                if end > start:
+                    if bare := REFERENCE.match(text, start, end):
+                        references.append(bare[1])
+                    literals.append((start, end, False))
+                if consumed == bound:
+                    break
+            plus = PLUS.match(text, at)
             if not plus:
                 break
             at = plus.end()
@@ -164,6 +200,9 @@ def named_spans(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals under sensitive names, constants propagated."""
     if "=" not in text and ":" not in text and "<-" not in text:
         return []
+    lower = text.lower()
+    if not any(part in lower for part in TELLING):
+        return []
     read = list(pairs(text))
     scores: dict[str, float] = {}
     sources: dict[str, set[str]] = {}

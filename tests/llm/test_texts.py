@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -215,6 +217,54 @@ def test_literals_inside_a_base_value_are_no_spans_of_their_own():
         assert "named" not in {s["kind"] for s in secrets.spans_of(text)}
 
 
+@pytest.mark.parametrize("unit", ["a=b+", "a=", "k1=v1&", "token=token=", "a:b:", "password:x1!yz:", "a='", 'a="b"+', "secret_key=v1&", "a:=b+", "token=a+b+", "x=y: ", "a: |\n", "key=(", "pwd=`", "\\\"a=\"", "token: bearer "])
+def test_lexing_takes_time_in_proportion(unit):
+    def seconds(size):
+        text = "password = hunter!22 " + unit * (size // len(unit))
+        best = math.inf
+        for _ in range(2):
+            start = time.perf_counter()
+            found = secrets.spans_of(text)
+            best = min(best, time.perf_counter() - start)
+        assert any(f["kind"] == "named" and text[f["value_start"] : f["value_end"]].startswith("hunter!22") for f in found)
+        return best
+
+    # eight times the text, far from 64 times the work; a megabyte of operators in some seconds
+    small, large = seconds(1 << 17), seconds(1 << 20)
+    assert large < 25 * small + 0.2 and large < 8
+
+
+def test_what_ends_a_bare_term():
+    found = lambda text: [text[f["value_start"] : f["value_end"]] for f in secrets.spans_of(text) if f["kind"] == "named"]
+    assert found('pwd := os.Getenv("DB_PWD")') == []
+    assert found("passcode: ab:cd!ef12") == ["ab:cd!ef12"]
+    assert found("https://h/x?user=me&passcode=Ab!12xyz&page=2") == ["Ab!12xyz"]
+    assert found("header:Authorization:x1!yz%99") == ["x1!yz%99"]
+    assert found("credential=ab%12=cd!34") == ["ab%12=cd!34"]
+    assert found("bearer=Ab!12xyz&credential=Zz!98abc") == ["Ab!12xyz", "Zz!98abc"]
+
+
+def brute_base(text):
+    """The contract's three patterns, by hand."""
+    spans = []
+    for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            spans.append((m.start(), 0, m.end(), "assign"))
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def test_secret_query_has_the_base_spans_of_the_contract(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in secrets.op6_secret_scan(spark, sf_dir).collect():
+        want = brute_base(texts[r.doc_id])
+        listed = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[1] == k for w in want) for k in range(3))
+        assert set(listed.split(",")) - {""} <= set(r.spans.split(","))
+
+
 def test_secret_query(spark, sf_dir):
     from roomtrace.llm.secrets import op6_secret_scan
 
