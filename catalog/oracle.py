@@ -423,6 +423,12 @@ ORACLE = {
     "g5_transcript_at": with_(CLASSIFIED, """SELECT trace_id, step, 'Câu hỏi: ' || question || chr(10) || coalesce(string_agg(
         output || chr(10) || 'Observation: ' || observation || chr(10), '') OVER (PARTITION BY trace_id ORDER BY step
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS transcript FROM live"""),
+    "g5_transcript_in_conversation": with_(f"""{HISTORIES}, {CLASSIFIED},
+        begun AS (SELECT conv_id, turn, {TEMPLATE} || chr(10) || history || 'Câu hỏi: ' || query || chr(10) AS prompt FROM histories WHERE mode = 'agent'),
+        prompted AS (SELECT a.trace_id, b.prompt FROM ({ASKED}) a ASOF LEFT JOIN begun b ON a.conv_id = b.conv_id AND a.asked_at >= b.turn)""",
+        f"""SELECT trace_id, step, coalesce(prompt, {TEMPLATE} || chr(10) || 'Câu hỏi: ' || question || chr(10)) || coalesce(string_agg(
+        output || chr(10) || 'Observation: ' || observation || chr(10), '') OVER (PARTITION BY trace_id ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS transcript FROM live JOIN prompted USING (trace_id)"""),
     "g6_resolve_attempts": f"""WITH a AS (SELECT *, attempt >= 3 OR NOT ({IS_ERROR.format(c=strip('raw_output'))}
           AND {any_of('lower(raw_output)', [m.lower() for m in K.TRANSIENT_MARKERS])}) AS settled FROM ({ATTEMPTS}))
         SELECT trace_id, step, arg_min(raw_output, attempt) FILTER (settled) AS raw_output,

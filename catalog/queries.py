@@ -327,6 +327,14 @@ def g5_transcript_at(spark, sf_dir):
     return TR.transcript_at(_classified(spark, sf_dir), header).select("trace_id", "step", "transcript")
 
 
+def g5_transcript_in_conversation(spark, sf_dir):
+    """Transcripts that begin with the prompt of the conversation: system prompt, history, question."""
+    steps = X.steps(spark, sf_dir).join(X.asked(spark, sf_dir), "trace_id")
+    prompts = CV.assemble_prompts(CV.history_block(_segments(spark, sf_dir)), PROMPT_TEMPLATE, X.TODAY)
+    prompted = CV.prompt_of_steps(steps, prompts, PROMPT_TEMPLATE, X.TODAY)
+    return TR.transcript_at(TR.classify_steps(prompted), col("prompt")).select("trace_id", "step", "transcript")
+
+
 def g6_resolve_attempts(spark, sf_dir):
     return TR.resolve_attempts(X.attempts(spark, sf_dir))
 

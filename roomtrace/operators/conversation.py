@@ -72,29 +72,51 @@ def intent_in_context(segments: DataFrame) -> DataFrame:
     return seen.withColumn("intent_in_context", F.col("intent") | F.coalesce("_recent", F.lit(False))).drop("_recent")
 
 
-def intent_of_steps(steps: DataFrame, questions: DataFrame) -> DataFrame:
-    """Steps with ``intent``: was a booking asked for when the step's question was put.
+def _last_of_questions(steps: DataFrame, questions: DataFrame, value: Column, name: str) -> DataFrame:
+    """Steps with the ``value`` of the last question at or before the place where they were asked, null where there is none.
 
-    ``steps`` have conv_id and ``asked_at``, a place in the conversation; ``questions``
-    are those of ``intent_in_context``.  An as-of join: the last question at or before that place
-    counts, with the remembered ones before it, and the step's own question.  A step without a
-    conversation, or before its first question, has only its own.
+    An as-of join: questions and steps are sorted together by conversation and place, a question first, and the value is
+    carried along.  ``steps`` have conv_id and ``asked_at``, a place in the conversation.
     """
-    own = F.coalesce(has_booking_intent(F.col("question")), F.lit(False))
-    inside = steps.where(F.col("conv_id").isNotNull() & F.col("asked_at").isNotNull())
+    placeable = F.col("conv_id").isNotNull() & F.col("asked_at").isNotNull()
     step = F.struct(*steps.columns)
+    kind = steps.select(step.alias("s")).schema["s"].dataType
     told = questions.select(
-        "conv_id", F.col("turn").cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.col("intent_in_context").alias("_told"),
-        F.lit(None).cast(steps.select(step.alias("s")).schema["s"].dataType).alias("_step"),
+        "conv_id", F.col("turn").cast("bigint").alias("_at"), F.lit(0).alias("_kind"), value.alias("_told"), F.lit(None).cast(kind).alias("_step")
     )
-    asking = inside.select(
-        "conv_id", F.col("asked_at").cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("boolean").alias("_told"), step.alias("_step"),
+    nothing = F.lit(None).cast(told.schema["_told"].dataType)
+    asking = steps.where(placeable).select(
+        "conv_id", F.col("asked_at").cast("bigint").alias("_at"), F.lit(1).alias("_kind"), nothing.alias("_told"), step.alias("_step")
     )
     rows = placed(told.unionByName(asking), ["conv_id"], ["_at", "_kind"])
-    known = last_known(rows, ["conv_id"], F.col("_told"), "_known").where(F.col("_kind") == 1)
-    joined = known.select("_step.*", "_known").withColumn("intent", own | F.coalesce("_known", F.lit(False))).drop("_known")
-    outside = steps.where(F.col("conv_id").isNull() | F.col("asked_at").isNull()).withColumn("intent", own)
-    return joined.unionByName(outside)
+    known = last_known(rows, ["conv_id"], F.col("_told"), name).where(F.col("_kind") == 1).select("_step.*", name)
+    return known.unionByName(steps.where(~placeable).withColumn(name, nothing))
+
+
+def intent_of_steps(steps: DataFrame, questions: DataFrame) -> DataFrame:
+    """Steps with ``intent``: was a booking asked for when the step's question was put.
+
+    ``questions`` are those of ``intent_in_context``: the last one at or before the step's place counts, with the
+    remembered ones before it, and the step's own question.  A step without a
+    conversation, or before its first question, has only its own.
+    """
+    own = F.coalesce(has_booking_intent(F.col("question")), F.lit(False))
+    known = _last_of_questions(steps, questions, F.col("intent_in_context"), "_known")
+    return known.withColumn("intent", own | F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def prompt_of_steps(steps: DataFrame, prompts: DataFrame, template: str | Column, today) -> DataFrame:
+    """Steps with ``prompt``: what the loop they belong to began with, system prompt, history and question.
+
+    ``prompts`` are those of ``assemble_prompts``; the last agent question at or before the step's place counts.  Only its
+    place is carried along, the text is looked up once.  A step without one is prompted with its own question alone.
+    """
+    asked = prompts.where(F.col("mode") == "agent")
+    placed_steps = _last_of_questions(steps, asked, F.col("turn").cast("bigint"), "_turn")
+    texts = asked.select("conv_id", F.col("turn").cast("bigint").alias("_turn"), "prompt")
+    alone = F.concat(fill_date_context(template, today), F.lit("\n"), F.lit(K.QUESTION_PREFIX), F.col("question"), F.lit("\n"))
+    found = lookup(placed_steps, texts, ["conv_id", "_turn"], spread=["trace_id", "step"])
+    return found.withColumn("prompt", F.coalesce("prompt", alone)).drop("_turn")
 
 
 def _history_text(pairs: Column) -> Column:

@@ -12,7 +12,7 @@ OPERATORS = {
         search.render_details,
         bookings.free_slots, bookings.slots_batch, bookings.adjudicate, bookings.accepted,
         bookings.render_slots, bookings.render_bookings,
-        conversation.session_segments, conversation.intent_in_context, conversation.intent_of_steps, conversation.history_block,
+        conversation.session_segments, conversation.intent_in_context, conversation.intent_of_steps, conversation.prompt_of_steps, conversation.history_block,
         conversation.assemble_prompts,
         traces.resolve_attempts, traces.parse_steps, traces.classify_calls, traces.classify_steps,
         traces.summarize_traces, traces.transcript_at,
