@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roomtrace import constants as K
 from roomtrace.functions import listing as L
 from roomtrace.functions.text import district_key, py_strip, scrub_phones
+from roomtrace.plans.scratch import materialize
 
 
 def as_timestamp(now: Column | dt.datetime | str) -> Column:
@@ -85,9 +86,9 @@ def _keep(df: DataFrame, key: Column, best) -> DataFrame:
 
     Only numbers and keys are grouped, by a combining hash aggregation; the rows that lose are found among the keys
     that occur more than once and taken out by their row index, which must be unique.  They are few as a rule,
-    and then whole rows are not moved at all.
+    and then whole rows are not moved at all.  The keys are written once, when the plan is built.
     """
-    narrow = df.select(key.alias("_key"), "row_index").where(F.col("_key").isNotNull())
+    narrow = materialize(df.select(key.alias("_key"), "row_index").where(F.col("_key").isNotNull()), "keys")
     repeated = narrow.groupBy("_key").agg(best("row_index").alias("_best"), F.count("*").alias("_n")).where(F.col("_n") > 1)
     losers = narrow.join(repeated, "_key").where(F.col("row_index") != F.col("_best")).select("row_index")
     return df.join(losers, "row_index", "left_anti").select(df.columns)

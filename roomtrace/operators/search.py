@@ -1,5 +1,7 @@
 """Batches of search and detail requests against the listing table."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,27 +31,37 @@ def validate_search(requests: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(thresholds: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """((v, rank) of thresholds, (v, rank) of values, levels of blocks for them).
+def _ranked(thresholds: list[DataFrame], values: list[DataFrame]) -> list[tuple[DataFrame, DataFrame, int]]:
+    """For each kind of threshold ((v, rank) of thresholds, (v, rank) of values, levels of blocks for them).
 
-    Both tables have one column ``v``.  A value's rank is the number of distinct thresholds below it, a threshold's the
-    number of ranks that it accepts.  Thresholds and values are sorted together and counted along the
+    All tables have one column ``v``.  A value's rank is the number of distinct thresholds of its kind below it, a
+    threshold's the number of ranks that it accepts.  Thresholds and values are sorted together and counted along the
     order, so any number of thresholds is served without gathering them anywhere.
     """
-    asked = thresholds.where(F.col("v").isNotNull()).distinct().withColumn("_asked", F.lit(1))
-    met = values.where(F.col("v").isNotNull()).distinct().withColumn("_asked", F.lit(0))
-    # at equal values the listing comes first: it is not above the threshold
-    ordered = placed(asked.unionByName(met), [], ["v", "_asked"])
-    counted = running_sum(ordered, [], F.col("_asked"), "rank").select("v", "rank", "_asked")
-    counted = materialize(counted, "ranks")
-    of_thresholds = counted.where("_asked = 1").select("v", "rank")
-    return of_thresholds, counted.where("_asked = 0").select("v", "rank"), levels_for(of_thresholds.count())
+    kinds = range(len(thresholds))
 
+    def told(df: DataFrame, kind: int, asked: int) -> DataFrame:
+        # each kind has a column of its own, so that values keep their type
+        own = [(F.col("v") if k == kind else F.lit(None).cast(thresholds[k].schema["v"].dataType)).alias(f"v{k}") for k in kinds]
+        return df.where(F.col("v").isNotNull()).distinct().select(F.lit(kind).alias("_kind"), *own, F.lit(asked).alias("_asked"))
 
-def _with_rank(rows: DataFrame, value: Column, ranks: DataFrame, name: str, spread: str) -> DataFrame:
+    rows = [told(df, k, asked) for asked, frames in ((1, thresholds), (0, values)) for k, df in enumerate(frames)]
+    # at equal values the listing comes first: it is not above the threshold
+    order = [f"v{k}" for k in kinds] + ["_asked"]
+    ordered = placed(reduce(DataFrame.unionByName, rows), ["_kind"], order)
+    counted = materialize(running_sum(ordered, ["_kind"], F.col("_asked"), "rank").drop("_part", "_place"), "ranks")
+    counts = {r["_kind"]: r["n"] for r in counted.where("_asked = 1").groupBy("_kind").agg(F.count("*").alias("n")).collect()}
+    out = []
+    for k in kinds:
+        of_kind = [counted.where((F.col("_kind") == k) & (F.col("_asked") == asked)).select(F.col(f"v{k}").alias("v"), "rank") for asked in (1, 0)]
+        out.append((*of_kind, levels_for(counts.get(k, 0))))
+    return out
+
+
+def _with_rank(rows: DataFrame, value: Column, ranks: DataFrame, name: str) -> DataFrame:
     """Rows with the rank of a value, null where the value is null."""
     keyed = ranks.select(F.col("v").alias("_v"), F.col("rank").alias(name))
-    return lookup(rows.withColumn("_v", value), keyed, ["_v"], spread=[spread]).drop("_v")
+    return rows.withColumn("_v", value).join(keyed, "_v", "left").drop("_v")
 
 
 def _resolve_keys(filters: DataFrame, listings: DataFrame) -> DataFrame:
@@ -88,10 +100,12 @@ def top_per_filter(filters: DataFrame, listings: DataFrame) -> DataFrame:
     # larger areas come first: "at least" becomes "at most"
     upside_down = lambda c: F.lit(0.0) - F.col(c)
     narrow = listings.select("district_key", "price_vnd", upside_down("area_m2").alias("_area"), "days_old", "row_index")
-    asked_prices, prices, price_levels = _ranked(filters.select(F.col("max_price").cast("bigint").alias("v")), narrow.select(F.col("price_vnd").alias("v")))
-    asked_areas, areas, area_levels = _ranked(filters.select(upside_down("min_area").alias("v")), narrow.select(F.col("_area").alias("v")))
-    cells = _with_rank(narrow, F.col("price_vnd"), prices, "_price_rank", "row_index")
-    cells = _with_rank(cells, F.col("_area"), areas, "_area_rank", "row_index").drop("price_vnd", "_area")
+    (asked_prices, prices, price_levels), (asked_areas, areas, area_levels) = _ranked(
+        [filters.select(F.col("max_price").cast("bigint").alias("v")), filters.select(upside_down("min_area").alias("v"))],
+        [narrow.select(F.col("price_vnd").alias("v")), narrow.select(F.col("_area").alias("v"))],
+    )
+    cells = _with_rank(narrow, F.col("price_vnd"), prices, "_price_rank")
+    cells = _with_rank(cells, F.col("_area"), areas, "_area_rank").drop("price_vnd", "_area")
     # a few rows per cell, written once: everything below reads only this small table
     cells = materialize(
         top_k(cells, ["district_key", "_price_rank", "_area_rank"], recency(), K.MAX_LIMIT).drop("rank"), "cells"
@@ -113,9 +127,9 @@ def top_per_filter(filters: DataFrame, listings: DataFrame) -> DataFrame:
     # at most MAX_LIMIT rows per block, so an array of them is bounded
     blocks = by_block.groupBy(*block).agg(F.collect_list(F.struct("days_old", "row_index")).alias("_newest"))
 
-    wanted = _with_rank(filters, F.col("max_price").cast("bigint"), asked_prices, "_prices", "filter")
+    wanted = _with_rank(filters, F.col("max_price").cast("bigint"), asked_prices, "_prices")
     wanted = (
-        _with_rank(wanted, upside_down("min_area"), asked_areas, "_areas", "filter")
+        _with_rank(wanted, upside_down("min_area"), asked_areas, "_areas")
         .withColumn("_price_block", F.explode(blocks_below(F.col("_prices"), price_levels)))
         .withColumn("_area_block", F.explode(blocks_below(F.col("_areas"), area_levels)))
         .select("filter", *block)
@@ -191,8 +205,7 @@ def render_search(requests: DataFrame, results: DataFrame) -> DataFrame:
 
 def details_batch(requests: DataFrame, listings: DataFrame | ListingsById) -> DataFrame:
     """Listing per (request_id, listing_id): status 200, or 404 with an error text."""
-    # read four times below: for the ids, their folders, the hot ones among them, and the answers
-    asked = materialize(requests.withColumn("id", py_strip(F.col("listing_id"))), "asked")
+    asked = requests.withColumn("id", py_strip(F.col("listing_id")))
     found = known_listings(listings, asked, LISTING_SCHEMA.names if isinstance(listings, ListingsById) else listings.columns)
     found = found.withColumn("_found", F.lit(True))
     missing = F.col("_found").isNull()

@@ -2,8 +2,8 @@
 
 The rows are range-partitioned and sorted by key and order, so a key with very many
 rows is cut between partitions wherever its rows are, and written with the number of their partition and
-their place.  A window then never holds more than one key's share of one partition; what lies
-before it is summed over the partitions by a tree of aligned blocks.
+their place.  A window then never holds more than one key's share of one partition, or one row for each
+partition.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -24,21 +24,19 @@ def placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return materialize(numbered, "placed")
 
 
-def _in_several_parts(totals: DataFrame, keys: list[str]) -> DataFrame:
-    """The shares of keys that more than one partition holds."""
-    if not keys:
-        return totals
-    several = totals.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*keys)
-    return totals.join(several, keys, "left_semi")
-
-
 def sums_before(totals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _part, _offset): the sum of ``_total`` over a key's earlier parts, where it has any."""
-    shares = _in_several_parts(totals, keys)
+    """(keys, _part, _offset): the sum of ``_total`` over a key's earlier parts, where it is not 0.
+
+    A key has one row for each partition that holds some of it.  Without keys all partitions would be one group; they are
+    summed by a tree of aligned blocks instead.
+    """
+    if keys:
+        earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        return totals.withColumn("_offset", F.sum("_total").over(earlier)).where(F.col("_offset") != 0).drop("_total")
     own = F.array_remove(blocks_of_rank(F.col("_part"), LEVELS), ANY_BLOCK)
-    blocks = shares.select(*keys, "_total", F.explode(own).alias("_block")).groupBy(*keys, "_block").agg(F.sum("_total").alias("_sum"))
-    wanted = shares.select(*keys, "_part", F.explode(blocks_below(F.col("_part"), LEVELS)).alias("_block"))
-    return wanted.join(blocks, [*keys, "_block"]).groupBy(*keys, "_part").agg(F.sum("_sum").alias("_offset"))
+    blocks = totals.select("_total", F.explode(own).alias("_block")).groupBy("_block").agg(F.sum("_total").alias("_sum"))
+    wanted = totals.select("_part", F.explode(blocks_below(F.col("_part"), LEVELS)).alias("_block"))
+    return wanted.join(blocks, "_block").groupBy("_part").agg(F.sum("_sum").alias("_offset"))
 
 
 def _within(keys: list[str]):
@@ -63,8 +61,8 @@ def running_sum(rows: DataFrame, keys: list[str], value: Column, name: str) -> D
 def last_known(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """The last non-null value per key over ``placed`` rows, up to the current one."""
     valued = rows.withColumn("_value", value)
-    last = valued.where(F.col("_value").isNotNull()).groupBy(*keys, "_part").agg(F.max_by("_value", "_place").alias("_last"))
-    parts = _in_several_parts(valued.select(*keys, "_part").distinct(), keys).join(last, [*keys, "_part"], "left")
+    known = F.when(F.col("_value").isNotNull(), F.col("_place"))
+    parts = valued.groupBy(*keys, "_part").agg(F.max_by("_value", known).alias("_last"))
     # one row for each partition that holds some of the key
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carried = parts.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).where(F.col("_carried").isNotNull())

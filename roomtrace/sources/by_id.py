@@ -32,7 +32,8 @@ class ListingsById:
 
         The distinct folder numbers are gathered, at most ``folders`` of them, so that the scan's plan names its folders.
         """
-        asked = ids.select("id").where(F.col("id").isNotNull()).distinct().withColumn("folder", _folder(F.col("id"), self.folders))
+        distinct = ids.select("id").where(F.col("id").isNotNull()).distinct()
+        asked = materialize(distinct.withColumn("folder", _folder(F.col("id"), self.folders)), "asked_ids")
         wanted = sorted(r.folder for r in asked.select("folder").distinct().collect())
         return self.rows().where(F.col("folder").isin(wanted)).select("folder", *columns).join(
             asked, ["folder", "id"], "left_semi"
