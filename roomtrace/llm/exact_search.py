@@ -10,18 +10,20 @@ Candidates lie in blocks, queries in blocks; each pair of blocks is one row of a
 and only the k best of each query leave it.
 """
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roomtrace.llm.common import table
-from roomtrace.llm.vectors import matrix, unpack, usable
+from roomtrace.llm.vectors import EXACT, as_long, matrix, unpack, usable
 from roomtrace.plans.scratch import materialize
 
 PIVOTS = 16
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
-#: Candidates evaluated first; each further step evaluates twice as many.
+#: Candidates of a block that are evaluated first, those with the highest bounds.
 FIRST = 64
 
 
@@ -59,37 +61,57 @@ def packed(rows: DataFrame, size: int, pivots: np.ndarray) -> DataFrame:
 
 
 def best_of_block(q_ids, queries, q_near, ids, vectors, near, k: int):
-    """For each query its k best candidates of one block as (positions, scores), ties to the smaller id."""
-    q_squares, squares = (queries * queries).sum(axis=1), (vectors * vectors).sum(axis=1)
-    lower = np.zeros((len(queries), len(vectors)), dtype=np.float64)
+    """For each query its k best candidates of one block as (positions, scores), ties to the smaller id.
+
+    The candidates with the highest bounds come first; of the others only those are looked at whose bound reaches the k-th
+    score.  Where they are more than an eighth of all pairs, their scores are read from one product of the two blocks.
+    Scores are whole numbers, exact at any size.
+    """
+    n, norms, q_norms = len(vectors), np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+    # doubles hold every partial sum exactly below 2^53; else they only choose what is worked out in whole numbers
+    slack = 0.0 if q_norms.max() * norms.max() < 1 << 52 else 1e-12 * q_norms * norms.max()
+    near, q_near = near.astype(np.float32), q_near.astype(np.float32)
+    lower = np.zeros((len(queries), n), dtype=np.float32)
     for p in range(near.shape[1]):
         np.maximum(lower, np.abs(q_near[:, p, None] - near[None, :, p]), out=lower)
-    # scores are whole numbers far below 2^53, so a slack of half a unit covers all rounding in the bounds
-    upper = (q_squares[:, None] + squares[None, :] - lower * lower) / 2 + 0.5
+    # half a unit, and a share of the lengths that covers all rounding in the bounds
+    upper = ((q_norms**2)[:, None] + (norms**2)[None, :]).astype(np.float32) * np.float32(0.5 + 4e-6) - lower * lower / 2 + np.float32(0.5)
+    own = q_ids[:, None] == ids[None, :]
+    upper[own] = -np.inf
+    first = np.argpartition(-upper, FIRST, axis=1)[:, :FIRST] if n > FIRST else np.tile(np.arange(n), (len(queries), 1))
+    scores = np.einsum("qd,qfd->qf", queries, vectors[first])
+    scores[np.take_along_axis(own, first, axis=1)] = -np.inf
+    least = np.partition(scores, -k, axis=1)[:, -k] - 2 * slack if scores.shape[1] >= k else np.full(len(queries), -np.inf)
+    left = (upper >= least[:, None]) & ~own
+    if left.mean() > 1 / 8:
+        scores = np.where(left, queries @ vectors.T, -np.inf)
+    else:
+        scores = np.full(left.shape, -np.inf)
+        q, x = np.nonzero(left)
+        scores[q, x] = np.einsum("ij,ij->i", queries[q], vectors[x])
+    kth = np.partition(scores, -k, axis=1)[:, -k] - 2 * slack if n >= k else np.full(len(queries), -np.inf)
     out = []
     for row in range(len(queries)):
-        order = np.argsort(-upper[row], kind="stable")
-        order = order[ids[order] != q_ids[row]]
-        best, score, start, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST
-        while start < len(order) and (len(best) < k or upper[row, order[start]] >= score[-1]):
-            some = order[start : start + step]
-            best = np.concatenate([best, some])
-            score = np.concatenate([score, vectors[some] @ queries[row]])
-            top = np.lexsort((ids[best], -score))[:k]
-            best, score = best[top], score[top]
-            start, step = start + step, 2 * step
-        out.append((best, score))
+        some = np.flatnonzero((scores[row] >= kth[row]) & left[row])
+        if np.any(slack):
+            whole = [int(v) for v in queries[row]]
+            best = sorted((-sum(a * int(b) for a, b in zip(whole, vectors[at])), int(ids[at]), at) for at in some)[:k]
+            out.append((np.array([at for _, _, at in best], dtype=np.int64), [-s for s, _, _ in best]))
+        else:
+            some = some[np.lexsort((ids[some], -scores[row, some]))[:k]]
+            out.append((some, scores[row, some].astype(np.int64).tolist()))
     return out
 
 
 def exact_top_k(rows: DataFrame, is_query, k: int, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, id, score): each query's k largest inner products with all other rows, ties to the smaller id.
 
-    ``vector_column`` holds whole numbers, below 2^20 in size.  ``is_query`` is a condition on the column ``id``.  Every row but those
+    ``vector_column`` holds whole numbers; vectors with one of 2^53 or more in size take no part.  Scores are exact; one that is no
+    long is shown as the nearest one.  ``is_query`` is a condition on the column ``id``.  Every row but those
     with the query's own id is a candidate; with fewer than k of them all are returned.  Rows that cannot take part are
     named in ``usable``.  Repeated ids are candidates of their own, and queries of their own under the same id are answered once.
     """
-    held = materialize(usable(rows, id_column, vector_column), "vectors")
+    held = materialize(usable(rows, id_column, vector_column).filter(~F.exists("vector", lambda c: F.abs(c) >= EXACT)), "vectors")
     # the pivots: a bounded number of rows, spread by a hash of the id
     chosen = held.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     if not chosen:
@@ -112,16 +134,16 @@ def exact_top_k(rows: DataFrame, is_query, k: int, id_column: str = "vec_id", ve
                 found = best_of_block(q_ids, q, unpack(c["qnear"], np.float64, c["qn"]), ids, v, unpack(c["near"], np.float64, c["n"]), k)
                 counts = [len(b) for b, _ in found]
                 at = np.concatenate([b for b, _ in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, counts)), pa.array(ids[at]), pa.array(np.concatenate([s for _, s in found]).astype(np.int64))], ["query_id", "id", "score"],
-                )
+                scores = pa.array([Decimal(v) for _, s in found for v in s], pa.decimal128(38, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, counts)), pa.array(ids[at]), scores], ["query_id", "id", "score"])
 
-    best = cells.mapInArrow(search, "query_id long, id long, score long")
+    best = cells.mapInArrow(search, "query_id long, id long, score decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", as_long(F.col("score")).alias("score"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    """The 20 best of all other rows of ``embeddings`` for every twentieth vec_id; ``exact_top_k`` defines odd rows."""
     # floor of a non-finite component would be a number; such vectors take no part
     whole = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("raw"))
     finite = ~F.exists("raw", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

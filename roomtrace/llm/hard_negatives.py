@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roomtrace.llm.common import table
-from roomtrace.llm.vectors import matrix, whole_vectors
+from roomtrace.llm.vectors import as_long, matrix, whole_vectors
 from roomtrace.plans.scratch import materialize
 
 SCALE = 256
@@ -246,12 +246,6 @@ def search_windows(blocks: DataFrame, order: list[int], largest: float, anchors:
     return out
 
 
-def _as_long(score: Column) -> Column:
-    """The score as a long; one that is too large becomes the largest or the smallest long."""
-    most = F.lit((1 << 63) - 1).cast("decimal(38,0)")
-    return F.greatest(F.least(score, most), -most - 1).cast("long")
-
-
 def hard_negatives(
     rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scaled=lambda c: F.floor(c * SCALE),
     id_column: str = "vec_id", label_column: str = "label", vector_column: str = "embedding",
@@ -285,7 +279,7 @@ def hard_negatives(
     found = search_windows(blocks, order, largest, anchors, below, negatives, False, low, high)
     pairs = best.select("q", F.col("rank").alias("w"), F.col("id").alias("positive_id"), F.col("score").alias("p"))
     out = found.join(pairs, ["q", "w"]).join(anchors.select("q", F.col("id").alias("anchor_id")), "q")
-    return out.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), _as_long(F.col("p")).alias("positive_score"), _as_long(F.col("score")).alias("negative_score"))
+    return out.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), as_long(F.col("p")).alias("positive_score"), as_long(F.col("score")).alias("negative_score"))
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

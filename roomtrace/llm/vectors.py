@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,12 @@ def whole_vectors(rows: DataFrame, scaled, vector_column: str) -> DataFrame:
     return held.filter(F.size("x") == (first["dim"] if first else 0))
 
 
+def as_long(score: Column) -> Column:
+    """The score as a long; one that is too large becomes the largest or the smallest long."""
+    most = F.lit((1 << 63) - 1).cast("decimal(38,0)")
+    return F.greatest(F.least(score, most), -most - 1).cast("long")
+
+
 def matrix(column: pa.Array, dtype) -> np.ndarray:
     """The rows of a list column of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roomtrace.llm import hard_negatives as hn
 from roomtrace.llm import line_dedup, whitening
+from roomtrace.llm.exact_search import exact_top_k
 from roomtrace.llm.queries import QUERIES, SQL
 from tests.compare import connect, difference
 from tests.llm.test_texts import empty_docs, odd_docs
@@ -160,6 +161,24 @@ def test_pairs_above_a_threshold_are_complete(share):
     assert found == {(i, j): q[i] @ x[j] for i in range(9) for j in range(200) if q[i] @ x[j] >= least[i]}
 
 
+@pytest.mark.parametrize("scale, n", [(1, 90), (5e8, 300), (3e15, 70), (40, 15)])
+def test_exact_search_at_any_size(spark, scale, n):
+    r = np.random.default_rng(4)
+    held = [(k // 2 if k < 8 else k, [float(np.floor(c * scale)) for c in r.standard_normal(5)]) for k in range(n)] + [(n, [float(scale)] * 5), (n + 1, [2.0**60] * 5)]
+    rows = spark.createDataFrame(held, "vec_id long, embedding array<double>").repartition(2)
+    asked = {}
+    for i, v in held[:-1]:
+        if i % 7 == 0 and i > 7:
+            asked[i] = v
+    shown = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = []
+    for i, q in asked.items():
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(q, v)), j) for j, v in held[:-1] if j != i)[:20]
+        want += [(i, rank, j, shown(-s)) for rank, (s, j) in enumerate(best, 1)]
+    got = exact_top_k(rows, (F.col("id") % 7 == 0) & (F.col("id") > 7), 20)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # --- whitening ------------------------------------------------------------------------
 
 
