@@ -11,11 +11,13 @@ number of occurrences; similarity is the weighted Jaccard measure.
    all coordinates are made, so a signature costs about (weight + coordinates) steps.
 2. Identical texts are one node.  Nodes that share a band of coordinates are candidates:
    each member of a bucket is compared with its smallest member, which is one pair
-   for each member.  Where that leaves a bucket in more than one component, members that share
-   two bands are compared with one of them that a hash draws, one pair for each again.
-   Members that are then still outside the bucket's largest component are compared with
-   the members of all other ones whose size and whose signature of more coordinates, one
-   bit of each, allow the similarity.
+   for each member.  Where that leaves a bucket in more than one component, the shingles
+   that no other member of such a bucket has are counted: two texts have no more in common than either
+   has besides these, so a text with too many of them is settled, without any pair.  Of the
+   others, members that share two bands are compared with one of them that a hash draws, one
+   pair for each again.  Members that are then still outside the bucket's largest component
+   are compared with the members of all other ones whose size, whose shingles that others
+   have too, and whose signature of more coordinates, one bit of each, allow the similarity.
 3. Candidates are verified exactly on their texts.  Components of verified links are
    found by repeated minimum labels and pointer jumping, all as joins.
 """
@@ -40,6 +42,8 @@ BANDS, ROWS = 32, 5
 SKETCH = 2048
 #: A band is paired with so many that follow it.
 REACH = 4
+#: What two texts are compared by before their words are.
+COMPARED = ("size", "held", "bits")
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarray:
@@ -208,12 +212,37 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("id", "class")
 
 
-def _may_be_similar(size: Column, bits: Column, other_size: Column, other_bits: Column, coordinates: int, least: float) -> Column:
-    """Whether two texts' sizes and the bits of their signatures allow the similarity."""
+def _own_shingles(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, own): how many shingles of each of the texts, repeats counted, none of the other texts has; texts without such are left out."""
+    # numbers instead of ids, as a row for each shingle is shuffled
+    numbered = materialize(ids.select("id").distinct().withColumn("number", F.monotonically_increasing_id()), "numbered")
+    texts = docs.join(numbered.hint("merge"), "id").dropDuplicates(["number"]).select("number", "text")
+
+    def cut(batches):
+        for batch in batches:
+            for first, some in by_bytes(plain(batch.column(1)), 1 << 18):
+                elements, weights, begins = weighted(*shingle_hashes(some, words))
+                owners = pa.array(first + np.repeat(np.arange(len(some)), np.diff(begins)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owners), pa.array(elements.view(np.int64)), pa.array(weights.astype(np.int64))], ["number", "shingle", "weight"])
+
+    rows = texts.mapInArrow(cut, "number long, shingle long, weight long")
+    # a shingle that all texts have is one row of each task
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("number").alias("number"), F.min("weight").alias("weight")).filter("n = 1")
+    own = alone.groupBy("number").agg(F.sum("weight").alias("own"))
+    return numbered.join(own.hint("merge"), "number").select("id", "own")
+
+
+def _may_be_similar(a: dict[str, Column], b: dict[str, Column], coordinates: int, least: float) -> Column:
+    """Whether two texts' sizes, their shingles that others have too, and the bits of their signatures allow the similarity.
+
+    Texts of similarity s have s / (1 + s) of the sum of their sizes in common.
+    """
     mean = coordinates * (1 - least) / 2
     most = mean + DEVIATIONS * (mean * (1 + least) / 2) ** 0.5
-    differ = sum(F.bit_count(F.get(bits, k).bitwiseXOR(F.get(other_bits, k))) for k in range(-(-coordinates // 64)))
-    return (F.least(size, other_size) >= F.lit(least) * F.greatest(size, other_size)) & (differ <= most)
+    differ = sum(F.bit_count(F.get(a["bits"], k).bitwiseXOR(F.get(b["bits"], k))) for k in range(-(-coordinates // 64)))
+    sizes = F.least(a["size"], b["size"]) >= F.lit(least) * F.greatest(a["size"], b["size"])
+    common = F.least(a["held"], b["held"]) >= F.lit(least / (1 + least) - 1e-9) * (a["size"] + b["size"])
+    return sizes & common & (differ <= most)
 
 
 def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -235,11 +264,11 @@ def _drawn_pairs(apart: DataFrame, keyed: DataFrame, bands: int, rows: int, leas
     two = lambda i, d: F.array(F.get("keys", i), F.get("keys", (i + d) % bands))
     both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.array(*[two(i, d) for d in steps])))
     held = F.filter(both, lambda x: F.array_contains("own", x[0]) & F.array_contains("own", x[1]))
-    members = own.join(keyed.hint("merge"), "id").select("id", "class", "size", "bits", F.explode(F.transform(held, lambda x: F.xxhash64(x[0], x[1]))).alias("two"))
+    members = own.join(keyed.hint("merge"), "id").select("id", "class", "size", "held", "bits", F.explode(F.transform(held, lambda x: F.xxhash64(x[0], x[1]))).alias("two"))
     members = materialize(members, "members")
-    hubs = members.groupBy("two").agg(F.min(F.struct(F.xxhash64("id", "two").alias("draw"), "id", "class", "size", "bits")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hubs = members.groupBy("two").agg(F.min(F.struct(F.xxhash64("id", "two").alias("draw"), "id", "class", "size", "held", "bits")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     hub = F.col("hub")
-    alike = _may_be_similar(F.col("size"), F.col("bits"), hub["size"], hub["bits"], bands * rows, least)
+    alike = _may_be_similar({k: F.col(k) for k in COMPARED}, {k: hub[k] for k in COMPARED}, bands * rows, least)
     met = members.join(hubs.hint("merge"), "two").filter((F.col("class") != hub["class"]) & alike)
     return met.select(F.least("id", hub["id"]).alias("a"), F.greatest("id", hub["id"]).alias("b")).distinct()
 
@@ -274,17 +303,26 @@ def text_classes(
 
     # what the stars left apart meets in pairs of bands, around hubs drawn by a hash: most of a crowd of near copies becomes one component
     apart = _apart(shared.select("key", "id"), found)
-    drawn = materialize(_drawn_pairs(apart, keyed, bands, rows, least).join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    own = _own_shingles(apart, narrow, words)
+    held = keyed.join(apart.select("id").distinct().hint("merge"), "id").join(own.hint("merge"), "id", "left").withColumn("held", F.col("size") - F.coalesce("own", F.lit(0)))
+    held = materialize(held.filter(F.col("held") >= F.lit(least - 1e-9) * F.col("size")).drop("own"), "held")
+    apart = _apart(apart.select("key", "id").join(held.select("id").hint("merge"), "id"), found)
+    drawn = materialize(_drawn_pairs(apart, held, bands, rows, least).join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     links = materialize(links.unionByName(_verified(drawn, narrow, words, least)), "links")
 
     # buckets that are still in more than one component
     split = _apart(apart.select("key", "id"), components(links))
-    sketches = materialize(_sketched(narrow.join(split.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"]), words), "sketches")
+    members = split.groupBy("id").agg(F.collect_set("key").alias("keys")).join(held.select("id", "held").hint("merge"), "id")
+    sketches = _sketched(narrow.join(split.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"]), words)
+    sketches = materialize(members.join(sketches.hint("merge"), "id"), "sketches")
     split = materialize(split.join(sketches.hint("merge"), "id"), "split")
-    few = split.filter("class <> main").select("key", F.col("id").alias("x"), F.col("class").alias("cx"), F.col("size").alias("sx"), F.col("bits").alias("bx"))
-    other = (F.col("class") != F.col("cx")) & ((F.col("class") == F.col("main")) | (F.col("id") < F.col("x")))
-    alike = _may_be_similar(F.col("size"), F.col("bits"), F.col("sx"), F.col("bx"), SKETCH, least)
-    rest = split.join(few.hint("merge"), "key").filter(other & alike).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    few = split.filter("class <> main").select("key", F.struct("id", "class", "keys", *COMPARED).alias("x"))
+    x = F.col("x")
+    other = (F.col("class") != x["class"]) & ((F.col("class") == F.col("main")) | (F.col("id") < x["id"]))
+    alike = _may_be_similar({k: F.col(k) for k in COMPARED}, {k: x[k] for k in COMPARED}, SKETCH, least)
+    # of all buckets that two members share, the first one gives their pair
+    once = F.array_min(F.array_intersect("keys", x["keys"])) == F.col("key")
+    rest = split.join(few.hint("merge"), "key").filter(other & alike & once).select(F.least("id", x["id"]).alias("a"), F.greatest("id", x["id"]).alias("b")).distinct()
     rest = materialize(rest.join(stars.unionByName(drawn).hint("merge"), ["a", "b"], "left_anti"), "pairs")
     links = materialize(links.unionByName(_verified(rest, narrow, words, least)), "links")
 

@@ -1,5 +1,6 @@
 """Words and word shingles of many texts at once, as 64-bit numbers."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -12,6 +13,8 @@ WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = np.uint64(0x100000001B3)
+#: Words of more bytes are hashed by a digest, all others as polynomials, a place of all words at a time.
+LONG_WORD = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,17 +52,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def string_hashes(strings: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string: its bytes as a polynomial, then mixed."""
+    """A 64-bit hash of each string: its bytes as a polynomial, then mixed; of a long string, a digest."""
     if not len(strings):
         return np.zeros(0, np.uint64)
     data, offsets = text_bytes(strings)
     sizes = np.diff(offsets)
     total = np.zeros(len(strings), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        live = np.arange(len(strings))
-        for k in range(int(sizes.max()) if len(sizes) else 0):
+        live = np.flatnonzero(sizes <= LONG_WORD)
+        for k in range(int(sizes[live].max()) if len(live) else 0):
             live = live[sizes[live] > k]
             total[live] = (total[live] * _BASE + data[offsets[live] + k] + np.uint64(1)) * _MIX
+        for i in np.flatnonzero(sizes > LONG_WORD):
+            total[i] = int.from_bytes(hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=8).digest(), "little")
         return mixed(total ^ (sizes.astype(np.uint64) << np.uint64(40)))
 
 

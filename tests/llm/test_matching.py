@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -253,6 +254,25 @@ def test_similarity_is_exact():
     assert np.allclose(got, want)
 
 
+def test_texts_with_too_many_shingles_of_their_own_are_settled_without_pairs(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, f"{passage} " + " ".join(f"own{k}x{n}" for n in range(20))) for k in range(30)] + [(90, passage + " end"), (91, passage + " other end"), (92, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    own = {r.id: r.own for r in near_dedup._own_shingles(docs, docs, 5).collect()}
+    assert own == {k: 20 for k in range(30)} | {90: 1, 91: 2}
+    named = docs.withColumnRenamed("id", "doc_id")
+    # bands of one coordinate put all of them into common buckets
+    assert {x.doc_id: x["class"] for x in near_dedup.near_duplicates(named, bands=24, rows=1).collect()} == brute_classes(rows)
+
+
+def test_long_words_are_hashed_in_proportion_and_alike_everywhere():
+    words = ["a" * 10_000_000, "a" * 9_999_999 + "b", "short", "a" * 257, "a" * 256]
+    began = time.process_time()
+    hashes = shingles.string_hashes(pa.array(words))
+    assert time.process_time() - began < 2 and len(set(hashes.tolist())) == 5
+    assert [shingles.string_hashes(pa.array([w]))[0] for w in words] == hashes.tolist()
+
+
 def test_shingles_do_not_depend_on_their_neighbours():
     texts = ["a b c d e f", "", "x", "A, b\nc d e - f!"]
     hashes, starts = shingles.shingle_hashes(pa.array(texts), 5)
