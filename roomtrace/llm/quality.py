@@ -24,7 +24,7 @@ WIDTH, STRIDE, FILTERS, UNITS = 8, 2, 24, 16
 BLOCK = 128
 #: Bounds of the sample: labelled rows, and characters of a row (a window at a hashed place of a longer text).
 SAMPLE_ROWS, SAMPLE_CHARS = 4096, 8192
-#: Bytes scored together; a longer document is scored in windows that share a chunk.
+#: Bytes scored together, a multiple of a block; a longer document is convolved so many at a time, with the same answers as in one pass.
 WINDOW = 1 << 18
 STEPS, BATCH = 420, 48
 
@@ -85,15 +85,32 @@ def _chunks(net: Network, blocks: np.ndarray, firsts: np.ndarray):
     return np.maximum(seen @ net.chunk + net.chunk_bias, 0), (left, seen)
 
 
+def long_units(net: Network, data: np.ndarray) -> np.ndarray:
+    """``chunk_units`` of one text, convolved a window at a time.
+
+    A window is read up to the bytes that its last filters reach, and the last block of one begins a chunk with the first of the next.
+    """
+    end = -(-(len(data) + WIDTH) // BLOCK) * BLOCK
+    best, before = None, np.zeros((0, FILTERS), np.float32)
+    for a in range(0, end, WINDOW):
+        window = np.zeros(min(WINDOW, end - a) + WIDTH, dtype=np.uint8)
+        part = data[a : a + len(window)]
+        window[: len(part)] = part
+        blocks = np.concatenate([before, pooled(net, window)])
+        before = blocks[-1:]
+        if len(blocks) > 1:
+            units = chunk_units(net, blocks, np.array([0, len(blocks)]))
+            best = units if best is None else np.maximum(best, units)
+    return best
+
+
 def scores(net: Network, texts: pa.Array) -> np.ndarray:
     """Probability of label 1 for each text, from all of its bytes."""
     out = np.zeros(len(texts))
     for first, some in by_bytes(texts, WINDOW):
         data, offsets = text_bytes(some)
         if len(some) == 1 and len(data) > WINDOW:
-            step = WINDOW - 2 * BLOCK
-            windows = [data[a : a + WINDOW] for a in range(0, max(1, len(data) - 2 * BLOCK), step)]
-            units = np.max([chunk_units(net, pooled(net, p), f) for p, f in (lay_out(w, np.array([0, len(w)])) for w in windows)], axis=0)
+            units = long_units(net, data)
         else:
             padded, firsts = lay_out(data, offsets)
             units = chunk_units(net, pooled(net, padded), firsts)
@@ -199,7 +216,7 @@ def score_quality(docs: DataFrame, net: Network, id_column: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, net: Network, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
-    """The rows that score ``threshold`` or more, with their columns as they were."""
+    """The rows that score ``threshold`` or more, with their columns as they were; null texts count as empty, repeated rows stay repeated."""
 
     def keep(batches):
         for batch in batches:
@@ -209,6 +226,7 @@ def keep_good(docs: DataFrame, net: Network, threshold: float = 0.3, text_column
 
 
 def op9_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    """Score of every document by a network fitted on the labelled rows that are not held out; repeated and null ids keep their rows."""
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select(

@@ -304,12 +304,27 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * step) - gradient.reshape(-1)[k]) < 1e-4
 
 
-def test_windows_of_a_long_text_see_all_of_it(monkeypatch):
-    net = quality.fresh(1)
-    texts = pa.array(["ab cd " * 2000 + "!!XX!!" + "ef gh " * 2000])
-    whole = quality.scores(net, texts)
-    monkeypatch.setattr(quality, "WINDOW", 1024)
-    assert abs(quality.scores(net, texts)[0] - whole[0]) < 0.05
+def plain_forward(net, text):
+    """One text, place by place, as the network is defined."""
+    data = list(text.encode())
+    blocks = max(2, -(-(len(data) + quality.WIDTH) // quality.BLOCK))
+    data += [0] * (blocks * quality.BLOCK + quality.WIDTH - len(data))
+    taps = net.taps.astype(np.float64)
+    pool = np.full((blocks, quality.FILTERS), -np.inf)
+    for p in range(0, blocks * quality.BLOCK, quality.STRIDE):
+        answer = sum(taps[k][data[p + k]] for k in range(quality.WIDTH))
+        pool[p // quality.BLOCK] = np.maximum(pool[p // quality.BLOCK], answer)
+    chunks = [np.maximum(np.maximum(np.maximum(pool[i], pool[i + 1]) + net.bias, 0) @ net.chunk + net.chunk_bias, 0) for i in range(blocks - 1)]
+    return 1 / (1 + np.exp(-(np.max(chunks, axis=0) @ net.out + net.out_bias[0])))
+
+
+@pytest.mark.parametrize("window", [128, 1024, 4096, 1 << 18])
+def test_windows_of_a_long_text_score_as_one_pass(monkeypatch, window):
+    monkeypatch.setattr(quality, "WINDOW", window)
+    r = np.random.default_rng(window)
+    for n in (0, 1, 100, 119, 120, 121, 128, 248, 249, 256, 1023, 1024, 1025, 4097, 9000):
+        net, text = quality.fresh(n), "".join(map(chr, r.integers(32, 500, size=n)))
+        assert abs(quality.scores(net, pa.array([text]))[0] - plain_forward(net, text)) < 1e-5
 
 
 def test_quality_query_learns_and_holds_out(spark):
