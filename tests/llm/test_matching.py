@@ -143,6 +143,31 @@ def test_long_templates_alone_are_found_in_short_texts_and_at_the_end(spark):
     assert {(x.doc_id, x.license, x.n_shingles, x.n_found) for x in found} == want and len(found) == len(want)
 
 
+def test_windows_retrieve_shingles_that_stand_alone(spark):
+    """Shingles of a template in any order, each among other words, are found as the SQL form finds them."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    templates = {f"t{n}": [word() for _ in range(n + 4)] for n in (1, 2, 3, 4, 5, 8, 30)}
+    rows = []
+    for name, words in templates.items():
+        for _ in range(40):
+            pieces = [words[i : i + 5] for i in range(len(words) - 4)]
+            r.shuffle(pieces)
+            rows.append((len(rows), name, " ".join(" ".join([*p, word(), word()]) for p in pieces)))
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    found = {(x.doc_id, x.license) for x in licenses.scan_licenses(docs, {k: " ".join(w) for k, w in templates.items()}).collect()}
+    assert found == {(i, name) for i, name, _ in rows}
+
+
+def test_window_keys_are_minima_of_windows_that_hold_a_place(spark):
+    runs = [5, -7, 12, 3, 99, -50]
+    row = spark.createDataFrame([(runs, [2])], "runs array<long>, places array<int>")
+    for n in licenses.LENGTHS:
+        windows = [runs[i : i + n] for i in range(len(runs) - n + 1) if i <= 2 < i + n]
+        want = {min(x ^ f for x in w) for w in windows for f in licenses.FLIPS} if n > 1 else {12}
+        assert set(row.select(licenses.window_keys("runs", "places", [n])).first()[0]) == want
+
+
 def words_of(text):
     words = re.findall(r"\w+", (text or "").lower())
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
