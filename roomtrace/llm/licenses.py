@@ -3,17 +3,16 @@
 Everything is a DataFrame function.  A text is its sequence of hashed five-word shingles.
 Windows of 1, 2 or 4 shingles begin at every shingle; a template of n shingles is indexed by
 all its windows of the largest such length that is not above n.  A window has ``BANDS`` bands of
-one MinHash each: the minimum of its shingles under a bit flip of its own, which puts each
-shingle first equally often.  A text and a template that share a band of a window are compared:
+one MinHash each: the minimum of its shingles under a hash of its own.  A text and a template that share a band of a window are compared:
 what the passages of the text hold of the template is merged as a set, which is never larger
 than the template, and counted after that.
 
 A text holds a template if it contains 0.8 of its shingles, wherever they stand in it.  As many shingles in a
 row as a window has are retrieved for certain, since equal windows have equal minima.  In the worst case
-all shingles stand alone, each among others that the template does not have.  One shared shingle is then the minimum of
-a window of both in a band with probability 8/15 for windows of two (1 / 3.5 for four), so it is missed by
-all eight bands with 0.0023 (0.068).  Templates of two or three shingles must have all of them, longer ones four or
-more: such a text is missed with a probability of at most 0.0023^2 = 0.000005 (0.068^4 = 0.00002).
+all shingles stand alone, each among others that the template does not have.  The minimum of a template's window is then
+that of a window of the text with probability 5/6 for windows of two, 11/14 for four.  Templates of two or
+three shingles must have all of them, and are missed by all eight bands with (1/6)^8 = 0.0000006; a longer one has
+a window of which three of four are there, and is missed with at most (1 - 3/4 * 11/14)^8 = 0.0008.
 
 Long texts are cut into passages only to bound what is in memory: every word, window and shingle that a
 template can have is whole in some passage, and no cut makes words or shingles of its own.
@@ -30,8 +29,6 @@ from roomtrace.llm.common import table
 WORDS = 5
 BANDS = 8
 LENGTHS = (1, 2, 4)
-#: Fixed bit flips, one for each band.
-FLIPS = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xBF58476D1CE4E5B9 * (k + 1)) % (1 << 64) - (1 << 63) for k in range(BANDS)]
 #: Longer texts are read in passages of so many characters.
 PASSAGE = 1 << 18
 #: Up to so many shingles the index is part of the plan and sent to all tasks; a larger one is joined like any table.
@@ -78,14 +75,14 @@ def window_keys(runs: str, places: str, lengths: list[int]) -> Column:
 
     A window of one shingle needs one band; a sequence shorter than a window is one window.
     """
-    flips = F.array(*[F.lit(x) for x in FLIPS])
+    bands = F.array(*[F.lit(x) for x in range(BANDS)])
 
     def of_length(length: int) -> Column:
         if length == 1:
             return F.transform(places, lambda p: F.get(runs, p))
         last = F.greatest(F.size(runs) - length, F.lit(0))
         around = F.transform(places, lambda p: F.array(*[F.least(F.greatest(p - j, F.lit(0)), last) for j in range(length)]))
-        lowest = lambda start: F.transform(flips, lambda flip: F.array_min(F.transform(F.slice(runs, start + 1, length), lambda x: x.bitwiseXOR(flip))))
+        lowest = lambda start: F.transform(bands, lambda band: F.array_min(F.transform(F.slice(runs, start + 1, length), lambda x: F.xxhash64(x, band))))
         return F.flatten(F.transform(F.array_distinct(F.flatten(around)), lowest))
 
     return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
