@@ -58,19 +58,23 @@ WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
 NO_WORD_PATTERN = r"[^\p{L}\p{M}\p{N}_]+"
 
 
+def bound(value: Column, function) -> Column:
+    """The function of a value that is computed once, however often the function uses it."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
 def shingles(text: Column, whole: Column | None = None) -> Column:
     """Hashes of the runs of five words, in order; one run of all words if a whole text has fewer, none without words."""
     hashes = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD_PATTERN})"), F.lit(1)), lambda word: F.xxhash64(word))
-    # the array of word hashes is an argument of the lambda, so that it is computed once for each text
     run = lambda w: (
         F.when(F.size(w) >= WORDS, F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)])))
         .when((F.size(w) > 0) & (F.lit(True) if whole is None else whole), F.array(F.xxhash64(w)))
         .otherwise(F.array().cast("array<bigint>"))
     )
-    return F.element_at(F.transform(F.array(hashes), run), 1)
+    return bound(hashes, run)
 
 
-def window_keys(runs: str, places: str, lengths: list[int]) -> Column:
+def window_keys(runs: Column | str, places: Column | str, lengths: list[int]) -> Column:
     """The distinct band minima of all windows of the lengths that hold one of the places of the sequence.
 
     A window of one shingle needs one band; a sequence shorter than a window is one window.
@@ -88,7 +92,7 @@ def window_keys(runs: str, places: str, lengths: list[int]) -> Column:
     return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
 
 
-def all_places(runs: str) -> Column:
+def all_places(runs: Column | str) -> Column:
     return F.transform(runs, lambda _, i: i)
 
 
@@ -154,22 +158,29 @@ def scan_licenses(
     # rows of the same id and text hold the same, so the text's digest stands for the row
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_column).alias("id"), text.alias("text")).select("id", "text", F.md5("text").alias("row"))
-    runs = passages(texts, overlap).select("id", "row", shingles(F.col("piece"), F.col("whole")).alias("runs"))
+    entries = index.select("license", "n_shingles", F.col("run").alias("key"), F.lit(False).alias("band")).unionByName(
+        windows.withColumn("band", F.lit(True)), allowMissingColumns=True,
+    )
     if small:
         fixed, keys = (F.lit(sorted(r[0] for r in t.distinct().collect())).cast("array<bigint>") for t in (index.select("run"), windows.select("key")))
+        entries = F.broadcast(entries)
         # a minimum that a template has is one of its shingles, so windows without any of them have no indexed key
-        runs = runs.filter(F.arrays_overlap("runs", fixed)).withColumn("held", F.array_intersect("runs", fixed))
-        held = F.transform("runs", lambda x, i: F.when(F.array_contains("held", x), i))
-        runs = runs.withColumn("places", F.filter(held, lambda p: p.isNotNull()))
-        met = F.array_intersect(window_keys("runs", "places", list(LENGTHS)), keys)
-        index, windows = F.broadcast(index), F.broadcast(windows)
+        places = lambda runs, held: F.filter(F.transform(runs, lambda x, i: F.when(F.array_contains(held, x), i)), lambda p: p.isNotNull())
+        held_of = lambda runs: F.array_intersect(runs, fixed)
+        met_of = lambda runs, held: F.array_intersect(bound(places(runs, held), lambda p: window_keys(runs, p, list(LENGTHS))), keys)
     else:
-        runs = runs.withColumn("held", F.array_distinct("runs")).withColumn("places", all_places("runs"))
-        met = window_keys("runs", "places", list(LENGTHS))
-    retrieved = runs.select("id", "row", F.explode(met).alias("key")).join(windows, "key").select("id", "row", "license").distinct()
-    found = runs.select("id", "row", F.explode("held").alias("run")).join(index, "run").select("id", "row", "license", "n_shingles", "run")
-    both = found.withColumn("retrieved", F.lit(False)).unionByName(retrieved.withColumn("retrieved", F.lit(True)), allowMissingColumns=True)
-    merged = both.groupBy("id", "row", "license").agg(F.max("n_shingles").alias("n_shingles"), F.size(F.collect_set("run")).alias("n_found"), F.max("retrieved").alias("retrieved"))
+        held_of = F.array_distinct
+        met_of = lambda runs, held: window_keys(runs, all_places(runs), list(LENGTHS))
+    tagged = lambda values, band: F.transform(values, lambda x: F.struct(x.alias("key"), F.lit(band).alias("band")))
+    both = lambda runs, held: F.concat(tagged(held, False), tagged(met_of(runs, held), True))
+    none = F.array().cast("array<struct<key: bigint, band: boolean>>")
+    # one expression from the words to the keys: columns of their own would be put into one another by the optimizer and computed again for each use
+    of_runs = lambda runs: bound(held_of(runs), lambda held: F.when(F.size(held) > 0, both(runs, held)).otherwise(none))
+    asked = passages(texts, overlap).select("id", "row", F.explode(bound(shingles(F.col("piece"), F.col("whole")), of_runs)).alias("entry"))
+    found = asked.select("id", "row", "entry.key", "entry.band").join(entries, ["key", "band"])
+    merged = found.groupBy("id", "row", "license").agg(
+        F.max("n_shingles").alias("n_shingles"), F.size(F.collect_set(F.when(~F.col("band"), F.col("key")))).alias("n_found"), F.max("band").alias("retrieved"),
+    )
     enough = merged.filter(F.col("retrieved") & (F.col("n_found") >= F.lit(least) * F.col("n_shingles")))
     best = enough.groupBy("id", "license").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_found").alias("n_found"))
     return best.select(F.col("id").alias(id_column), "license", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
