@@ -5,8 +5,10 @@ They are sorted deep-shallow, but only where more than one document can be invol
 
 0. Of identical documents only the first goes on; the others are removed as a whole.
 1. Every window of ``length`` bytes has one anchor, the place with the smallest hash of
-   ``K`` bytes inside it.  Equal windows have equal anchors, so two documents can only
-   share a window if they share an anchor's bytes.  About one place in 14 is an anchor.
+   ``K`` bytes inside it.  Of the other bytes of a window at least half stand before its anchor,
+   or more than half behind it; an anchor's windows of either kind go by a hash of the anchor with
+   these bytes.  Equal windows have equal anchors and are of one kind, so two documents can only
+   share a window if they share such a hash.  About one place in 14 is an anchor.
 2. Blocks of documents send the sorted hashes of their anchors to buckets and get one bit
    for each back: does another block have it, too?  Anchors of one document only go.
 3. For the rest, blocks send each anchor's surroundings: the bytes of all windows that
@@ -61,7 +63,7 @@ def _words_at(data: np.ndarray, offset: int, n: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, copies: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(place, hash, first window, last window) of each anchor; windows are given by their first byte.
+    """(place, hash, first window, last window) of each anchor, once for each kind of its windows; windows are given by their first byte.
 
     ``data`` is followed by at least 64 more bytes; windows lie inside one document, none in the documents ``copies``.
     """
@@ -77,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, copies: np.ndarr
 
 
 def _slice_anchors(data: np.ndarray, windows: np.ndarray, start: int, stop: int, length: int) -> tuple[np.ndarray, ...]:
-    """The anchors of windows that begin in start .. stop; they depend on nothing but the windows' own bytes."""
+    """The anchors of windows that begin in start .. stop; they and their hashes depend on nothing but the windows' own bytes."""
     span = length - K + 1
     places = stop - start + span - 1
     with np.errstate(over="ignore"):
@@ -95,8 +97,20 @@ def _slice_anchors(data: np.ndarray, windows: np.ndarray, start: int, stop: int,
     own = (lowest[windows - start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     change = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     last = np.concatenate([change[1:], [len(own)]]) - 1
-    place = own[change]
-    return place + start, h[place], windows[change], windows[last]
+    place, low, high = own[change], windows[change], windows[last]
+    # windows up to this place have so many bytes before the anchor, later ones at least so many behind it
+    before = (length - K) // 2
+    behind = length - K - before + 1
+    turn = place + start - before
+    early, late = np.flatnonzero(low <= turn), np.flatnonzero(high > turn)
+    with np.errstate(over="ignore"):
+        wider = lambda p, q, salt: mixed(h[p] * np.uint64(0x9E3779B97F4A7C15) ^ mixed(h[q] + np.uint64(salt)))
+        keys = np.concatenate([wider(place[early], place[early] - before, 1), wider(place[late], place[late] + behind, 2)])
+    kind = np.concatenate([early, late])
+    first = np.concatenate([low[early], np.maximum(low[late], turn[late] + 1)])
+    last = np.concatenate([np.minimum(high[early], turn[early]), high[late]])
+    order = np.argsort(first, kind="stable")
+    return place[kind][order] + start, keys[order], first[order], last[order]
 
 
 def _surroundings(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
