@@ -25,16 +25,16 @@ from roomtrace.llm.common import table
 from roomtrace.llm.vectors import matrix, usable
 from roomtrace.plans.scratch import materialize, scratch_dir
 
-#: Listed neighbours of a node, trees of blocks, nodes in a block, rounds of descent.
-LISTED, TREES, BLOCK, DESCENTS = 24, 8, 2048, 2
+#: Listed neighbours of a node, trees of blocks, nodes in a block.
+LISTED, TREES, BLOCK = 24, 8, 2048
+#: Rounds of descent go on until a round changes at most this share of all list entries.
+SETTLED = 0.02
 #: Nodes that meet in one group of a descent; a node with more neighbours has several groups.
 MEETING, PROPOSED = 64, 8
 #: Width of a query's beam and nodes that it expands at a time.
 BEAM, EXPANDED = 256, 64
 #: Rows that fix the medians of the projections (a bounded sample; all rows are indexed).
 SAMPLE = 4096
-#: Vectors of which the scores of one query are reported exactly after the search.
-RESCORED = 64
 
 
 def encode(vectors: np.ndarray) -> list[bytes]:
@@ -174,12 +174,24 @@ def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return best_lists(lists.unionByName(as_pairs(found)))
 
 
+def changed_share(before: DataFrame, after: DataFrame) -> float:
+    """The share of the list entries of ``after`` that are not in ``before``."""
+    both = after.select("node", "near").join(before.select("node", F.col("near").alias("old")), "node", "left")
+    fresh = F.size(F.array_except("near.id", F.coalesce("old.id", F.array().cast("array<bigint>"))))
+    fresh, total = both.agg(F.sum(fresh), F.sum(F.size("near"))).first()
+    return fresh / total if total else 0.0
+
+
 def build_graph(nodes: DataFrame) -> DataFrame:
-    """(node, near): each node's list after the blocks and the rounds of descent."""
+    """(node, near): each node's list after the blocks and as many rounds of descent as it takes to settle.
+
+    A round only puts better entries in the place of worse ones, so the rounds end.
+    """
     lists = best_lists(as_pairs(first_lists(nodes, nodes.count())))
-    for _ in range(DESCENTS):
-        lists = descend(lists, nodes)
-    return lists
+    while True:
+        before, lists = lists, descend(lists, nodes)
+        if changed_share(before, lists) <= SETTLED:
+            return lists
 
 
 def write_graph(lists: DataFrame, nodes: DataFrame) -> str:
@@ -261,13 +273,12 @@ def nearest(rows: DataFrame, is_query, k: int, id_column: str = "vec_id", vector
     queries = nodes.select(F.col("node").alias("query"), "code").join(asked, "query", "left_semi").join(start, "query")
     name = write_graph(lists, nodes)
     try:
-        beams = greedy_search(queries, spark.table(name))
+        beams = greedy_search(queries, spark.table(name), max(BEAM, 2 * k))
     finally:
         spark.sql(f"DROP TABLE {name}")
 
     own = F.array(F.col("query"))  # rows with the query's own vector are its neighbours, too
-    wide = max(RESCORED, 2 * k)
-    candidates = beams.select("query", F.explode(F.array_union(own, F.slice("ids", 1, wide))).alias("node"))
+    candidates = beams.select("query", F.explode(F.array_union(own, "ids")).alias("node"))
     vectors = nodes.select("node", "vector")
     scored = candidates.join(vectors, "node").join(vectors.select(F.col("node").alias("query"), F.col("vector").alias("asked")), "query")
     product = F.aggregate(F.zip_with("vector", "asked", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
@@ -286,4 +297,5 @@ def nearest(rows: DataFrame, is_query, k: int, id_column: str = "vec_id", vector
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    """The k nearest other rows of every twentieth vector, by inner product; zero and unusable vectors take no part."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k).withColumnRenamed("id", "vec_id")
