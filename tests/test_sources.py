@@ -204,3 +204,27 @@ def test_listing_stream_gives_the_first_row_of_each_link_and_tells_late_ones(spa
     assert [(r.row_index, r.days_old) for r in out.where("kind = 'late'").collect()] == [(700, 2)]
     # ages are counted from the event
     assert {r.days_old for r in out.where("row_index = 800").collect()} == {4}
+
+
+def test_links_of_the_listing_stream_share_state(spark):
+    base = scratch_dir(spark, "stream")
+    own = lambda rows: rows.withColumn(K.COL_LINK, F.format_string("x-pr%d.html", F.col("row_index") % 5000))
+    portions = [
+        own(_crawled(spark.range(5000, 10000), "2026-07-27 12:00:00")), own(_crawled(spark.range(2000), "2026-07-27 13:00:00")),
+        _crawled(spark.range(10000, 10001), "2026-08-03 12:00:00", area=""),
+    ]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        for n, portion in enumerate(portions):
+            portion.repartition(3).write.mode("append").parquet(f"{base}/in")
+            with _keyed_state(spark):
+                clean = stream_listings(spark.readStream.schema(portion.schema).parquet(f"{base}/in"), buckets=16)
+                _run(clean.writeStream.format("parquet").option("path", f"{base}/out"), f"{base}/cp")
+            if n == 1:
+                keys = spark.read.format("statestore").option("stateVarName", "open").load(f"{base}/cp").select("key.*")
+                assert keys.columns == ["bucket"] and keys.distinct().count() <= 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    out = spark.read.parquet(f"{base}/out")
+    assert sorted((r.row_index, r.kind) for r in out.collect()) == [(i, "listing") for i in [*range(2000), *range(7000, 10000)]]
