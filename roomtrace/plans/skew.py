@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roomtrace.plans.scratch import materialize
+
+#: Rows of a table looked up in that every task can hold.
+SMALL_ROWS = 4096
 #: Rows of one key that one task may hold; a key with more of them is split into parts of at most about so many.
 HOT_ROWS = 200_000
 #: Longest stretch of one key's rows that a single window group may hold.
@@ -32,12 +36,16 @@ def lookup(
 ) -> DataFrame:
     """Equi-join ``many`` with a table that has one row per key.
 
-    Every key of ``many`` with more than ``hot_rows`` rows is spread over parts of about
+    The table is written when the plan is built, so that its size is known.  One of ``SMALL_ROWS`` rows
+    at most goes to all tasks, and ``many`` stays where it is.  Otherwise every key of ``many`` with more than ``hot_rows`` rows is spread over parts of about
     that size, by a hash of the ``spread`` columns (repeatable, so a recomputed task
     gives the same rows); only the matching rows of ``unique`` are repeated, once for
     each part.  Keys are counted at every size; the table of hot keys is a fraction
     1 / ``hot_rows`` of the rows at most and joined as the optimizer sees fit.
     """
+    unique = materialize(unique, "unique")
+    if unique.count() <= SMALL_ROWS:
+        return many.join(F.broadcast(unique), keys, how)
     hot = hot_keys(many.select(*keys), keys, hot_rows)
     part = lambda parts: F.pmod(F.xxhash64(*[F.col(c) for c in spread]), parts).cast("int")
     unmatchable = reduce(Column.__or__, [F.col(c).isNull() for c in keys])

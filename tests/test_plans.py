@@ -227,3 +227,59 @@ def test_details_and_bookings_agree_over_either_layout(spark):
         for x in (rows, ListingsById(spark, path, folders=8))
     ]
     assert answers[0] == answers[1] and "status=404" in str(answers[0]) and "status=201" in str(answers[0])
+
+
+def _no_small_joins(spark):
+    """As with tables too large for the optimizer's own broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    return lambda: spark.conf.set(name, before)
+
+
+def test_few_losers_leave_without_moving_whole_rows_at_any_size(spark, monkeypatch):
+    path = scratch_dir(spark, "t")
+    spark.range(600).selectExpr("id AS row_index", "concat('u', id % 590) AS url", "repeat('wide ', 50) AS description").write.parquet(path)
+    reset = _no_small_joins(spark)
+    try:
+        found = LS.dedup_by_link(spark.read.parquet(path))
+        exchanged = [line for line in physical(found).splitlines() if "Exchange hashpartitioning(row_index" in line]
+        assert exchanged == [] and sorted(r.row_index for r in found.collect()) == list(range(590))
+        # many of them: rows are dealt by index, but not sorted
+        monkeypatch.setattr(LS, "FEW_ROWS", 5)
+        found = LS.dedup_by_link(spark.read.parquet(path))
+        plan = physical(found)
+        assert "ShuffledHashJoin" in plan and "Sort [row_index" not in plan and sorted(r.row_index for r in found.collect()) == list(range(590))
+    finally:
+        reset()
+
+
+def test_a_small_table_is_looked_up_where_the_rows_are(spark, monkeypatch):
+    many = spark.range(20_000).selectExpr("id", "id % 300 AS k", "repeat('wide ', 20) AS text")
+    unique = spark.range(200).selectExpr("id AS k", "id * 2 AS v")
+    reset = _no_small_joins(spark)
+    try:
+        found = skew.lookup(many, unique, ["k"], ["id"])
+        plan = physical(found)
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert found.count() == 20_000 and found.where("v = k * 2").count() == found.where("k < 200").count()
+        monkeypatch.setattr(skew, "SMALL_ROWS", 100)
+        again = skew.lookup(many, unique, ["k"], ["id"])
+        assert sorted(map(str, again.select(found.columns).collect())) == sorted(map(str, found.collect()))
+    finally:
+        reset()
+
+
+def test_derived_inputs_spread_keys_and_not_the_rows_made_from_them(spark, sf_dir, monkeypatch):
+    from catalog import fixtures as X
+
+    seen = []
+    monkeypatch.setattr(X, "_stored", {})
+    monkeypatch.setattr(X, "_ROWS_PER_FILE", 100)
+    monkeypatch.setattr(X, "materialize", lambda df, name: seen.append(df) or df)
+    for build, key in ((X.raw_listings, "o_orderkey"), (X.booking_requests, "o_orderkey"), (X.search_requests, "c_custkey")):
+        rows = build(spark, sf_dir)
+        plan = physical(seen[-1])
+        assert "RoundRobinPartitioning" not in plan and plan.count("Exchange") == 1 and f"Exchange hashpartitioning({key}" in plan
+        # partitions grow with the rows
+        assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-rows.count() // 100))
