@@ -228,3 +228,14 @@ def test_links_of_the_listing_stream_share_state(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     out = spark.read.parquet(f"{base}/out")
     assert sorted((r.row_index, r.kind) for r in out.collect()) == [(i, "listing") for i in [*range(2000), *range(7000, 10000)]]
+
+
+def test_a_larger_crawl_has_more_files(spark, sf_dir, monkeypatch):
+    from catalog import queries as Q
+
+    monkeypatch.setattr(Q, "CRAWL_ROWS", 100, raising=False)
+    path = Q._write_crawl(spark, sf_dir)
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == -(-spark.read.parquet(f"{sf_dir}/orders.parquet").count() // 100)
+    indexed = Q.a2_with_row_index(spark, sf_dir).select("row_index", "link").collect()
+    raw = Q.X.raw_listings(spark, sf_dir).select("row_index", F.coalesce(K.COL_LINK, F.lit("")).alias("link")).collect()
+    assert sorted(map(tuple, indexed)) == sorted(map(tuple, raw))
