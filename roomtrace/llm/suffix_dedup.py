@@ -41,7 +41,7 @@ from roomtrace.plans.scratch import materialize
 K, BLOCK_BYTES = 24, 8 << 20
 #: Windows looked at together.
 SLICE = 1 << 19
-#: Surroundings cut out together; their places take eight times the memory of their bytes.
+#: Surroundings cut out or hashed together.
 ROWS = 1 << 14
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 16 << 20
@@ -69,10 +69,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, copies: np.ndarr
     """
     sizes = np.diff(offsets)
     sizes[copies] = 0
-    windows = ragged(offsets[:-1], np.maximum(sizes - length + 1, 0))
+    begins = offsets[:-1]
+    ends = begins + np.maximum(sizes - length + 1, 0)
     parts = []
+    # a slice's windows only: the numbers of all windows take eight times the memory of the text
     for a in range(0, max(0, int(offsets[-1]) - length + 1), SLICE):
-        some = windows[np.searchsorted(windows, a) : np.searchsorted(windows, a + SLICE)]
+        docs = slice(np.searchsorted(offsets[1:], a, side="right"), np.searchsorted(begins, a + SLICE))
+        low, high = np.maximum(begins[docs], a), np.minimum(ends[docs], a + SLICE)
+        some = ragged(low, np.maximum(high - low, 0))
         if len(some):
             parts.append(_slice_anchors(data, some, int(some[0]), int(some[-1]) + 1, length))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -113,33 +117,53 @@ def _slice_anchors(data: np.ndarray, windows: np.ndarray, start: int, stop: int,
     return place[kind][order] + start, keys[order], first[order], last[order]
 
 
-def _surroundings(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
-    """The bytes from ``length - K`` before each anchor to ``length - K`` behind it, zero outside its own windows."""
-    side = length - K
-    out = np.empty((len(place), K + 2 * side), dtype=np.uint8)
+def _around(data: np.ndarray, length: int) -> np.ndarray:
+    """The bytes from ``length - K`` before each place to ``length - K`` behind the ``K`` bytes that begin there, as a view."""
+    none = np.zeros(length - K, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([none, data, none]), 2 * length - K)
+
+
+def _surroundings(around: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """The bytes around each anchor, zero outside its own windows."""
+    side, width = length - K, around.shape[1]
+    out, column = np.empty((len(place), width), dtype=np.uint8), np.arange(width)
     for a in range(0, len(place), ROWS):
         some = slice(a, a + ROWS)
-        at = place[some, None] + np.arange(-side, K + side)[None, :]
-        inside = (at >= low[some, None]) & (at < (high[some] + length)[:, None])
-        out[some] = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0)
+        first, stop = (low - place)[some] + side, (high - place)[some] + side + length
+        out[some] = around[place[some]]
+        out[some] *= (column >= first[:, None]) & (column < stop[:, None])
     return out
 
 
-def _row_hash(rows: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of each row of bytes, as one 16-byte value."""
-    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), dtype=np.uint8)
-    wide[:, : rows.shape[1]] = rows
-    words = wide.view("<u8")
+def _row_hash(rows: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each row of bytes, with one more byte from each of ``more``, as one 16-byte value."""
+    own, width = rows.shape[1], rows.shape[1] + len(more)
     out = np.zeros((len(rows), 2), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for c in range(2):
-            h = np.full(len(rows), 0x1234567 + c, dtype=np.uint64)
-            for k in range(words.shape[1]):
-                h = mixed((h ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15 + 2 * c))
-            out[:, c] = h
+    for a in range(0, len(rows), ROWS):
+        some = slice(a, a + ROWS)
+        wide = np.zeros((len(rows[some]), -(-width // 8) * 8), dtype=np.uint8)
+        wide[:, :own] = rows[some]
+        for k, x in enumerate(more):
+            wide[:, own + k] = x[some]
+        words = wide.view("<u8")
+        with np.errstate(over="ignore"):
+            for c in range(2):
+                h = np.full(len(words), 0x1234567 + c, dtype=np.uint64)
+                for k in range(words.shape[1]):
+                    h = mixed((h ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15 + 2 * c))
+                out[some, c] = h
     return out
 
 
+def _entry_hash(around: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """Two hashes of the surroundings of each anchor and of which windows own it; the surroundings are not kept."""
+    side, out = length - K, [np.zeros((0, 2), np.uint64)]
+    for a in range(0, len(place), 8 * ROWS):
+        p, x, y = (v[a : a + 8 * ROWS] for v in (place, low, high))
+        out.append(_row_hash(_surroundings(around, p, x, y, length), x - p + side, y - p + side))
+    return np.concatenate(out)
+
+
 def _classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of two numbers: the number of its class for each row, and one row of each class."""
     order = np.lexsort((keys[:, 1], keys[:, 0]))
@@ -246,8 +270,7 @@ def earliest(rows: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarra
     """
     side = length - K
     spans = high - low + 1
-    keys = _row_hash(np.concatenate([rows, low[:, None].astype(np.uint8), high[:, None].astype(np.uint8)], axis=1))
-    label, one = _classes(keys)
+    label, one = _classes(_row_hash(rows, low, high))
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, label, doc)
     # surroundings that are the only ones with their anchor need no sorting: all their windows are the same
@@ -338,6 +361,34 @@ def _distinct(hashes: np.ndarray, buckets: int):
     return bucket[order], distinct[order]
 
 
+def _answers(hashes: np.ndarray, states: list[dict], buckets: int) -> np.ndarray:
+    """What the buckets answered about the hash of each of a block's anchors."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    rest = (hashes >> np.uint64(32)).astype(np.uint32)
+    state = np.zeros(len(hashes), dtype=np.uint8)
+    by_bucket = {s["bucket"]: _unpack(s["state"], np.uint8) for s in states}
+    own_bucket, own = _distinct(hashes, buckets)
+    own_rest = (own >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((rest, bucket))
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+    left, right = np.searchsorted(own_bucket, np.arange(buckets)), np.searchsorted(own_bucket, np.arange(buckets), side="right")
+    for a, b in zip(edges, edges[1:], strict=False):
+        k = int(bucket[order[a]])
+        values = np.sort(own_rest[left[k] : right[k]])
+        state[order[a:b]] = by_bucket[k][np.searchsorted(values, rest[order[a:b]])]
+    return state
+
+
+def _in_two_documents(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the hash of each of a block's anchors stands in two documents of the block."""
+    order = np.lexsort((doc, hashes))
+    firsts = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+    spread = np.minimum.reduceat(doc[order], firsts) != np.maximum.reduceat(doc[order], firsts)
+    out = np.empty(len(hashes), dtype=bool)
+    out[order] = np.repeat(spread, np.diff(np.concatenate([firsts, [len(hashes)]])))
+    return out
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, spans, kept): the bytes of each document that repeat an earlier one, as maximal runs, and the rest.
 
@@ -391,62 +442,46 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
             if not len(place):
                 continue
             doc = ids[np.searchsorted(offsets, low, side="right") - 1]
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            rest = (h >> np.uint64(32)).astype(np.uint32)
-            state = np.zeros(len(h), dtype=np.uint8)
-            by_bucket = {s["bucket"]: _unpack(s["state"], np.uint8) for s in row["states"] or []}
-            own_bucket, own = _distinct(h, buckets)
-            own_rest = (own >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((rest, bucket))
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-            left, right = np.searchsorted(own_bucket, np.arange(buckets)), np.searchsorted(own_bucket, np.arange(buckets), side="right")
-            for a, b in zip(edges, edges[1:], strict=False):
-                k = int(bucket[order[a]])
-                values = np.sort(own_rest[left[k] : right[k]])
-                state[order[a:b]] = by_bucket[k][np.searchsorted(values, rest[order[a:b]])]
-            # within the block: the same anchor in two documents
-            o = np.lexsort((doc, h))
-            new = np.concatenate([[True], h[o][1:] != h[o][:-1]])
-            firsts = np.flatnonzero(new)
-            spread = np.minimum.reduceat(doc[o], firsts) != np.maximum.reduceat(doc[o], firsts)
-            here = np.empty(len(h), dtype=bool)
-            here[o] = np.repeat(spread, np.diff(np.concatenate([firsts, [len(h)]])))
-            keep = (state > 0) | here
-            place, low, high, doc, bucket, state = place[keep], low[keep], high[keep], doc[keep], bucket[keep], state[keep]
+            state = _answers(h, row["states"] or [], buckets)
+            keep = (state > 0) | _in_two_documents(h, doc)
+            bucket = (h[keep] % np.uint64(buckets)).astype(np.int64)
+            place, low, high, doc, state = place[keep], low[keep], high[keep], doc[keep], state[keep]
+            del h, keep
             if not len(place):
                 continue
-            wide = state > 1
+            around, wide = _around(data, length), state > 1
             if wide.any():  # one entry for each window
                 many = (high - low + 1)[wide]
                 single = ragged(low[wide], many)
                 cut = lambda x, n=many, w=wide: np.repeat(x[w], n)
                 p, d = cut(place), cut(doc)
-                rows = _surroundings(data, p, single, single, length)
-                dealt = (_row_hash(rows)[:, 0] % np.uint64(buckets)).astype(np.int64)
+                dealt = (_entry_hash(around, p, single, single, length)[:, 0] % np.uint64(buckets)).astype(np.int64)
                 place, low, high = np.concatenate([place[~wide], p]), np.concatenate([low[~wide], single]), np.concatenate([high[~wide], single])
                 doc, bucket = np.concatenate([doc[~wide], d]), np.concatenate([bucket[~wide], dealt])
-            rows = _surroundings(data, place, low, high, length)
-            first, last = (low - place + side).astype(np.uint8), (high - place + side).astype(np.uint8)
-            keys = _row_hash(np.concatenate([rows, first[:, None], last[:, None]], axis=1))
-            label, one = _classes(keys)
+            # equal surroundings are found by their hashes; only those that are sent are cut out and kept
+            label, one = _classes(_entry_hash(around, place, low, high, length))
+            first, last = (low - place + side)[one].astype(np.uint8), (high - place + side)[one].astype(np.uint8)
             least = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(least, label, doc)
             # entries in the order of the text, and so are nearly all of their uses
+            by = np.argsort(one)
             rank = np.empty(len(one), dtype=np.int64)
-            rank[np.argsort(one)] = np.arange(len(one))
-            label, one = rank[label], np.sort(one)
-            least = least[np.argsort(rank)]
+            rank[by] = np.arange(len(one))
+            label, one, first, last, least = rank[label], one[by], first[by], last[by], least[by]
             entry_bucket = bucket[one]
             order = np.lexsort((low, label, entry_bucket[label]))
             sorted_buckets = entry_bucket[label][order]
+            together = np.argsort(entry_bucket, kind="stable")
+            found, begins, counts = np.unique(entry_bucket[together], return_index=True, return_counts=True)
+            number = np.empty(len(one), dtype=np.int64)
+            number[together] = np.arange(len(one)) - np.repeat(begins, counts)
             out = []
-            for k in np.unique(entry_bucket).tolist():
-                mine = np.flatnonzero(entry_bucket == k)
-                number = np.full(len(one), -1)
-                number[mine] = np.arange(len(mine))
+            for k, begin, count in zip(found.tolist(), begins.tolist(), counts.tolist(), strict=True):
+                mine = together[begin : begin + count]
                 uses = order[np.searchsorted(sorted_buckets, k) : np.searchsorted(sorted_buckets, k, side="right")]
+                at = one[mine]
                 out.append((
-                    k, row["block"], _pack(rows[one[mine]]), _pack(first[one[mine]]), _pack(last[one[mine]]), _pack_steps(least[mine]),
+                    k, row["block"], _pack(_surroundings(around, place[at], low[at], high[at], length)), _pack(first[mine]), _pack(last[mine]), _pack_steps(least[mine]),
                     _pack_steps(number[label[uses]].astype(np.int32)), _pack(doc[uses] - least[label[uses]]), _pack_steps(low[uses].astype(np.int32)),
                 ))
             names = ["bucket", "block", "rows", "first", "last", "least", "use", "doc", "window"]

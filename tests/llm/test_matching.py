@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -63,6 +64,33 @@ def test_suffix_dedup_query(spark, sf_dir):
     assert sorted(tuple(r) for r in suffix_dedup.op1_suffix_dedup(spark, sf_dir).collect()) == brute_spans(rows)
 
 
+def test_anchors_take_little_memory_beside_their_text():
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.integers(97, 123, 8 << 20, dtype=np.uint8), np.zeros(64, np.uint8)])
+    offsets = np.array([0, 3 << 20, 3 << 20, (3 << 20) + 20, 8 << 20])
+    tracemalloc.start()
+    place, _, low, high = suffix_dedup.anchors(data, offsets, 50, np.zeros(0, np.int64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # every window has one anchor, in whichever slice of the text it begins; those of the short document have none
+    windows = np.concatenate([np.arange(a, b - 49) for a, b in [(0, 3 << 20), ((3 << 20) + 20, 8 << 20)]])
+    assert (suffix_dedup.ragged(low, high - low + 1) == windows).all() and ((place >= low) & (place + suffix_dedup.K <= high + 50)).all()
+    # twice the anchors, and a slice
+    assert most < 2 * 4 * place.nbytes + 40 * suffix_dedup.SLICE * 2
+
+
+def test_surroundings_hold_the_windows_of_their_anchor_only():
+    rng = np.random.default_rng(9)
+    data = np.concatenate([rng.integers(1, 255, 90_000, dtype=np.uint8), np.zeros(64, np.uint8)])
+    place, _, low, high = suffix_dedup.anchors(data, np.array([0, 90_000]), 50, np.zeros(0, np.int64))
+    around, side = suffix_dedup._around(data, 50), 50 - suffix_dedup.K
+    rows = suffix_dedup._surroundings(around, place, low, high, 50)
+    for p, a, b, row in [(place[k], low[k], high[k], rows[k]) for k in (0, 1, len(place) // 2, len(place) - 1)]:
+        assert bytes(row) == bytes(a - p + side) + bytes(data[a : b + 50]) + bytes(p + suffix_dedup.K + side - b - 50)
+    whole = suffix_dedup._row_hash(rows, low - place + side, high - place + side)
+    assert (suffix_dedup._entry_hash(around, place, low, high, 50) == whole).all()
+
+
 def test_deep_shallow_sorts():
     r = np.random.default_rng(5)
     rows = r.choice(np.frombuffer(b"ab", np.uint8), size=(40, 76))
