@@ -58,6 +58,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarra
     unit_owner = np.repeat(owner, units)
     level = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
     share = np.minimum(1.0, np.repeat(weights, units) - level)  # how much of the unit belongs to the element
+    whole = bool((share == 1.0).all())
     with np.errstate(over="ignore"):
         strip = mixed(np.repeat(elements, units) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     total = np.bincount(owner, weights=weights, minlength=sets)
@@ -65,36 +66,40 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarra
     waiting = total > 0
     limit = np.where(waiting, expected / np.maximum(total, 1e-12), 0.0)
     while waiting.any():
-        rank_limit = np.where(waiting, limit, 0.0)
         live = np.flatnonzero(waiting[unit_owner])
-        rank = np.zeros(len(live))
-        dart = strip[live]
+        rank, dart, own = np.zeros(len(live)), strip[live], unit_owner[live]
+        most, part = limit[own], None if whole else share[live]
         ranks, darts, owners = [], [], []
-        while len(live):
+        while len(own):
             with np.errstate(over="ignore"):
                 dart = mixed(dart + np.uint64(0xD1B54A32D192ED03))
-            rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53))
-            below = rank < rank_limit[unit_owner[live]]
-            live, rank, dart = live[below], rank[below], dart[below]
+            rank -= np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * (1 / (1 << 53)))
+            below = np.flatnonzero(rank < most)
+            rank, dart, own, most = rank[below], dart[below], own[below], most[below]
+            if whole:
+                # copies of the ranks, as these go on
+                ranks.append(rank.copy())
+                darts.append(dart)
+                owners.append(own)
+                continue
+            part = part[below]
             with np.errstate(over="ignore"):
                 place = mixed(dart ^ np.uint64(0xA0761D6478BD642F))
-            inside = (place >> np.uint64(11)).astype(np.float64) / float(1 << 53) < share[live]
+            inside = (place >> np.uint64(11)).astype(np.float64) * (1 / (1 << 53)) < part
             ranks.append(rank[inside])
             darts.append(dart[inside])
-            owners.append(unit_owner[live[inside]])
+            owners.append(own[inside])
         ranks, darts, owners = np.concatenate(ranks), np.concatenate(darts), np.concatenate(owners)
         with np.errstate(over="ignore"):
             name = mixed(darts + np.uint64(0x2545F4914F6CDD1D))
         slot = owners * coordinates + (name % np.uint64(coordinates)).astype(np.int64)
-        order = np.lexsort((ranks, slot))
-        slot, name = slot[order], name[order]
-        first = np.ones(len(slot), dtype=bool)
-        first[1:] = slot[1:] != slot[:-1]
-        filled = np.bincount(slot[first] // coordinates, minlength=sets) == coordinates
-        ready = waiting & filled
-        use = first & ready[slot // coordinates]
+        earliest = np.full(sets * coordinates, np.inf)
+        np.minimum.at(earliest, slot, ranks)
+        ready = waiting & np.isfinite(earliest).reshape(sets, coordinates).all(axis=1)
+        # of equal ranks the first dart, written last
+        use = np.flatnonzero((ranks == earliest[slot]) & ready[owners])[::-1]
         out.reshape(-1)[slot[use]] = name[use]
-        waiting &= ~filled
+        waiting &= ~ready
         limit *= 2
     return out
 

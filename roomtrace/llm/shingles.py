@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 
 from roomtrace.llm.common import text_bytes
 
-WORD = re.compile(r"\w+")
+#: A word, or the end of a token.
+WORD_OR_END = re.compile(r"\w+|\n")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = np.uint64(0x100000001B3)
@@ -19,9 +20,12 @@ LONG_WORD = 256
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers evenly (one to one)."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX2
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _MIX2
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,13 +40,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = spaced.flatten().dictionary_encode()
     if not len(coded):
         return np.zeros(0, np.uint64), firsts
-    words, counts = [], []
-    for token in coded.dictionary.to_pylist():
-        found = WORD.findall(token.lower())
-        words += found
-        counts.append(len(found))
-    counts = np.array(counts, dtype=np.int64)
-    hashes = string_hashes(pa.array(words, pa.string()))
+    # all tokens at once, as a call for each costs more than its words; a token holds no line end
+    tokens = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    found = pa.array(WORD_OR_END.findall("\n".join(tokens).lower() + "\n"), pa.string())
+    end = pc.equal(found, "\n").to_numpy(zero_copy_only=False)
+    hashes = string_hashes(found.filter(pa.array(~end)))
+    ends_at = np.flatnonzero(end)
+    counts = np.diff(ends_at, prepend=-1) - 1
     starts = np.cumsum(counts) - counts
     codes = coded.indices.to_numpy(zero_copy_only=False)
     sizes = counts[codes]

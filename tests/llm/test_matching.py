@@ -291,6 +291,58 @@ def test_darts_agree_as_often_as_the_sets_are_similar():
     assert (a != 0).all() and abs((a == b).mean() - want) < 0.04
 
 
+def test_darts_are_the_earliest_of_each_coordinate():
+    # written out dart by dart, for whole and for partial units
+    rng = np.random.default_rng(11)
+    for weights in (rng.integers(1, 4, 30).astype(float), rng.uniform(0.1, 3.0, 30)):
+        elements, starts, n = rng.integers(0, 1 << 63, 30, dtype=np.uint64), np.array([0, 10, 10, 30]), 8
+        found = near_dedup.dart_signatures(elements, weights, starts, n)
+        assert not found[1].any()
+        for k in (0, 2):
+            total, best = weights[starts[k] : starts[k + 1]].sum(), {}
+            limit = (n * np.log(n) + 2 * n) / total
+            while len(best) < n:
+                best = {}
+                for i in range(starts[k], starts[k + 1]):
+                    for level in range(int(np.ceil(weights[i]))):
+                        with np.errstate(over="ignore"):
+                            dart, rank = shingles.mixed(elements[i : i + 1] + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)), 0.0
+                            while True:
+                                dart = shingles.mixed(dart + np.uint64(0xD1B54A32D192ED03))
+                                rank -= np.log((float(dart[0] >> np.uint64(11)) + 0.5) / (1 << 53))
+                                if rank >= limit:
+                                    break
+                                place = shingles.mixed(dart ^ np.uint64(0xA0761D6478BD642F))
+                                if float(place[0] >> np.uint64(11)) / (1 << 53) < min(1.0, weights[i] - level):
+                                    name = int(shingles.mixed(dart + np.uint64(0x2545F4914F6CDD1D))[0])
+                                    best[name % n] = min(best.get(name % n, (np.inf, 0)), (rank, name))
+                limit *= 2
+            assert found[k].tolist() == [best[c][1] for c in range(n)]
+
+
+def test_signing_takes_less_time_than_as_many_additions():
+    rng = random.Random(12)
+    texts = pa.array([" ".join(f"{rng.randrange(1 << 40):x}," for _ in range(400)) for _ in range(512)])
+    seconds = []
+    for _ in range(3):
+        start = time.process_time()
+        near_dedup.dart_signatures(*shingles.weighted(*shingles.shingle_hashes(texts, 5)), 160)
+        seconds.append(time.process_time() - start)
+    unit = time.process_time()
+    sum(range(20_000_000))  # what this machine takes for additions, as its speed varies
+    unit = time.process_time() - unit
+    assert min(seconds) < unit
+
+
+def test_words_of_tokens_taken_together_are_those_of_each():
+    tokens = ["ΟΔΟΣ", "Σ", "İstanbul,x", "a-b_c", "--", "Straße", "ΑΣ.", "\u2028x\ty", "\rΣ'", "日本", "x"]
+    texts = pa.array(["  ".join(tokens), "\n".join(reversed(tokens)), "", "--", "ΟΔΟΣ\nΑΣ Σ"])
+    words = [[w for token in re.split("[ \n]", t) for w in re.findall(r"\w+", token.lower())] for t in texts.to_pylist()]
+    hashes, firsts = shingles.word_hashes(texts)
+    assert np.diff(firsts).tolist() == [len(w) for w in words]
+    assert (hashes == shingles.string_hashes(pa.array([w for ws in words for w in ws]))).all()
+
+
 def test_one_bit_of_each_coordinate_tells_sets_apart():
     r = np.random.default_rng(4)
     elements = r.integers(0, 1 << 62, size=120).astype(np.uint64)
