@@ -1,8 +1,10 @@
 """Vectors as packed blocks, shared by the two searches."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,3 +57,48 @@ def matrix(column: pa.Array, dtype) -> np.ndarray:
 
 def unpack(blob: bytes, dtype, rows: int) -> np.ndarray:
     return np.frombuffer(blob, dtype=dtype).reshape(rows, -1)
+
+
+def smallest(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest type that holds them all."""
+    for kind in (np.int8, np.int16, np.int32):
+        limit = np.iinfo(kind)
+        if x.size and limit.min <= x.min() and x.max() <= limit.max and np.array_equal(y := x.astype(kind), x):
+            return y
+    return x.astype(np.float64)
+
+
+#: Rows of the asked side that a cell of a grid keeps in memory, and of the other side that it sorts, at most.
+CELL_ASKED, CELL_HELD = 1 << 16, 1 << 20
+
+
+def grid(spark: SparkSession, asked: int, asked_bytes: int, held: int, held_bytes: int) -> tuple[int, int]:
+    """(groups of asked rows, groups of held rows) of a grid in which every asked row meets every held one.
+
+    The cells are as many as a shuffle has partitions, or more where a group would pass the limits of a cell.  Each asked row is sent
+    once for each group of held rows and the other way round, so of all such grids the one is taken that sends the fewest bytes.
+    """
+    cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    down = min(cells, max(1, round(math.sqrt(cells * asked * asked_bytes / max(1, held * held_bytes)))))
+    down = max(down, -(-asked // CELL_ASKED))
+    return down, max(1, -(-cells // down), -(-held // CELL_HELD))
+
+
+def meet(asked: DataFrame, held: DataFrame, down: int, across: int) -> DataFrame:
+    """The rows of both, each in all cells of its group in a grid of ``down`` by ``across``, a cell for each task: ``cell``, ``side`` (0 asked, 1 held), columns.
+
+    The column ``at`` numbers the rows of either side.  A cell's asked rows come before its held ones.  Nothing is joined, so nothing
+    is broadcast, and a task reads the held rows as a stream.
+    """
+    own = (F.pmod("at", F.lit(down)) * across).cast("int")
+    row = F.pmod("at", F.lit(across)).cast("int")
+    left = asked.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda a: own + a))).withColumn("side", F.lit(0))
+    right = held.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda a: a * across + row))).withColumn("side", F.lit(1))
+    both = left.drop("at").unionByName(right.drop("at"), allowMissingColumns=True)
+    return both.repartitionById(down * across, F.col("cell")).sortWithinPartitions("cell", "side")
+
+
+def numbered(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows with ``at``, a number of their own, in turn from each of the ``parts`` partitions."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("at", place * parts + F.spark_partition_id())
