@@ -11,15 +11,13 @@ blocks meets in one.  A task keeps its queries, reads its candidates as a stream
 of each query leave it.
 """
 
-from decimal import Decimal
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roomtrace.llm.common import table
-from roomtrace.llm.vectors import EXACT, as_long, grid, matrix, meet, numbered, smallest, unpack, usable
+from roomtrace.llm.vectors import EXACT, as_decimals, as_long, first_k, grid, matrix, meet, numbered, smallest, unpack, usable
 from roomtrace.plans.scratch import materialize
 
 PIVOTS = 16
@@ -130,13 +128,6 @@ def best_of_block(q_ids, queries, q_near, ids, vectors, near, k: int, known: np.
     return a, x, exact
 
 
-def first_k(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """The positions of each query's k best by falling score, ties to the smaller id, one query after another."""
-    order = np.lexsort((ids, -scores, queries)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (queries[i], -scores[i], ids[i])), dtype=np.int64)
-    held = queries[order]
-    return order[np.arange(len(held)) - np.searchsorted(held, held) < k]
-
-
 class Asked:
     """A block of queries and the k best of each among the candidates seen so far."""
 
@@ -155,8 +146,7 @@ class Asked:
         self.known[full] = self.scores[np.cumsum(counts)[full] - 1].astype(np.float64)
 
     def answer(self) -> pa.RecordBatch:
-        scores = pa.array([Decimal(int(s)) for s in self.scores], pa.decimal128(38, 0)) if self.scores.dtype == object else pa.array(self.scores).cast(pa.decimal128(38, 0))
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.found), scores], ["query_id", "id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.found), as_decimals(self.scores)], ["query_id", "id", "score"])
 
 
 def exact_top_k(rows: DataFrame, is_query, k: int, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = PIVOTS) -> DataFrame:

@@ -11,17 +11,18 @@ round's smallest threshold over the anchor's norm.  A shard of the index holds t
 block by how much of them is indexed; the posting list of a dimension is then a
 run of the first rows.  Anchors go through the posting lists, heaviest first; scores accumulate, and what is left of both
 norms prunes pairs.  The few pairs that last are completed from the dimensions left out.
-"""
 
-from decimal import Decimal
+A grid deals blocks of anchors and shards to tasks.  A task keeps its anchors and the first k rows of their windows so far, which
+raise an anchor's threshold, and reads its shards as a stream; only the first k of each window leave it.
+"""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import table
-from roomtrace.llm.vectors import as_long, matrix, whole_vectors
+from roomtrace.llm.common import ragged, table
+from roomtrace.llm.vectors import as_decimals, as_long, first_k, grid, matrix, meet, numbered, smallest, whole_vectors
 from roomtrace.plans.scratch import materialize
 
 SCALE = 256
@@ -38,17 +39,17 @@ SLACK = 1e-9
 
 
 def packed_rows(held: DataFrame, order: list[int]) -> DataFrame:
-    """Blocks of up to ``SHARD`` rows of (id, label, x): their vectors with the dimensions in the given order."""
+    """Blocks of up to ``SHARD`` rows of (id, label, x): their vectors, of the type ``kind``, with the dimensions in the given order."""
 
     def pack(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, SHARD):
                 part = batch.slice(a, SHARD)
-                x = matrix(part.column(2), np.float64)[:, order]
+                x = smallest(matrix(part.column(2), np.float64)[:, order])
                 ids, labels = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, labels, np.ascontiguousarray(x))], ["ids", "labels", "vectors"])
+                yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "labels": [labels.tobytes()], "kind": [x.dtype.str], "vectors": [x.tobytes()]})
 
-    return held.mapInArrow(pack, "ids binary, labels binary, vectors binary")
+    return held.mapInArrow(pack, "ids binary, labels binary, kind string, vectors binary")
 
 
 def remaining_norms(x: np.ndarray) -> np.ndarray:
@@ -63,25 +64,25 @@ def remaining_norms(x: np.ndarray) -> np.ndarray:
 def indexed(blocks: DataFrame, dims: int, least: float) -> DataFrame:
     """The inverted index for scores of ``least`` and more times the anchor's norm, a shard for each block.
 
-    ``ends`` says how many rows each posting list has; ``vectors`` holds the lists one after another, each with the values
-    of all rows of the shard, those in the list first.
+    ``ends`` says how many rows each posting list has; ``lists`` holds the lists one after another, each with the values
+    of all rows of the shard, those in the list first, as numbers of the type ``kind``.
     """
     starts = list(range(0, dims, WIDTH))
 
     def invert(batches):
         for batch in batches:
-            for ids, labels, vectors in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                x = np.frombuffer(vectors, dtype=np.float64).reshape(-1, dims)
-                rest = remaining_norms(x)
-                depth = (rest[:, :-1] >= least * (1 - SLACK)).sum(axis=1)
+            for row in range(batch.num_rows):
+                ids, labels, kind, vectors = (c[row].as_py() for c in batch.columns)
+                x = np.frombuffer(vectors, dtype=kind).reshape(-1, dims)
+                depth = (remaining_norms(x.astype(np.float64))[:, :-1] >= least * (1 - SLACK)).sum(axis=1)
                 by_depth = np.argsort(-depth, kind="stable")
-                x, rest, depth = x[by_depth], rest[by_depth], depth[by_depth]
+                x, depth = x[by_depth], depth[by_depth]
                 ends = np.array([(depth > k).sum() for k in range(len(starts))], dtype=np.int64)
                 held = [np.frombuffer(b, dtype=np.int64)[by_depth] for b in (ids, labels)]
                 lists = b"".join(np.ascontiguousarray(x[:, a : a + WIDTH]).tobytes() for a in starts)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in (held[0].tobytes(), held[1].tobytes(), lists, rest.tobytes(), ends.tobytes())], ["ids", "labels", "lists", "rest", "ends"])
+                yield pa.RecordBatch.from_pydict({"ids": [held[0].tobytes()], "labels": [held[1].tobytes()], "kind": [kind], "lists": [lists], "ends": [ends.tobytes()]})
 
-    return blocks.mapInArrow(invert, "ids binary, labels binary, lists binary, rest binary, ends binary")
+    return blocks.mapInArrow(invert, "ids binary, labels binary, kind string, lists binary, ends binary")
 
 
 def pairs_above(q: np.ndarray, q_rest: np.ndarray, least: np.ndarray, lists: list[np.ndarray], rest: np.ndarray, ends: np.ndarray):
@@ -122,50 +123,114 @@ def _exact(a: np.ndarray, r: np.ndarray, q: np.ndarray, lists: list[np.ndarray])
     return out
 
 
-def of_windows(a, r, scores, ids, windows: list[list[tuple]], k: int):
-    """(anchor, window, row, score): the first ``k`` rows of each window by score, ties to the smaller id.
+#: Scores that are exact as doubles are smaller in size.
+WHOLE = 1 << 52
+
 
-    ``windows`` has for each anchor its windows (name, lowest, highest); None is no limit.
+class Windows:
+    """The windows of a block of anchors, one anchor after another, and the first ``k`` rows of each among those seen so far.
+
+    ``known`` is the score of a window's last row, or minus infinity as long as it has fewer than k.
     """
-    order = np.lexsort((ids[r], -scores, a)) if scores.dtype != object else np.array(sorted(range(len(a)), key=lambda i: (a[i], -scores[i], ids[r[i]])), dtype=np.int64)
-    a, r, scores = a[order], r[order], scores[order]
-    firsts = np.searchsorted(a, np.arange(len(windows) + 1))
-    anchors, names, chosen = [], [], []
-    for i, own in enumerate(windows):
-        down = -scores[firsts[i] : firsts[i + 1]]
-        for name, low, high in own:
-            begin = 0 if high is None else int(np.searchsorted(down, -high, side="left"))
-            end = len(down) if low is None else int(np.searchsorted(down, -low, side="right"))
-            found = np.arange(begin, min(end, begin + k)) + firsts[i]
-            anchors.append(np.full(len(found), i))
-            names.append(np.full(len(found), name, dtype=np.int32))
-            chosen.append(found)
-    none = np.zeros(0, np.int64)
-    at = np.concatenate([*chosen, none]).astype(np.int64)
-    return np.concatenate([*anchors, none]).astype(np.int64), np.concatenate([*names, none]).astype(np.int32), r[at], scores[at]
+
+    def __init__(self, windows: list[list[tuple]], k: int):
+        flat = [(i, *w) for i, own in enumerate(windows) for w in own]
+        self.k, self.of = k, np.array([w[0] for w in flat], dtype=np.int64)
+        self.names = np.array([w[1] for w in flat], dtype=np.int32)
+        self.low = [w[2] for w in flat]
+        self.high = [w[3] for w in flat]
+        clipped = lambda values, none: np.array([none if v is None else max(-WHOLE, min(WHOLE, v)) for v in values], dtype=np.int64)
+        self.low_whole, self.high_whole = clipped(self.low, -WHOLE), clipped(self.high, WHOLE)
+        self.known = np.full(len(flat), -np.inf)
+        self.window, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+
+    def least(self, anchors: int) -> np.ndarray:
+        """For each anchor the score below which no row is among the first k of any of its windows."""
+        out = np.full(anchors, np.inf)
+        np.minimum.at(out, self.of, self.known)
+        return np.where(np.isinf(out), -np.inf, out)
+
+    def choose(self, f: int, until: int, a: np.ndarray, r: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(windows, places in r) of the first rows of each window of the anchors ``f`` to ``until``, by score, ties to the smaller id; ``a`` counts from f."""
+        first, last = np.searchsorted(self.of, [f, until])
+        order = np.lexsort((ids[r], -scores, a)) if scores.dtype != object else np.array(sorted(range(len(a)), key=lambda i: (a[i], -scores[i], ids[r[i]])), dtype=np.int64)
+        a, scores, of = a[order], scores[order], self.of[first:last] - f
+        if scores.dtype == object:
+            begin, end = np.searchsorted(a, of), np.searchsorted(a, of, side="right")
+            for n, w in enumerate(range(first, last)):
+                down = -scores[begin[n] : end[n]]
+                end[n] = begin[n] + (len(down) if self.low[w] is None else int(np.searchsorted(down, -self.low[w], side="right")))
+                begin[n] += 0 if self.high[w] is None else int(np.searchsorted(down, -self.high[w], side="left"))
+        else:
+            # one key that falls with the score within an anchor
+            low = np.maximum(self.low_whole[first:last], np.clip(self.known[first:last], -WHOLE, WHOLE).astype(np.int64))
+            key = a * (4 * WHOLE) + (WHOLE - scores)
+            begin = np.searchsorted(key, of * (4 * WHOLE) + (WHOLE - self.high_whole[first:last]), side="left")
+            end = np.searchsorted(key, of * (4 * WHOLE) + (WHOLE - low), side="right")
+        counts = np.clip(end - begin, 0, self.k)
+        return np.repeat(np.arange(first, last), counts), order[ragged(begin, counts)]
+
+    def add(self, window: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(window):
+            window, ids, scores = np.concatenate([self.window, window]), np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+            best = first_k(window, ids, scores, self.k)
+            self.window, self.ids, self.scores = window[best], ids[best], scores[best]
+            counts = np.bincount(self.window, minlength=len(self.of))
+            full = counts == self.k
+            self.known[full] = self.scores[np.cumsum(counts)[full] - 1].astype(np.float64)
+
+
+class Anchors:
+    """A block of anchors with their windows."""
+
+    def __init__(self, q, ids, labels, x, least, windows: Windows, same: bool):
+        self.q, self.ids, self.labels, self.x, self.least, self.windows, self.same = q, ids, labels, x, least, windows, same
+        self.rest = remaining_norms(x)
+
+    def meet(self, ids, labels, lists: list[np.ndarray], rest: np.ndarray, ends: np.ndarray) -> None:
+        exact = self.rest[:, 0].max() * rest[:, 0].max() < WHOLE
+        least, found = np.maximum(self.least, self.windows.least(len(self.q))), []
+        for f in range(0, len(self.q), TOGETHER):
+            t = slice(f, f + TOGETHER)
+            a, r, score = pairs_above(self.x[t], self.rest[t], least[t], lists, rest, ends)
+            fits = (ids[r] != self.ids[t][a]) & ((labels[r] == self.labels[t][a]) == self.same)
+            a, r = a[fits], r[fits]
+            score = score[fits].astype(np.int64) if exact else _exact(a, r, self.x[t], lists)
+            w, at = self.windows.choose(f, f + TOGETHER, a, r, score, ids)
+            found.append((w, ids[r[at]], score[at]))
+        self.windows.add(*(np.concatenate(part) for part in zip(*found)))
+
+    def answer(self) -> pa.RecordBatch:
+        w = self.windows
+        return pa.RecordBatch.from_arrays([pa.array(self.q[w.of[w.window]]), pa.array(w.names[w.window]), pa.array(w.ids), as_decimals(w.scores)], ["q", "w", "id", "score"])
 
 
 FIELDS = {"q": "long", "id": "long", "label": "long", "x": "array<double>", "least": "double", "windows": "array<struct<w:int,p:decimal(38,0)>>"}
 
 
-def _anchor_blocks(live: DataFrame, count: int) -> DataFrame:
-    """Up to ``BLOCK`` anchors a row, every field an array."""
+def _anchor_blocks(live: DataFrame, count: int, order: list[int]) -> DataFrame:
+    """Up to ``BLOCK`` anchors a row, every field an array, but for the vectors, which are bytes with the dimensions in the given order; numbered."""
+    kinds = {c: f"array<{kind}>" for c, kind in FIELDS.items()} | {"x": "binary"}
 
     def gather(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
                 one = pa.array(np.array([0, part.num_rows], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, c) for c in part.columns], part.schema.names)
+                x = smallest(matrix(part.column("x"), np.float64)[:, order])
+                columns = [pa.array([x.tobytes()], pa.binary()) if c == "x" else pa.ListArray.from_arrays(one, part.column(c)) for c in FIELDS]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.dtype.str])], [*FIELDS, "kind"])
 
-    few = live.select([F.col(c).cast(kind).alias(c) for c, kind in FIELDS.items()]).repartition(max(1, -(-count // BLOCK)))
-    return few.mapInArrow(gather, ", ".join(f"{c} array<{kind}>" for c, kind in FIELDS.items()))
+    blocks = max(1, -(-count // BLOCK))
+    few = live.select([F.col(c).cast(kind).alias(c) for c, kind in FIELDS.items()]).repartition(blocks)
+    rows = few.mapInArrow(gather, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", kind string")
+    return numbered(rows.withColumnsRenamed({c: f"{c}_of" for c in (*FIELDS, "kind")}), blocks)
 
 
-def _limits(windows, low: int, high: int) -> list[list[tuple]]:
+def _limits(windows: list, low: int, high: int) -> list[list[tuple]]:
     """(name, lowest, highest) of each anchor's windows: whole numbers, None for no limit."""
     span = lambda w: (None, None) if w["p"] is None else (-(-low * int(w["p"]) // 100), high * int(w["p"]) // 100)
-    return [[(w["w"], *span(w)) for w in own] for own in windows.to_pylist()]
+    return [[(w["w"], *span(w)) for w in own] for own in windows]
 
 
 def _one_round(blocks: DataFrame, order: list[int], largest: float, live: DataFrame, part: float, k: int, same: bool, low: int, high: int) -> DataFrame:
@@ -181,39 +246,39 @@ def _one_round(blocks: DataFrame, order: list[int], largest: float, live: DataFr
     threshold = F.array_min(F.transform("windows", lambda w: highest(w["p"]) - (highest(w["p"]) - lowest(w["p"])) * part))
     live = materialize(live.withColumn("least", threshold), "live")
     over_norm = F.when(F.col("norm") > 0, F.col("least") / F.col("norm")).otherwise(F.lit(-1.0))
-    size = live.agg(F.count("*").alias("n"), F.min(over_norm).alias("least")).first()
-    index = materialize(indexed(blocks, dims, size["least"]), "index")
-    groups = max(1, index.count())
-    index = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
+    size = live.agg(F.count("*").alias("n"), F.min(over_norm).alias("least"), F.sum(F.size("windows")).alias("windows")).first()
     # every block of anchors meets every shard: a stated query set against all rows
-    asked = _anchor_blocks(live, size["n"]).select(*[F.col(c).alias(f"{c}_of") for c in FIELDS], every)
-    cells = asked.join(index, "group").drop("group")
+    shards = max(1, blocks.count())
+    down, across = grid(blocks.sparkSession, size["n"], 2 * dims + 16 * k * -(-(size["windows"] or 0) // max(1, size["n"])), shards * SHARD, 2 * dims + 16)
+    down, across = min(down, max(1, -(-size["n"] // BLOCK))), min(across, shards)
+    index = numbered(indexed(blocks, dims, size["least"]), blocks.rdd.getNumPartitions())
+    cells = meet(_anchor_blocks(live, size["n"], order), index, down, across)
+    cells = cells.select("cell", "side", *[f"{c}_of" for c in (*FIELDS, "kind")], "ids", "labels", "kind", "lists", "ends")
 
     def search(batches):
+        now, asked = None, []
         for batch in batches:
-            for b in range(batch.num_rows):
-                q_of, ids_of, labels_of, x_of, least_of, windows_of = (batch.column(c).slice(b, 1).flatten() for c in range(6))
-                ids, labels, lists, rest, ends = (batch.column(c)[b].as_py() for c in range(6, 11))
-                ids, labels, ends = (np.frombuffer(v, dtype=np.int64) for v in (ids, labels, ends))
-                rest = np.frombuffer(rest, dtype=np.float64).reshape(len(ids), -1)
-                values, held = np.frombuffer(lists, dtype=np.float64), []
-                for at in range(0, dims, WIDTH):
-                    wide = min(WIDTH, dims - at)
-                    held.append(values[at * len(ids) : (at + wide) * len(ids)].reshape(len(ids), wide))
-                q = np.ascontiguousarray(matrix(x_of, np.float64)[:, order])
-                q_ids, q_labels, q_rest = ids_of.to_numpy(), labels_of.to_numpy(), remaining_norms(q)
-                least, limits = least_of.to_numpy(), _limits(windows_of, low, high)
-                exact = q_rest[:, 0].max() * rest[:, 0].max() < 1 << 52
-                for f in range(0, len(q), TOGETHER):
-                    t = slice(f, f + TOGETHER)
-                    a, r, score = pairs_above(q[t], q_rest[t], least[t], held, rest, ends)
-                    fits = (ids[r] != q_ids[t][a]) & ((labels[r] == q_labels[t][a]) == same)
-                    a, r = a[fits], r[fits]
-                    score = score[fits].astype(np.int64) if exact else _exact(a, r, q[t], held)
-                    i, w, r, score = of_windows(a, r, score, ids, limits[t], k)
-                    score = pa.array(score).cast(pa.decimal128(38, 0)) if exact else pa.array([Decimal(v) for v in score], pa.decimal128(38, 0))
-                    yield pa.RecordBatch.from_arrays([q_of.take(pa.array(i + f)), pa.array(w), pa.array(ids[r]), score], ["q", "w", "id", "score"])
+            for row in range(batch.num_rows):
+                cell, side = (batch.column(c)[row].as_py() for c in range(2))
+                if cell != now:
+                    yield from (block.answer() for block in asked)
+                    now, asked = cell, []
+                if side == 0:
+                    q, ids, labels, x, least, windows, kind = (batch.column(c)[row].as_py() for c in range(2, 9))
+                    q, ids, labels = (np.array(v, dtype=np.int64) for v in (q, ids, labels))
+                    x = np.frombuffer(x, dtype=kind).reshape(-1, dims).astype(np.float64)
+                    asked.append(Anchors(q, ids, labels, x, np.array(least), Windows(_limits(windows, low, high), k), same))
+                else:
+                    ids, labels, kind, lists, ends = (batch.column(c)[row].as_py() for c in range(9, 14))
+                    ids, labels, ends = (np.frombuffer(v, dtype=np.int64) for v in (ids, labels, ends))
+                    values, held = np.frombuffer(lists, dtype=kind).astype(np.float64), []
+                    for at in range(0, dims, WIDTH):
+                        wide = min(WIDTH, dims - at)
+                        held.append(values[at * len(ids) : (at + wide) * len(ids)].reshape(len(ids), wide))
+                    rest = remaining_norms(np.concatenate(held, axis=1))
+                    for block in asked:
+                        block.meet(ids, labels, held, rest, ends)
+        yield from (block.answer() for block in asked)
 
     found = cells.mapInArrow(search, "q long, w int, id long, score decimal(38,0)")
     first = Window.partitionBy("q", "w").orderBy(F.desc("score"), "id")
@@ -225,19 +290,20 @@ def search_windows(blocks: DataFrame, order: list[int], largest: float, anchors:
 
     ``anchors`` has (q, id, label, x, norm), ``same`` asks for rows of the anchor's label or of another one.
     """
+    # all joins are merges: written tables are a fraction of their rows in memory, so what fits a broadcast by size may not fit the driver
     results, live = [], materialize(windows, "windows")
     for number, part in enumerate(ROUNDS):
         if not live.limit(1).count():
             break
-        asked = anchors.join(live.groupBy("q").agg(F.collect_list(F.struct("w", "p")).alias("windows")), "q")
+        asked = anchors.join(live.groupBy("q").agg(F.collect_list(F.struct("w", "p")).alias("windows")).hint("merge"), "q")
         found = materialize(_one_round(blocks, order, largest, asked, part, k, same, low, high), "found")
         if number + 1 == len(ROUNDS):
             results.append(found)
             break
         # a window is done when its k rows are found: all others above the threshold are behind them
         full = found.filter(F.col("rank") == k).select("q", "w")
-        results.append(found.join(full, ["q", "w"], "left_semi"))
-        live = materialize(live.join(full, ["q", "w"], "left_anti"), "windows")
+        results.append(found.join(full.hint("merge"), ["q", "w"], "left_semi"))
+        live = materialize(live.join(full.hint("merge"), ["q", "w"], "left_anti"), "windows")
     if not results:
         return anchors.sparkSession.createDataFrame([], "q long, w int, id long, score decimal(38,0), rank int")
     out = results[0]
@@ -278,7 +344,7 @@ def hard_negatives(
     below = best.filter(F.col("score") >= 0).select("q", F.col("rank").alias("w"), F.col("score").alias("p"))
     found = search_windows(blocks, order, largest, anchors, below, negatives, False, low, high)
     pairs = best.select("q", F.col("rank").alias("w"), F.col("id").alias("positive_id"), F.col("score").alias("p"))
-    out = found.join(pairs, ["q", "w"]).join(anchors.select("q", F.col("id").alias("anchor_id")), "q")
+    out = found.join(pairs.hint("merge"), ["q", "w"]).join(anchors.select("q", F.col("id").alias("anchor_id")).hint("merge"), "q")
     return out.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), as_long(F.col("p")).alias("positive_score"), as_long(F.col("score")).alias("negative_score"))
 
 

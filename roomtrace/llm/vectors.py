@@ -1,6 +1,7 @@
 """Vectors as packed blocks, shared by the two searches."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,18 @@ def as_long(score: Column) -> Column:
     return F.greatest(F.least(score, most), -most - 1).cast("long")
 
 
+def as_decimals(scores: np.ndarray) -> pa.Array:
+    """Whole numbers, longs or of any size, as decimals."""
+    return pa.array([Decimal(int(s)) for s in scores], pa.decimal128(38, 0)) if scores.dtype == object else pa.array(scores).cast(pa.decimal128(38, 0))
+
+
+def first_k(groups: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The positions of each group's k best by falling score, ties to the smaller id, one group after another."""
+    order = np.lexsort((ids, -scores, groups)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (groups[i], -scores[i], ids[i])), dtype=np.int64)
+    held = groups[order]
+    return order[np.arange(len(held)) - np.searchsorted(held, held) < k]
+
+
 def matrix(column: pa.Array, dtype) -> np.ndarray:
     """The rows of a list column of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)

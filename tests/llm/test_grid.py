@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roomtrace.llm import exact_search, vectors
+from roomtrace.llm import exact_search, hard_negatives, vectors
 from roomtrace.llm.exact_search import exact_top_k
+from tests.llm.test_lines_vectors import brute_negatives
 
 
 def plan(rows) -> str:
@@ -86,3 +87,59 @@ def test_smallest_type_keeps_every_number():
         x = np.array([[0.0, most], [1, -1]])
         held = vectors.smallest(x)
         assert held.dtype.str.endswith(kind) and (held == x).all()
+
+
+# --- hard negatives ---------------------------------------------------------------
+
+
+def labelled(spark, n: int, scale: float):
+    r = np.random.default_rng(n)
+    held = [(k, int(r.integers(3)), [float(c) for c in (r.standard_normal(9) + 0.7) * np.exp(-np.arange(9) / 4) * scale]) for k in range(n)]
+    held += [(n + k, 1, held[k][2]) for k in range(0, n, 9)]  # ties
+    return held, spark.createDataFrame(held, "vec_id long, label int, embedding array<double>").repartition(3)
+
+
+def test_hard_negatives_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], hard_negatives.materialize
+    monkeypatch.setattr(hard_negatives, "materialize", lambda rows, name: (plans.append(plan(rows)), write(rows, name))[1])
+    _, rows = labelled(spark, 60, 1.0)
+    plans.append(plan(hard_negatives.hard_negatives(rows, F.col("id") % 7 == 0)))
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("cells, most", [(1, 1 << 16), (24, 1 << 16), (6, 9)])
+@pytest.mark.parametrize("n, scale", [(230, 1.0), (120, 2e13)])
+def test_hard_negatives_over_a_grid(spark, monkeypatch, cells, most, n, scale):
+    monkeypatch.setattr(hard_negatives, "SHARD", 16)
+    monkeypatch.setattr(hard_negatives, "BLOCK", 4)
+    monkeypatch.setattr(hard_negatives, "TOGETHER", 3)
+    monkeypatch.setattr(vectors, "CELL_ASKED", most)
+    monkeypatch.setattr(vectors, "CELL_HELD", 4 * most)
+    held, rows = labelled(spark, n, scale)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", cells)
+        found = sorted(map(tuple, hard_negatives.hard_negatives(rows, F.col("id") % 10 == 0).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found and found == brute_negatives(held, lambda i: i % 10 == 0)
+
+
+def test_windows_keep_the_first_rows_of_many_shards():
+    r = np.random.default_rng(3)
+    spans = [[(1, None, None), (2, -50, 40)], [(1, 10, 90)], [(1, 0, 0), (2, -200, 200), (3, 500, 600)]]
+    for kind in (np.int64, object):
+        windows, seen = hard_negatives.Windows(spans, 4), []
+        for shard in range(6):
+            ids, scores = np.arange(shard, 300, 6), r.integers(-100, 100, (3, 50))
+            a, at = (v.ravel() for v in np.indices(scores.shape))
+            seen += [(i, int(ids[x]), int(scores[i, x])) for i, x in zip(a, at)]
+            w, place = windows.choose(0, 3, a, at, scores.ravel().astype(kind), ids)
+            windows.add(w, ids[at[place]], scores.ravel().astype(kind)[place])
+        got = [(int(windows.of[w]), int(windows.names[w]), int(i), int(s)) for w, i, s in zip(windows.window, windows.ids, windows.scores)]
+        want = []
+        for i, own in enumerate(spans):
+            for name, low, high in own:
+                best = sorted((-s, x) for j, x, s in seen if j == i and (low is None or s >= low) and (high is None or s <= high))[:4]
+                want += [(i, name, x, -s) for s, x in best]
+        assert got == want
