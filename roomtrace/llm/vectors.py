@@ -81,20 +81,20 @@ def smallest(x: np.ndarray) -> np.ndarray:
     return x.astype(np.float64)
 
 
-#: Rows of the asked side that a cell of a grid keeps in memory, and of the other side that it sorts, at most.
-CELL_ASKED, CELL_HELD = 1 << 16, 1 << 20
+#: Bytes sent of the asked side that a cell of a grid keeps in memory, and of the other side that it sorts, at most.
+CELL_ASKED, CELL_HELD = 32 << 20, 128 << 20
 
 
 def grid(spark: SparkSession, asked: int, asked_bytes: int, held: int, held_bytes: int) -> tuple[int, int]:
     """(groups of asked rows, groups of held rows) of a grid in which every asked row meets every held one.
 
-    The cells are as many as a shuffle has partitions, or more where a group would pass the limits of a cell.  Each asked row is sent
-    once for each group of held rows and the other way round, so of all such grids the one is taken that sends the fewest bytes.
+    The cells are as many as a shuffle has partitions, or more where a group would pass the limits of a cell; the bytes of a row are the
+    caller's estimate, for asked rows with what is found for them.  Each asked row is sent once for each group of held rows and the other way round, so of all such grids the one is taken that sends the fewest bytes.
     """
     cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     down = min(cells, max(1, round(math.sqrt(cells * asked * asked_bytes / max(1, held * held_bytes)))))
-    down = max(down, -(-asked // CELL_ASKED))
-    return down, max(1, -(-cells // down), -(-held // CELL_HELD))
+    down = max(down, -(-asked * asked_bytes // CELL_ASKED))
+    return down, max(1, -(-cells // down), -(-held * held_bytes // CELL_HELD))
 
 
 def meet(asked: DataFrame, held: DataFrame, down: int, across: int) -> DataFrame:

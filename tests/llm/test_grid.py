@@ -39,7 +39,7 @@ def test_exact_search_broadcasts_nothing(spark):
     assert "Broadcast" not in plan(exact_top_k(rows, F.col("id") % 7 == 0, 5))
 
 
-@pytest.mark.parametrize("cells, most", [(1, 1 << 16), (8, 1 << 16), (24, 1 << 16), (6, 9)])
+@pytest.mark.parametrize("cells, most", [(1, 1 << 24), (8, 1 << 24), (24, 1 << 24), (6, 1500)])
 @pytest.mark.parametrize("n, scale", [(230, 40), (120, 1e6), (70, 3e15)])
 def test_exact_search_over_a_grid(spark, monkeypatch, cells, most, n, scale):
     monkeypatch.setattr(exact_search, "CANDIDATE_BLOCK", 16)
@@ -65,8 +65,8 @@ def test_a_grid_sends_no_more_than_its_cells_need(spark, cells, asked, held):
         down, across = vectors.grid(spark, asked, 400, held, 130)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert down * across >= cells and down * vectors.CELL_ASKED >= asked and across * vectors.CELL_HELD >= held
-    if asked <= vectors.CELL_ASKED and held:
+    assert down * across >= cells and down * vectors.CELL_ASKED >= 400 * asked and across * vectors.CELL_HELD >= 130 * held
+    if 400 * asked <= vectors.CELL_ASKED and held:
         assert across * asked * 400 + down * held * 130 <= 3 * math.sqrt(cells * asked * 400 * held * 130) + asked * 400 + held * 130
 
 
@@ -82,6 +82,12 @@ def test_every_pair_of_rows_meets_in_one_task(spark, down, across):
     assert len(set(tasks.values())) == len(tasks) and all(r.task == tasks[r.cell] for r in cells)
 
 
+def test_a_cell_is_limited_in_bytes(spark):
+    for wide in (1, 10, 100):
+        down, across = vectors.grid(spark, 100_000, 400 * wide, 2_000_000, 130 * wide)
+        assert down * vectors.CELL_ASKED >= 100_000 * 400 * wide and across * vectors.CELL_HELD >= 2_000_000 * 130 * wide
+
+
 def test_smallest_type_keeps_every_number():
     for most, kind in ((127, "i1"), (128, "i2"), (-32768, "i2"), (40000, "i4"), (2**31, "f8"), (2**52 + 1, "f8"), (0.5, "f8")):
         x = np.array([[0.0, most], [1, -1]])
@@ -107,7 +113,7 @@ def test_hard_negatives_broadcast_nothing(spark, monkeypatch):
     assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
 
 
-@pytest.mark.parametrize("cells, most", [(1, 1 << 16), (24, 1 << 16), (6, 9)])
+@pytest.mark.parametrize("cells, most", [(1, 1 << 24), (24, 1 << 24), (6, 1500)])
 @pytest.mark.parametrize("n, scale", [(230, 1.0), (120, 2e13)])
 def test_hard_negatives_over_a_grid(spark, monkeypatch, cells, most, n, scale):
     monkeypatch.setattr(hard_negatives, "SHARD", 16)
